@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import exact_dedup, sharding
+from lattica.llm import exact_dedup, language_id, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
