@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import byte_bpe, exact_dedup, language_id, packing, quality, sharding
+from lattica.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op3_packing": packing.op3_packing,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op10_language_id": language_id.op10_language_id,
 }
