@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import read_table
 
 #: Arcs and pieces that one worker keeps at most; past that its table starts afresh.
-MAX_ARCS, MAX_PIECES = 250_000, 200_000
+MAX_ARCS, MAX_PIECES = 500_000, 150_000
 _START = -1
 
 
@@ -41,13 +42,15 @@ class Transducer:
         #: byte strings that begin a token
         self.paths = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
         self.split: dict[int, tuple[int, int] | None] = {}
+        self.fits: dict[int, bool] = {}
         self._fresh()
 
     def _fresh(self) -> None:
         """A state: the bytes that a later token can reach back over, and for the place
         before each of them and after the last: the last token, and tokens not yet
-        emitted."""
+        emitted; None where no token can reach back to."""
         first = (b"", ((_START, ()),))
+        self.pool: dict[tuple, tuple] = {}
         self.states, self.number = [first], {first: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
@@ -70,14 +73,21 @@ class Transducer:
         return self.split[token]
 
     def _may_follow(self, a: int, b: int) -> bool:
-        """Whether a, b are the encoding of their joined bytes.
-
-        Undoes the merges next to the border, the latest first. If at some point the two
+        """Whether a, b are the encoding of their joined bytes."""
+        """Undoes the merges next to the border, the latest first. If at some point the two
         tokens at the border would have merged before the merge last undone, then merging
         would have crossed the border.
         """
         if a == _START:
             return True
+        key = a << 20 | b
+        if key not in self.fits:
+            if len(self.fits) > MAX_ARCS:
+                self.fits.clear()
+            self.fits[key] = self._fit(a, b)
+        return self.fits[key]
+
+    def _fit(self, a: int, b: int) -> bool:
         left, right, before = a, b, (1 << 60, 0)
         while True:
             across = self.ranks.get(self.bytes[left] + self.bytes[right])
@@ -96,25 +106,30 @@ class Transducer:
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         window, places = self.states[state]
         window += bytes((byte,))
-        for i, (last, pending) in enumerate(places):
-            token = self.ranks.get(window[i:])
-            if token is not None and self._may_follow(last, token):
-                break
+        ranks, paths, pool = self.ranks, self.paths, self.pool
+        for i, place in enumerate(places):
+            if place is not None:
+                token = ranks.get(window[i:])
+                if token is not None and self._may_follow(place[0], token):
+                    break
         else:
             raise ValueError("the vocabulary does not hold every single byte")
-        places += ((token, (*pending, token)),)
-        keep = 0
-        while keep < len(window) and window[keep:] not in self.paths:
-            keep += 1
-        window, places = window[keep:], places[keep:]
-        settled, rest = 0, [p for _, p in places]
-        while all(len(p) > settled for p in rest) and len({p[settled] for p in rest}) == 1:
+        # A place stays open while what follows it can still become a token.
+        still = [p if p is not None and window[i:] in paths else None for i, p in enumerate(places)]
+        still.append((token, (*place[1], token)))
+        keep = next(i for i, p in enumerate(still) if p is not None)
+        window, still = window[keep:], still[keep:]
+        pending = [p[1] for p in still if p is not None]
+        low, high = min(pending), max(pending)
+        settled = 0
+        while settled < len(low) and low[settled] == high[settled]:
             settled += 1
-        target = (window, tuple((last, p[settled:]) for last, p in places))
-        if target not in self.number:
-            self.number[target] = len(self.states)
+        target = (window, tuple([p if p is None else pool.setdefault(q := (p[0], p[1][settled:]), q) for p in still]))
+        number = self.number.get(target)
+        if number is None:
+            number = self.number[target] = len(self.states)
             self.states.append(target)
-        return self.number[target], rest[0][:settled]
+        return number, pool.setdefault(q := low[:settled], q)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the splitting pattern."""
@@ -132,26 +147,39 @@ class Transducer:
         return ids
 
 
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for; what was used before stays at hand."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.before.get(piece)
+        if made is None:
+            made = array("I", self.transducer.encode_piece(piece.encode())).tobytes()
+        self[piece] = made
+        return made
+
+    def trim(self) -> None:
+        if len(self) > MAX_PIECES:
+            self.before = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encodes whole texts by pattern and ranks, and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.transducer)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        parts, pieces = self.split(text), self.pieces
-        try:
-            return b"".join([pieces[p] for p in parts])
-        except KeyError:
-            pass
-        if len(pieces) > MAX_PIECES:
-            pieces.clear()
-        for p in set(parts).difference(pieces):
-            pieces[p] = np.array(self.transducer.encode_piece(p.encode()), dtype="<u4").tobytes()
-        return b"".join([pieces[p] for p in parts])
+        self.pieces.trim()
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         table = self.transducer.bytes

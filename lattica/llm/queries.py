@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality, sharding
+from lattica.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality, repeated_spans, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_repeated_spans": repeated_spans.op9_repeated_spans,
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
