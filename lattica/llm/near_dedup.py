@@ -11,7 +11,7 @@ costs about n + k log k darts instead of n k.
 BANDS bands of ROWS coordinates are joined. In a bucket nobody is compared with
 everybody: members are compared with a leader, those that are not near it elect the
 next, and so on until none is left; the order in which leaders come differs by band. Each
-candidate pair is checked exactly on the whole shingle sets. Links give connected
+candidate pair is checked on the whole shingle sets (32-bit hashes). Links give connected
 classes. Texts with equal shingle sets are one node throughout.
 """
 
@@ -31,7 +31,7 @@ from lattica.llm.exact_dedup import filter_bits
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
 COORDS = BANDS * ROWS
 #: Different orders in which leaders come, and keys that one bucket or class is dealt over.
-ORDERS, SALTS = 4, 32
+ORDERS, SALTS = 2, 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = mix64(np.arange(7, 7 + 256, dtype=np.uint64)) | np.uint64(1)
 
@@ -138,7 +138,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, s, owner, node in _by_text(batch.column("text")):
             ends = np.searchsorted(owner, np.arange(j - i + 1))
-            raw = [s[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            raw = [np.unique((s[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(raw, pa.binary())], ["node", "shingles"])
 
 
@@ -146,7 +146,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = []
         for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
             both = np.isin(x, y, assume_unique=True).sum() if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) else 0
             near.append(both >= SIMILARITY * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "near"])
@@ -170,50 +170,44 @@ def in_filter(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
 
 
 def _leaders(members: DataFrame) -> DataFrame:
-    """(a, b, bucket): each member a of a bucket of two or more, and the bucket's leader.
-    Counts and minima are gathered over (bucket, salt) first, so a bucket may hold any
-    share of the rows."""
-    salted = members.withColumn("salt", F.pmod("node", F.lit(SALTS)))
+    """(a, b, bucket): each member a of a bucket of two or more, and the bucket's leader b.
+
+    Counts and leaders are aggregated before the shuffle, so a bucket may hold any share of
+    the rows; a bounded Bloom filter of the buckets with two members or more then spares
+    the other members, most of them, a shuffle.
+    """
     first = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))).alias("o"), F.col("node").alias("node"))
-    part = salted.groupBy("bucket", "salt").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    whole = part.groupBy("bucket").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n >= 2")
-    answer = part.select("bucket", "salt").join(whole.select("bucket", F.col("first.node").alias("b")), "bucket")
-    return salted.join(answer, ["bucket", "salt"]).select(F.col("node").alias("a"), "b", "bucket").filter("a <> b")
+    whole = members.groupBy("bucket").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    whole = cut(whole.select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
+    some = in_filter(members.withColumnRenamed("bucket", "key"), whole.select("key"), whole.count()).filter("__in")
+    return some.select("key", "node").join(whole, "key").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket")).filter("a <> b")
 
 
 def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): pairs of nodes whose shingle sets have the similarity, through which all
     such nodes that share a bucket are connected. ``texts`` has key and text."""
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    found, seen = [], None
-    pending = cut(_leaders(members))
-    need = None
+    nodes = cut(nodes)
+    pending = cut(_leaders(nodes.select("node", F.explode("bands").alias("bucket"))))
+    ends = pending.select("a").union(pending.select("b")).distinct().withColumnRenamed("a", "node")
+    keys = cut(nodes.select("node", "key").join(ends, "node"))
+    some = in_filter(texts, keys.select("key"), keys.count()).filter("__in").select("key", "text")
+    sets = cut(some.mapInArrow(_sets, "node bigint, shingles binary").join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    near = seen = signed.sparkSession.createDataFrame([], "a bigint, b bigint")
     while not pending.isEmpty():
-        pairs = pending.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("x", "y"), ["x", "y"], "left_anti")
-        if need is None:
-            ends = pending.select("a").union(pending.select("b")).distinct().withColumnRenamed("a", "node")
-            keys = cut(nodes.select("node", "key").join(ends, "node"))
-            some = in_filter(texts, keys.select("key"), keys.count()).filter("__in").select("key", "text")
-            need = cut(some.mapInArrow(_sets, "node bigint, shingles binary").join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-        one = need.select(F.col("node").alias("x"), F.col("shingles").alias("sa"))
-        two = need.select(F.col("node").alias("y"), F.col("shingles").alias("sb"))
-        both = pairs.join(one, "x").join(two, "y").select(F.col("x").alias("a"), F.col("y").alias("b"), "sa", "sb")
-        checked = cut(both.mapInArrow(_near, "a bigint, b bigint, near boolean").select(F.col("a").alias("x"), F.col("b").alias("y"), "near"))
-        found.append(checked.filter("near").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        seen = checked if seen is None else seen.union(checked)
+        pairs = pending.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+        # The member's set travels with the pair; the leader's is met where it stands.
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+        checked = cut(both.mapInArrow(_near, "a bigint, b bigint, near boolean"))
+        near = near.union(checked.filter("near").select("a", "b"))
+        seen = seen.union(checked.select("a", "b")).union(checked.select("b", "a"))
         # Members that are not near their leader go on with each other.
-        known = seen.filter("near").select("x", "y")
-        far = pending.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(known, ["x", "y"], "left_anti")
+        known = near.union(near.select("b", "a"))
+        far = pending.join(known, ["a", "b"], "left_anti")
         pending = cut(_leaders(far.select(F.col("a").alias("node"), "bucket")))
-    if not found:
-        return signed.sparkSession.createDataFrame([], "a bigint, b bigint")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return near
 
 
 def components(edges: DataFrame) -> DataFrame:
