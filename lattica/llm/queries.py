@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality, repeated_spans, sharding
+from lattica.llm import byte_bpe, exact_dedup, language_id, language_model, near_dedup, packing, quality, repeated_spans, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op3_packing": packing.op3_packing,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op5_language_model": language_model.op5_language_model,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_sharding": sharding.op8_sharding,
