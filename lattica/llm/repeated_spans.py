@@ -1,10 +1,11 @@
 """Removal of repeated substrings by the interval tree of an enhanced suffix array.
 
-Every 200-byte window belongs to the seed in it whose hash is least (a 32-byte gram), so
-equal windows belong to equal seeds, and a document falls into segments: runs of windows
-of one seed. Seeds that occur once need no more: a bounded Bloom filter of the others
-decides which segments are sent on. Equal segments are counted, not kept twice, before the
-shuffle, and a seed's distinct segments meet in one shard.
+Every 200-byte window belongs to the 32-byte gram in it whose hash is least, its seed; equal
+windows have equal seeds. A document falls into segments: runs of windows of one seed and
+on one side of it, which share over 100 bytes, their core. The core's hash is the
+segment's key, and equal windows have equal keys. Keys that occur once need no more: a
+bounded Bloom filter of the others decides which segments are sent on. Equal segments are
+counted, not kept twice; the distinct segments of a key meet in one shard.
 
 A shard builds the suffix array of its segments by prefix doubling, takes longest common
 prefixes from the ranks of each doubling, and scans the array with a stack for intervals
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +36,21 @@ from lattica.llm.near_dedup import in_filter, row_key
 
 LEAST, GRAM = 200, 32
 #: Distinct segments of one seed that a shard takes at most; segments of a shard on average.
-HOT, SHARD = 400, 16_000
+HOT, SHARD = 400, 5_000
 SALTS = 32
 _BLOCK = LEAST - GRAM + 1
+_HALF = _BLOCK // 2
 _A = mix64(np.arange(900, 916, dtype=np.uint64)) | np.uint64(1)
+_B = (mix64(np.arange(950, 960, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def _sliding(op: np.ufunc, a: np.ndarray, width: int, pad: np.uint64) -> np.ndarray:
+def _sliding(op: np.ufunc, a: np.ndarray, width: int, pad: int) -> np.ndarray:
     """op over each ``width`` neighbours; len(a) - width + 1 values."""
     n = len(a) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return a[:0]
     rows = -(-len(a) // width)
-    full = np.full(rows * width, pad, dtype=np.uint64)
+    full = np.full(rows * width, pad, dtype=a.dtype)
     full[: len(a)] = a
     grid = full.reshape(rows, width)
     ahead = op.accumulate(grid, axis=1).ravel()
@@ -55,66 +59,89 @@ def _sliding(op: np.ufunc, a: np.ndarray, width: int, pad: np.uint64) -> np.ndar
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte strings, none of them 0."""
-    h, width, k = data.astype(np.uint64) + np.uint64(1), 1, 0
+    """Hashes of all GRAM-byte strings, none of them 0. They only order the grams, so 32
+    bits do; grams that agree by chance count as ties."""
+    h, width, k = data.astype(np.uint32) + np.uint32(1), 1, 0
     while width < GRAM:
-        h = h[:-width] * _A[k] + h[width:]
-        h ^= h >> np.uint64(29)
+        h = h[:-width] * _B[k] + h[width:]
+        h ^= h >> np.uint32(15)
         width, k = 2 * width, k + 1
-    return mix64(h) | np.uint64(1)
+    h *= _B[8]
+    h ^= h >> np.uint32(16)
+    h *= _B[9]
+    return h | np.uint32(1)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hash, text number, first window (a place in ``data``) and number of windows
-    of each segment."""
+    """Key, text number, first window (a place in ``data``) and number of windows of each
+    segment: a run of windows with one seed, on one side of it. All windows of a segment
+    share its core, the bytes that the key hashes. In windows in which the least hash
+    stands twice (periodic text) the seed's place is arbitrary; there the seed alone is
+    the core, so that windows meet whichever place was taken."""
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none
     if len(data) < LEAST:
-        return np.zeros(0, np.uint64), none, none, none
+        return nothing
     g = _grams(data)
-    least = _sliding(np.minimum, g, _BLOCK, np.uint64(0xFFFFFFFFFFFFFFFF))
+    least = _sliding(np.minimum, g, _BLOCK, 0xFFFFFFFF)
     n = len(least)
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(len(size)), size)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     valid = owner[:n] == owner[LEAST - 1 :]
     if not valid.any():
-        return np.zeros(0, np.uint64), none, none, none
-    masked = np.where(valid, least, np.uint64(0))
-    padded = np.concatenate([np.zeros(_BLOCK - 1, np.uint64), masked, np.zeros(_BLOCK - 1, np.uint64)])
-    spots = np.flatnonzero(_sliding(np.maximum, padded, _BLOCK, np.uint64(0)) == g)
-    spots = _thinned(spots, g[spots])
-    hashes = g[spots]
+        return nothing
+    padded = np.zeros(n + 2 * (_BLOCK - 1), dtype=np.uint32)
+    padded[_BLOCK - 1 : _BLOCK - 1 + n] = np.where(valid, least, np.uint32(0))
+    every = np.flatnonzero(_sliding(np.maximum, padded, _BLOCK, 0) == g)
+    own = g[every]
+    order = np.lexsort((every, own))
+    before, after = np.full(len(every), -len(data)), np.full(len(every), 2 * len(data))
+    same = own[order[1:]] == own[order[:-1]]
+    before[order[1:][same]] = every[order[:-1][same]]
+    after[order[:-1][same]] = every[order[1:][same]]
+    keep = _thinned(every, own)
+    spots, own, before, after = every[keep], own[keep], before[keep], after[keep]
     starts = np.flatnonzero(valid)
     seed = np.searchsorted(spots, starts)
-    open_ = np.flatnonzero(hashes[seed] != least[starts])
+    want = least[starts]
+    open_ = np.flatnonzero(own[seed] != want)
     while len(open_):
         seed[open_] += 1
-        open_ = open_[hashes[seed[open_]] != least[starts[open_]]]
+        open_ = open_[own[seed[open_]] != want[open_]]
+    tied = (before[seed] >= starts) | (after[seed] <= starts + _BLOCK - 1)
+    side = np.where(tied, 2, starts - spots[seed] >= -_HALF)
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (seed[1:] != seed[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (seed[1:] != seed[:-1]) | (side[1:] != side[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
-    return hashes[seed[first]], owner[starts[first]], starts[first], np.diff(np.append(first, len(starts)))
+    at, which = spots[seed[first]], side[first]
+    # To the left of the seed, windows start _BLOCK - 1 to _HALF + 1 bytes before it; else
+    # _HALF to 0 before it.
+    lo = np.where(which == 0, at - _HALF - 1, at)
+    hi = np.where(which == 0, at - _BLOCK + 1 + LEAST, np.where(which == 1, at - _HALF + LEAST, at + GRAM))
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    key = np.array([digest(raw[a:b], k) for a, b, k in zip(lo.tolist(), hi.tolist(), which.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+    return key, owner[starts[first]].astype(np.int64), starts[first], np.diff(np.append(first, len(starts)))
 
 
 def _thinned(spots: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Of seeds that stand close together with one hash (periodic text), enough for every
-    window to keep one."""
+    """Which of the seeds to keep: of those that stand close together with one hash
+    (periodic text), enough for every window to have one."""
     tied = np.zeros(len(spots), dtype=bool)
-    if len(spots) > 1:
-        tied[1:] = (hashes[1:] == hashes[:-1]) & (np.diff(spots) <= _BLOCK)
+    tied[1:] = (hashes[1:] == hashes[:-1]) & (np.diff(spots) <= _BLOCK)
     keep = ~tied
-    n = len(spots)
-    for i in np.flatnonzero(tied[1:] & ~tied[:-1]) + 1:
-        last, j = spots[i - 1], i
-        while j < n and tied[j]:
-            if j + 1 == n or not tied[j + 1] or spots[j + 1] - last > _BLOCK:
-                keep[j], last = True, spots[j]
+    place, more, n = spots.tolist(), tied.tolist(), len(spots)
+    for i in (np.flatnonzero(tied[1:] & ~tied[:-1]) + 1).tolist():
+        last, j = place[i - 1], i
+        while j < n and more[j]:
+            if j + 1 == n or not more[j + 1] or place[j + 1] - last > _BLOCK:
+                keep[j], last = True, place[j]
             j += 1
-    return spots[keep]
+    return keep
 
 
-def _each(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _each(column: pa.Array) -> Iterator[tuple]:
     data, offsets = text_bytes(column)
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, 256 << 10):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         yield i, part, at, *segments(part, at)
 
@@ -123,17 +150,17 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, _, seed, _, _, _ in _each(batch.column("text")):
             h, n = np.unique(seed, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["seed", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["seed", "n"])
 
 
 def _probes(seed: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix64(seed ^ _A[10 + k]) & np.uint64(bits - 1)).astype(np.int64) for k in (0, 1)]
+    return [(mix64(seed.view(np.uint64) ^ _A[10 + k]) & np.uint64(bits - 1)).astype(np.int64) for k in (0, 1)]
 
 
 def _bit_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.concatenate(_probes(batch.column("seed").to_numpy().view(np.uint64), bits))
+            p = np.concatenate(_probes(batch.column("seed").to_numpy(), bits))
             yield pa.RecordBatch.from_arrays([pa.array(p >> 6), pa.array(np.int64(1) << (p & 63))], ["word", "mask"])
 
     return run
@@ -154,7 +181,7 @@ def _cut_out(shared, bits: int):
                 raw = data.tobytes()
                 bodies = [raw[a : a + n] for a, n in zip(start.tolist(), (count + LEAST - 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed.view(np.int64)), pa.array(key[i + owner]), pa.array(start - at[owner]), pa.array(count), pa.array(bodies, pa.binary())],
+                    [pa.array(seed), pa.array(key[i + owner]), pa.array(start - at[owner]), pa.array(count), pa.array(bodies, pa.binary())],
                     ["seed", "key", "pos", "windows", "segment"],
                 )
 
@@ -196,10 +223,10 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, group: np.ndarray, least
         own = np.zeros(n, dtype=np.uint64)
         own[: n - k] = np.where(place[: n - k] + k < stop[: n - k], data[k:], 0)
         word |= own << np.uint64(56 - 8 * k)
-    levels = [(8, _dense(word))]
+    levels = [(8, _dense(word).astype(np.int32))]
     while levels[-1][0] < least:
         width, r = levels[-1]
-        levels.append((2 * width, _dense(r << 32 | ahead(r, width))))
+        levels.append((2 * width, _dense(r.astype(np.int64) << 32 | ahead(r, width)).astype(np.int32)))
     # Suffixes that are long enough, by group and then in lexicographic order.
     width, r = levels[-1]
     tail = np.flatnonzero(stop - place >= least)
@@ -361,16 +388,23 @@ def repeated(documents: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(table)
     path = _shared_path(spark)
     cutting = rows.mapInArrow(_cut_out(shared, bits), "seed bigint, key bigint, pos bigint, windows bigint, segment binary")
-    cutting.withColumn("sh", F.xxhash64("segment")).write.option("compression", "zstd").parquet(path)
+    cutting.withColumn("sh", F.xxhash64("segment")).withColumn("size", F.octet_length("segment").cast("bigint")).write.option("compression", "zstd").parquet(path)
     found = spark.read.parquet(path)
-    distinct = cut(found.groupBy("seed", "sh").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("n")))
-    many = cut(distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).filter("n > 1"))
-    hot, mild = many.filter(F.col("kinds") > HOT).select("seed"), many.filter(F.col("kinds") <= HOT).select("seed")
-    shards = max(1, (many.filter(F.col("kinds") <= HOT).agg(F.sum("kinds")).first()[0] or 0) // SHARD)
-    tree = distinct.join(mild, "seed", "left_semi").withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
-    marks = tree.groupBy("shard").applyInArrow(_shard, "seed bigint, sh bigint, from bigint, till bigint")
+    kinds = cut(found.groupBy("seed", "sh").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")))
+    many = cut(kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.first("sh").alias("sh"), F.first("size").alias("size")).filter("n > 1"))
+    # A seed with one kind of segment: all of it is repeated, and there is nothing to compare.
+    marks = many.filter("kinds = 1").select("seed", "sh", F.lit(0).cast("bigint").alias("from"), F.col("size").alias("till"))
+    several = many.filter("kinds > 1").select("seed", "kinds")
+    shards = max(1, (several.filter(F.col("kinds") <= HOT).agg(F.sum("kinds")).first()[0] or 0) // SHARD)
+    some = in_filter(found.select(F.col("seed").alias("key"), "sh", "segment"), several.select(F.col("seed").alias("key")), several.count()).filter("__in")
+    bodies = some.groupBy(F.col("key").alias("seed"), "sh").agg(F.first("segment").alias("segment"))
+    bodies = bodies.join(kinds.select("seed", "sh", "n"), ["seed", "sh"]).join(several, "seed")
+    bodies = cut(bodies)
+    tree = bodies.filter(F.col("kinds") <= HOT).withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
+    marks = marks.union(tree.groupBy("shard").applyInArrow(_shard, "seed bigint, sh bigint, from bigint, till bigint"))
+    hot = bodies.filter(F.col("kinds") > HOT)
     if not hot.isEmpty():
-        marks = marks.union(_hot(distinct.join(hot, "seed", "left_semi")))
+        marks = marks.union(_hot(hot))
     marks = cut(marks.groupBy("seed", "sh").agg(F.collect_list(F.struct("from", "till")).alias("m")))
     spans = found.select("seed", "sh", "key", "pos").join(marks, ["seed", "sh"]).select("key", "pos", F.explode("m").alias("m"))
     out = cut(spans.select("key", (F.col("pos") + F.col("m.from")).alias("start"), (F.col("pos") + F.col("m.till")).alias("end")).distinct())
