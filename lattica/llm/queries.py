@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import byte_bpe, exact_dedup, language_id, language_model, near_dedup, packing, quality, repeated_spans, sharding
+from lattica.llm import byte_bpe, exact_dedup, language_id, language_model, near_dedup, packing, quality, repeated_spans, sharding, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_vector_search": vector_search.op2_vector_search,
     "op3_packing": packing.op3_packing,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_language_model": language_model.op5_language_model,
