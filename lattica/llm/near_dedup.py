@@ -9,8 +9,8 @@ from the low ranks up and only until every coordinate has a dart, so a text of n
 costs about n + k log k darts instead of n k.
 
 BANDS bands of ROWS coordinates are joined. In a bucket nobody is compared with
-everybody: members are compared with a leader, those that are not near it elect the
-next, and so on until none is left; the order in which leaders come differs by band. Each
+everybody: members are compared with a leader, those that are not near it elect more, four
+times as many in each round, until none is left; the order of leaders differs by band. Each
 candidate pair is checked on the whole shingle sets (32-bit hashes). Links give connected
 classes. Texts with equal shingle sets are one node throughout.
 """
@@ -32,6 +32,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
 COORDS = BANDS * ROWS
 #: Different orders in which leaders come, and keys that one bucket or class is dealt over.
 ORDERS, SALTS = 2, 32
+#: Leaders that a bucket has in a late round at most; there is one in the first.
+MOST_LEADERS = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = mix64(np.arange(7, 7 + 256, dtype=np.uint64)) | np.uint64(1)
 
@@ -169,16 +171,23 @@ def in_filter(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
     return out.withColumn("__in", hit).drop("__p", "__w", "__m")
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """(a, b, bucket): each member a of a bucket of two or more, and the bucket's leader b.
+def _leaders(members: DataFrame, slots: int) -> DataFrame:
+    """(a, b, bucket): each member a of a bucket of two or more with each leader b of the
+    bucket, of which there are ``slots`` at most.
 
     Counts and leaders are aggregated before the shuffle, so a bucket may hold any share of
     the rows; a bounded Bloom filter of the buckets with two members or more then spares
     the other members, most of them, a shuffle.
     """
     first = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))).alias("o"), F.col("node").alias("node"))
-    whole = members.groupBy("bucket").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    whole = cut(whole.select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
+    slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
+    by_slot = members.groupBy("bucket", slot.alias("slot")).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    if slots > 1:
+        total = by_slot.groupBy("bucket").agg(F.sum("n").alias("total")).filter("total >= 2").select("bucket")
+        by_slot = by_slot.join(total, "bucket")
+    else:
+        by_slot = by_slot.filter("n >= 2")
+    whole = cut(by_slot.select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
     some = in_filter(members.withColumnRenamed("bucket", "key"), whole.select("key"), whole.count()).filter("__in")
     return some.select("key", "node").join(whole, "key").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket")).filter("a <> b")
 
@@ -188,7 +197,7 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
     such nodes that share a bucket are connected. ``texts`` has key and text."""
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     nodes = cut(nodes)
-    pending = cut(_leaders(nodes.select("node", F.explode("bands").alias("bucket"))))
+    pending, slots = cut(_leaders(nodes.select("node", F.explode("bands").alias("bucket")), 1)), 1
     ends = pending.select("a").union(pending.select("b")).distinct().withColumnRenamed("a", "node")
     keys = cut(nodes.select("node", "key").join(ends, "node"))
     some = in_filter(texts, keys.select("key"), keys.count()).filter("__in").select("key", "text")
@@ -203,10 +212,12 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
         checked = cut(both.mapInArrow(_near, "a bigint, b bigint, near boolean"))
         near = near.union(checked.filter("near").select("a", "b"))
         seen = seen.union(checked.select("a", "b")).union(checked.select("b", "a"))
-        # Members that are not near their leader go on with each other.
+        # Members that are near no leader, and were none, go on with each other.
         known = near.union(near.select("b", "a"))
-        far = pending.join(known, ["a", "b"], "left_anti")
-        pending = cut(_leaders(far.select(F.col("a").alias("node"), "bucket")))
+        done = pending.join(known, ["a", "b"], "left_semi").select("a", "bucket").union(pending.select("b", "bucket"))
+        far = pending.select("a", "bucket").distinct().join(done, ["a", "bucket"], "left_anti")
+        slots = min(4 * slots, MOST_LEADERS)
+        pending = cut(_leaders(far.select(F.col("a").alias("node"), "bucket"), slots))
     return near
 
 
