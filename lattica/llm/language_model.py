@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Words, chunks, cut, fold, mix64, read_table, text_bytes
 
 SYMBOLS, TAILS, CLASSES, FEATURES = 128, 32, 16, 2048
-HEAD, STEPS, PARTS, FLUSH = 1 << 18, 30, 6, 1 << 20
+HEAD, STEPS, PARTS, FLUSH = 1 << 18, 20, 3, 1 << 20
 _PER_CLASS = SYMBOLS // CLASSES
 #: The end's hash; no word can have it, as those of words have another low part.
 END = np.uint64(0x9E3779B97F4A7C00 | (TAILS - 1) + 1)
@@ -96,7 +96,15 @@ class Lexicon:
     """The commonest words, by hash, with their counts and symbols; and totals."""
 
     def __init__(self, counts: DataFrame):
-        top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+        # The lowest of some 16 count classes an octave at which no more than HEAD words remain.
+        level = F.floor(F.log2("n") * 16)
+        least, many = 0.0, 0
+        for r in sorted(counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["l"]):
+            many += r["v"]
+            if many > HEAD:
+                least = r["l"] + 1
+                break
+        top = counts.filter(level >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
         word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(float)
         by_bucket = {r["b"]: (r["n"], r["v"]) for r in counts.groupBy(F.expr("word & 63").alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
         self.total = sum(n for n, _ in by_bucket.values())
@@ -192,7 +200,7 @@ def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     for step in range(1, STEPS + 1):
         g = _summed_gradient(packed, weights) / total
         m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
-        rate = 0.3 * (1 - (step - 1) / STEPS) + 0.02
+        rate = 0.4 * (1 - (step - 1) / STEPS) + 0.02
         weights += rate * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-7)
     return weights
 
@@ -209,12 +217,12 @@ def _summed_gradient(packed: DataFrame, weights: np.ndarray) -> np.ndarray:
                 seen = np.zeros((len(context), SYMBOLS))
                 seen[row, code % SYMBOLS] = n
                 total += gradient(shared.value, context, seen)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g"])
 
     # PARTS rows of a size that the model sets, not the corpus.
     sums = packed.select("code", "n").mapInArrow(run, "g binary").toArrow().column("g").to_pylist()
     shared.unpersist()
-    return sum((np.frombuffer(g).reshape(weights.shape) for g in sums), np.zeros_like(weights))
+    return sum((np.frombuffer(g, dtype=np.float32).reshape(weights.shape) for g in sums), np.zeros_like(weights))
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -230,8 +238,10 @@ def score(documents: DataFrame) -> DataFrame:
     counts = cut(texts.mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     lexicon = Lexicon(counts)
     weights = train(texts, lexicon)
-    c, s = probabilities(weights, np.arange(SYMBOLS * SYMBOLS))
-    table = np.log10(c[:, :, None] * s).reshape(SYMBOLS * SYMBOLS, SYMBOLS).astype(np.float32)
+    table = np.empty((SYMBOLS * SYMBOLS, SYMBOLS), dtype=np.float32)
+    for k in range(0, len(table), SYMBOLS):
+        c, s = probabilities(weights, np.arange(k, k + SYMBOLS))
+        table[k : k + SYMBOLS] = np.log10(c[:, :, None] * s).reshape(SYMBOLS, SYMBOLS)
     shared = spark.sparkContext.broadcast((lexicon, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
