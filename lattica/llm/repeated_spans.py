@@ -363,6 +363,14 @@ def _hot(distinct: DataFrame) -> DataFrame:
     return rows.join(answer, ["w", "salt"]).select("seed", "sh", F.col("at").cast("bigint").alias("from"), (F.col("at") + LEAST).cast("bigint").alias("till"))
 
 
+_TOUCHING = """
+aggregate(m, cast(array() as array<struct<from:bigint,till:bigint>>), (done, x) ->
+    if(size(done) > 0 and x.from <= element_at(done, -1).till,
+       concat(slice(done, 1, size(done) - 1), array(named_struct('from', element_at(done, -1).from, 'till', greatest(element_at(done, -1).till, x.till)))),
+       concat(done, array(x))))
+"""
+
+
 def _shared_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/segments-{uuid.uuid4().hex}"
 
@@ -405,7 +413,9 @@ def repeated(documents: DataFrame) -> DataFrame:
     hot = bodies.filter(F.col("kinds") > HOT)
     if not hot.isEmpty():
         marks = marks.union(_hot(hot))
-    marks = cut(marks.groupBy("seed", "sh").agg(F.collect_list(F.struct("from", "till")).alias("m")))
+    # At most a segment's windows each; stretches that touch become one.
+    marks = marks.groupBy("seed", "sh").agg(F.array_sort(F.collect_list(F.struct("from", "till"))).alias("m"))
+    marks = cut(marks.withColumn("m", F.expr(_TOUCHING)))
     spans = found.select("seed", "sh", "key", "pos").join(marks, ["seed", "sh"]).select("key", "pos", F.explode("m").alias("m"))
     out = cut(spans.select("key", (F.col("pos") + F.col("m.from")).alias("start"), (F.col("pos") + F.col("m.till")).alias("end")).distinct())
     _delete(spark, path)
