@@ -188,7 +188,7 @@ def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     seen = texts.mapInArrow(transitions, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     # A word before has at most SYMBOLS**2 transitions, so these lists are bounded.
     packed = seen.groupBy(F.expr(f"code div {SYMBOLS * SYMBOLS}").alias("one")).agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n"))
-    packed = cut(packed.repartition(PARTS, "one"))
+    packed = cut(packed.repartition(PARTS))
     total = max(lexicon.total, 1)
     weights = np.zeros((FEATURES, CLASSES + SYMBOLS))
     unigram = np.full(SYMBOLS, 0.5)
@@ -217,12 +217,19 @@ def _summed_gradient(packed: DataFrame, weights: np.ndarray) -> np.ndarray:
                 seen = np.zeros((len(context), SYMBOLS))
                 seen[row, code % SYMBOLS] = n
                 total += gradient(shared.value, context, seen)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g"])
-
-    # PARTS rows of a size that the model sets, not the corpus.
-    sums = packed.select("code", "n").mapInArrow(run, "g binary").toArrow().column("g").to_pylist()
+        rows = np.flatnonzero(total.any(axis=1)).astype(np.int32)
+        if len(rows):
+            raw = [rows.tobytes(), total[rows].astype(np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["rows", "g"])
+
+    # Each partition sends the feature rows that its contexts have; their number and size are
+    # set by the model, not by the corpus.
+    sums = packed.select("code", "n").mapInArrow(run, "rows binary, g binary").toArrow()
+    out = np.zeros_like(weights)
+    for rows, g in zip(sums.column("rows").to_pylist(), sums.column("g").to_pylist(), strict=True):
+        out[np.frombuffer(rows, dtype=np.int32)] += np.frombuffer(g, dtype=np.float32).reshape(-1, weights.shape[1])
     shared.unpersist()
-    return sum((np.frombuffer(g, dtype=np.float32).reshape(weights.shape) for g in sums), np.zeros_like(weights))
+    return out
 
 
 def score(documents: DataFrame) -> DataFrame:
