@@ -1,0 +1,143 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lattica.functions import text as T
+from lattica.graph import PropertyGraph, as_edges, as_nodes
+from lattica.operators import algorithms as A
+from lattica.operators import flow as N
+from lattica.operators import history as H
+from lattica.operators import similarity as S
+from lattica.operators import verbs as V
+from lattica.plans import gql, iterate
+from lattica.sources import exports, formats
+
+
+@pytest.fixture(scope="module")
+def graph(spark):
+    nodes = [("a", "function", "main"), ("b", "function", "login"), ("c", "function", "query"), ("d", "class", "query")]
+    edges = [("a", "b", "calls"), ("a", "b", "calls"), ("b", "c", "calls"), ("c", "b", "calls"), ("d", "c", "contains")]
+    return PropertyGraph(as_nodes(spark.createDataFrame(nodes, "id string, node_type string, name string")), as_edges(spark.createDataFrame(edges, "src string, dst string, edge_type string")))
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_language(graph):
+    ids = lambda q: rows(gql.run(graph, q, columns=("id",)))
+    assert ids("MATCH (a)-[:CALLS]->(b) RETURN a, b") == [("a", "b"), ("b", "c"), ("c", "b")]
+    assert ids("MATCH (a {name: 'main'})-[:CALLS*1..3]->(b) RETURN b") == [("b",), ("b",), ("c",)]
+    assert ids("MATCH (a)-[:CALLS]->(b)-[:CALLS]->(a) RETURN a") == [("b",), ("c",)]
+    assert ids("match (a:Function) where a.name LIKE '*y' return a, nobody") == [("c",)]
+    assert ids("MATCH (a) WHERE z.name = 'x' RETURN a") == []
+    for bad in ("RETURN a", "MATCH (a RETURN a", "MATCH (a)-[:CALLS*3]->(b) RETURN a", "MATCH (a) RETURN a LIMIT x"):
+        with pytest.raises(gql.GqlError):
+            gql.parse(bad)
+    with pytest.raises(gql.GqlError):
+        gql.run(graph, "MATCH (a)-[:CALLS]->(c:Community) RETURN a")
+
+
+def test_verbs(spark, graph):
+    assert V.resolve(graph, "main") == "a"
+    with pytest.raises(V.AmbiguousSymbol):
+        V.resolve(graph, "query")
+    assert V.resolve(graph, "query", node_type="class") == "d"
+    seed = spark.createDataFrame([("d",)], "id string")
+    assert rows(V.callers(graph, seed, 2)) == [("a", "main", 2), ("b", "login", 1)] or ("b", "login", 1) in rows(V.callers(graph, seed, 2))
+    assert ("a", "main", "b", "login", 2) in rows(V.relations(graph, "calls"))
+    assert ("calls", 3, 4) in rows(V.edge_inventory(graph))
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6)], "src long, dst long")
+    assert rows(iterate.components(e)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6)]
+    assert rows(iterate.strong_components(e)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)]
+    assert rows(A.recursive_nodes(e)) == [(1,), (2,), (3,), (6,)]
+    with pytest.raises(ValueError):
+        A.topological_order(e)
+
+
+def test_bridge_is_central(spark):
+    pairs = [(a, b) for a, b in ((1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2), (3, 4), (4, 5), (5, 6), (6, 5), (5, 7), (7, 5), (6, 7), (7, 6))]
+    got = {r["id"]: r["betweenness"] for r in A.centrality(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert max(got, key=got.get) in (3, 4, 5) and got[4] == pytest.approx(9 / 30)
+
+
+def test_cliques_part(spark):
+    clique = lambda xs: [(a, b) for a in xs for b in xs if a < b]
+    e = spark.createDataFrame([(str(a), str(b)) for a, b in clique([1, 2, 3, 4]) + clique([5, 6, 7, 8]) + [(4, 5)]], "src string, dst string")
+    got = {r["id"]: r["community"] for r in A.communities(e).collect()}
+    assert len(set(got.values())) == 2 and got["1"] == got["4"] != got["5"]
+
+
+def test_text(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(T.tokens(F.lit("getHTTPName of_É"))) == ["get", "httpname"]
+    assert one(T.glob(F.lit("a.b"), "a?b")) and not one(T.glob(F.lit("axb"), "a.b"))
+    assert one(T.package_label(F.lit("x/src/main/java/org/a/B.java"))) == "org.a"
+    assert one(T.plain_type(F.lit("&mut std::Vec<T>"))) == "Vec"
+    assert one(T.import_prefix(F.lit("java.util.List"))) == "java.util"
+
+
+def test_bloom(spark):
+    df = spark.createDataFrame([(["alpha", "beta"],), ([],)], "t array<string>").select(S.token_bloom("t").alias("b"))
+    assert df.select(S.bloom_has(F.col("b"), "alpha")).collect()[0][0] and not df.select(S.bloom_has(F.col("b"), "alpha")).collect()[1][0]
+    assert df.select(S.bloom_jaccard(F.col("b"), F.col("b"))).collect()[0][0] == 1.0
+
+
+def test_formats(spark):
+    files = [("x/package.json", b'{"dependencies": {"a": "^1"}}'), ("Cargo.lock", b'[[package]]\nname = "z"\nversion = "1.2"\n'), ("bad.json", b"{"), ("go.mod", b"module m\nrequire (\n\tgithub.com/a/b v1.0.0\n)\n")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    assert rows(formats.dependencies(df)) == [("Cargo.lock", "cargo", "z", "1.2"), ("go.mod", "go", "github.com/a/b", "v1.0.0"), ("x/package.json", "npm", "a", "^1")]
+    assert rows(formats.config_keys(df)) == [("x/package.json", "dependencies.a", "string", "^1")]
+    assert formats.flat_xml("<a b='1'><c>x</c></a>") == [("a.@b", "string", "1"), ("a.c", "string", "x")]
+    diff = spark.createDataFrame([(1, i, x) for i, x in enumerate(["+++ b/f.py", "@@ -1,2 +3,4 @@ x", "+y", "@@ -9 +12 @@"])], "diff int, n int, line string")
+    assert rows(formats.diff_hunks(diff)) == [("f.py", 3, 6), ("f.py", 12, 12)]
+    osv = '{"id":"X","affected":[{"package":{"ecosystem":"npm","name":"a"},"ranges":[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"1.2"},{"introduced":"2.0"}]}]}]}'
+    assert rows(formats.advisories(spark.createDataFrame([(osv,)], "json string"))) == [("X", "npm", "a", "0", "1.2", None), ("X", "npm", "a", "2.0", None, None)]
+
+
+def test_versions(spark):
+    deps = spark.createDataFrame([("p", "1.9.0"), ("p", "1.10.0"), ("p", "^1"), ("p", None)], "package string, version string")
+    adv = spark.createDataFrame([("p", "1.10", None)], "package string, introduced string, fixed string")
+    assert [r["version"] for r in H.affected(deps, adv).collect()] == ["1.10.0"]
+
+
+def test_flow(spark):
+    stmts = spark.createDataFrame([(1, 0, "a", []), (1, 1, "b", ["a"]), (1, 2, "a", ["b"]), (1, 3, None, ["a", "c"])], "fn int, line long, def string, uses array<string>")
+    deps = N.flow_dependencies(stmts)
+    assert rows(deps) == [(1, 0, 1, "a"), (1, 1, 2, "b"), (1, 2, 3, "a")]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert rows(N.slice_of(deps, ids("1#3"))) == [("1#0", 3), ("1#1", 2), ("1#2", 1), ("1#3", 0)]
+    assert rows(N.taint(deps, ids("1#0"), ids("1#3"), ids())) == [("1#3", 3)]
+    assert rows(N.taint(deps, ids("1#0"), ids("1#3"), ids("1#2"))) == []
+    cfg = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 1, 3), (1, 2, 3), (1, 3, 4), (1, 9, 4)], "fn int, src long, dst long")
+    assert rows(N.dominators(cfg)) == [(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 4, 3)]
+    assert rows(N.unreachable(cfg)) == [(1, 9)]
+    assert rows(N.simple_paths(cfg, 0, 4)) == [(1, "0,1,3,4"), (1, "0,2,3,4")]
+
+
+def test_exports(graph, tmp_path):
+    for make in (exports.graphml, exports.dot, exports.mermaid):
+        exports.save(make(graph), str(tmp_path / make.__name__))
+    text = next((tmp_path / "dot").glob("part-*")).read_text().splitlines()
+    assert text[0] == "digraph g {" and text[-1] == "}" and '  "a" -> "b" [label="calls"];' in text
+
+
+def test_snapshot_round_trip(spark, graph, tmp_path):
+    graph.write(str(tmp_path / "g"))
+    back = PropertyGraph.read(spark, str(tmp_path / "g"))
+    assert rows(back.nodes.select("id", "node_type", "name")) == rows(graph.nodes.select("id", "node_type", "name"))
+    assert back.edges.columns == graph.edges.columns and back.edges.count() == 5
+
+
+def test_stream(spark, tmp_path):
+    from lattica.streaming import windows as W
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"path":"a","seq":1,"kind":"x"}\n{"path":"a","seq":2,"kind":"y"}\n')
+    seen = []
+    q = W.watch(spark, str(tmp_path / "in"), "path string, seq long, kind string", lambda df, n: seen.extend(df.collect()), str(tmp_path / "ck"), "100 milliseconds")
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r) for r in seen] == [("a", "y")]
