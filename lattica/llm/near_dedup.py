@@ -66,12 +66,9 @@ def shingles(words: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
 @cache
 def _poisson(mean: float) -> np.ndarray:
     """Cumulated Poisson probabilities, scaled to 2**53."""
-    p, total, out = np.exp(-mean), 0.0, []
-    for k in range(int(mean + 12 * np.sqrt(mean) + 20)):
-        total += p
-        out.append(total)
-        p *= mean / (k + 1)
-    return np.array(out) * 2.0**53
+    k = np.arange(1, int(mean + 12 * np.sqrt(mean) + 20))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(mean / k))]) - mean
+    return np.cumsum(np.exp(logs)) * 2.0**53
 
 
 def _at(level: int, k: int) -> np.uint64:
@@ -97,7 +94,7 @@ def darts(element: np.ndarray, owner: np.ndarray, n: int, coords: int = COORDS,
         spot = o * coords + ((h >> np.uint64(40)) * np.uint64(coords) >> np.uint64(24)).astype(np.int64)
         h = mix64(h)
         rank = low + (high - low) * (h >> np.uint64(11)).astype(float) / 2.0**53
-        packed = ((rank * 2.0**32).astype(np.uint64) << np.uint64(22)) | (h & np.uint64((1 << 22) - 1))
+        packed = ((rank * 2.0**26).astype(np.uint64) << np.uint64(22)) | (h & np.uint64((1 << 22) - 1))
         np.minimum.at(sig, spot, packed)
         short = (sig.reshape(n, coords) == _EMPTY).any(axis=1)
         more = short[owner]
