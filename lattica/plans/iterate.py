@@ -15,8 +15,19 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """``df``, materialised in the checkpoint folder.
+
+    A checkpoint keeps the constraints that its plan inferred, and in loops these multiply
+    from round to round until planning takes longer than running; so none are inferred.
+    """
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
