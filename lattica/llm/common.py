@@ -40,19 +40,20 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so later plans start there.
+    """Materialise ``df`` in the shared checkpoint folder, so later plans start there."""
+    prepare(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    A checkpoint keeps the constraints that its plan inferred, and in loops these multiply
-    from round to round until planning takes longer than running; so none are inferred.
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """The same for loops: without the size that the plan was estimated at.
+
+    A checkpoint keeps that estimate. A join multiplies those of its sides, so in a loop
+    its digits double with every round until planning takes longer than running.
     """
-    prepare(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key, "true")
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
+    spark = df.sparkSession
+    made = cut(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(made.javaRDD(), made.schema()), spark)
 
 
 def fold(col: str = "doc_id") -> Column:

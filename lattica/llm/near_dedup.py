@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, chunks, cut, mix64, read_table, text_bytes
+from lattica.llm.common import Words, chunks, cut, cut_in_loop, mix64, read_table, text_bytes
 from lattica.llm.exact_dedup import filter_bits
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
@@ -185,7 +185,7 @@ def _leaders(members: DataFrame, slots: int) -> DataFrame:
         by_slot = by_slot.join(total, "bucket")
     else:
         by_slot = by_slot.filter("n >= 2")
-    whole = cut(by_slot.select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
+    whole = cut_in_loop(by_slot.select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
     some = in_filter(members.withColumnRenamed("bucket", "key"), whole.select("key"), whole.count()).filter("__in")
     return some.select("key", "node").join(whole, "key").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket")).filter("a <> b")
 
@@ -194,12 +194,12 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): pairs of nodes whose shingle sets have the similarity, through which all
     such nodes that share a bucket are connected. ``texts`` has key and text."""
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
-    nodes = cut(nodes)
-    pending, slots = cut(_leaders(nodes.select("node", F.explode("bands").alias("bucket")), 1)), 1
+    nodes = cut_in_loop(nodes)
+    pending, slots = cut_in_loop(_leaders(nodes.select("node", F.explode("bands").alias("bucket")), 1)), 1
     ends = pending.select("a").union(pending.select("b")).distinct().withColumnRenamed("a", "node")
-    keys = cut(nodes.select("node", "key").join(ends, "node"))
+    keys = cut_in_loop(nodes.select("node", "key").join(ends, "node"))
     some = in_filter(texts, keys.select("key"), keys.count()).filter("__in").select("key", "text")
-    sets = cut(some.mapInArrow(_sets, "node bigint, shingles binary").join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut_in_loop(some.mapInArrow(_sets, "node bigint, shingles binary").join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     near, same = signed.sparkSession.createDataFrame([], "a bigint, b bigint"), None
@@ -207,21 +207,21 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
         # The member's set travels with the pair; the leader's is met where it stands.
         pairs = (pending if same is None else pending.filter("NOT same")).select("a", "b").distinct()
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        checked = cut(both.mapInArrow(_near, "a bigint, b bigint, near boolean").filter("near").select("a", "b"))
+        checked = cut_in_loop(both.mapInArrow(_near, "a bigint, b bigint, near boolean").filter("near").select("a", "b"))
         near = near.union(checked)
         # Members that are near a leader, or connected with it, are done, and so are the
         # leaders. The others go on with each other.
         label = components(near)
         held = _labelled(pending.select("a", "b", "bucket"), label)
         done = held.filter("same").select("a", "bucket").union(pending.select("b", "bucket"))
-        far = cut(pending.select("a", "bucket").distinct().join(done, ["a", "bucket"], "left_anti"))
+        far = cut_in_loop(pending.select("a", "bucket").distinct().join(done, ["a", "bucket"], "left_anti"))
         if far.isEmpty():
             break
         members = far.select(F.col("a").alias("node"), "bucket")
         if slots == 1:
             members = _twice(members)
         slots = min(16 * slots, MOST_LEADERS)
-        pending = cut(_labelled(_leaders(members, slots), label))
+        pending = cut_in_loop(_labelled(_leaders(members, slots), label))
         same = True
     return near
 
@@ -246,14 +246,14 @@ def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for nodes with an edge."""
-    both = cut(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
-    label = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")))
+    both = cut_in_loop(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
+    label = cut_in_loop(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         # What neighbours have, and then what the label's own node has.
         heard = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         step = label.join(heard, "a").select("a", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
         jump = label.select(F.col("a").alias("label"), F.col("label").alias("far"))
-        step = cut(step.join(jump, "label").select("a", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")))
+        step = cut_in_loop(step.join(jump, "label").select("a", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")))
         label = step.select("a", "label")
         if step.filter("moved").isEmpty():
             return label.withColumnRenamed("a", "node")
