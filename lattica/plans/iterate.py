@@ -15,19 +15,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, materialised in the checkpoint folder.
+    """``df``, materialised in the checkpoint folder, without the size it was estimated at.
 
-    A checkpoint keeps the constraints that its plan inferred, and in loops these multiply
-    from round to round until planning takes longer than running; so none are inferred.
+    A checkpoint keeps that estimate. A join multiplies those of its sides, so in a loop
+    its digits double with every round until planning takes longer than running.
     """
-    prepare(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key, "true")
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
+    spark = df.sparkSession
+    prepare(spark)
+    made = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(made.javaRDD(), made.schema()), spark)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
