@@ -139,5 +139,9 @@ SECRETS = {
 
 def secrets(text: Column) -> Column:
     """An array of (kind, match) for every match of every pattern."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), 1), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("match"))) for k, p in SECRETS.items()]
-    return F.concat(*found)
+
+    def of(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("match")))
+
+    return F.concat(*[of(k, p) for k, p in SECRETS.items()])

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.functions import rules as R
 from lattica.functions import text as T
 from lattica.graph import NODE_TYPES
 from lattica.operators import algorithms as A
 from lattica.operators import flow as N
 from lattica.operators import history as H
+from lattica.operators import resolution as RS
 from lattica.operators import similarity as S
 from lattica.operators import verbs as V
 from lattica.plans import gql, iterate
@@ -731,6 +733,108 @@ def _(spark, sf):
     return W.latest(P.table(spark, sf, "events"), "user_id", "event_id", "event_type")
 
 
+# --- rules, resolution, fused and pooled signals
+
+_RULES = """{"rules": [{"name": "big", "match": {"and": [{"node_type": "Function"}, {"complexity_above": 40}]}, "actions": [{"add_label": "big"}]},
+  {"name": "named", "match": {"or": [{"name_regex": "^g"}, {"not": {"complexity_above": 3}}]}, "actions": [{"add_label": "named"}, {"set_property": {"name": "k", "value": "v"}}]}]}"""
+
+
+@query("P28_rules", "SELECT 'part:'||p_partkey AS id, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'big' END, CASE WHEN p_name LIKE 'g%' OR NOT p_size > 3 THEN 'named' END], lambda x: x IS NOT NULL), ',') AS labels, CASE WHEN p_name LIKE 'g%' OR NOT p_size > 3 THEN 'v' END AS k FROM part")
+def _(spark, sf):
+    out = R.apply(P.part_nodes(spark, sf), _RULES)
+    return out.select("id", F.array_join("labels", ",").alias("labels"), F.col("properties")["k"].alias("k"))
+
+
+@query("P28_rule_counts", "SELECT 'big' AS rule, count(*) FILTER (p_size > 40) AS n FROM part UNION ALL SELECT 'named', count(*) FILTER (p_name LIKE 'g%' OR NOT p_size > 3) FROM part")
+def _(spark, sf):
+    return R.matched(P.part_nodes(spark, sf), _RULES)
+
+
+@query("P30_statement_roles", "SELECT conv_id, turn, CASE WHEN contains(text, 'a') AND NOT contains(text, 'zz') THEN 'src' END AS source, CASE WHEN regexp_matches(text, '[0-9]') THEN 'num' WHEN contains(text, 'e') AND contains(text, 'o') THEN 'eo' END AS sink FROM conversations")
+def _(spark, sf):
+    rules = [{"role": "source", "name": "src", "any": ["a"], "unless_any": ["zz"]}, {"role": "sink", "name": "num", "regex": "[0-9]"}, {"role": "sink", "name": "eo", "all": ["e", "o"]}]
+    return R.statement_roles(P.table(spark, sf, "conversations"), rules).select("conv_id", "turn", "source", "sink")
+
+
+@query("D15_verdict", "SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN 'not_affected' WHEN p_partkey % 2 = 0 THEN 'exploitable' WHEN p_partkey % 3 = 0 THEN 'affected' ELSE 'under_investigation' END AS verdict FROM part")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    return P.table(spark, sf, "part").select(k.alias("id"), R.verdict(k % 2 == 0, F.col("p_size") >= 10, k % 3 == 0).alias("verdict"))
+
+
+@query("J13_resolution", """WITH r AS (SELECT o_orderkey AS rel, 'Brand#'||(11 + o_orderkey % 5) AS path, p_name AS name, CASE WHEN o_orderkey % 2 = 0 THEN p_type||'.'||p_brand||'.'||p_name||'#'||p_partkey END AS hint FROM orders JOIN part ON p_partkey = o_orderkey % 200),
+  s AS (SELECT p_partkey AS id, p_brand AS path, p_name AS name, p_type||'.'||p_brand||'.'||p_name||'#'||p_partkey AS qn FROM part),
+  t AS (SELECT rel, s.id, 1 AS tier FROM r JOIN s ON r.name = s.name AND r.path = s.path UNION ALL SELECT rel, s.id, 2 FROM r JOIN s ON hint = qn UNION ALL SELECT rel, s.id, 4 FROM r JOIN s ON r.name = s.name),
+  u AS (SELECT rel, tier, min(id) AS id FROM t GROUP BY rel, tier HAVING count(DISTINCT id) = 1)
+  SELECT rel, arg_min(id, tier) AS id, CAST(min(tier) AS BIGINT) AS tier FROM u GROUP BY rel""")
+def _(spark, sf):
+    p = P.table(spark, sf, "part")
+    qn = F.concat_ws(".", "p_type", "p_brand", F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")))
+    o = P.table(spark, sf, "orders").withColumn("k", F.col("o_orderkey") % 200).join(p, F.col("k") == F.col("p_partkey"))
+    rel = o.select(F.col("o_orderkey").alias("rel"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 5 + 11).cast("string")).alias("path"), F.col("p_name").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, qn).alias("hint"))
+    return RS.resolve_relations(rel, p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_name").alias("name"), qn.alias("qualified_name")))
+
+
+@query("J15_overrides", """WITH o AS (SELECT l_orderkey AS type, l_linenumber AS pos, 'p'||l_partkey AS ancestor FROM lineitem WHERE l_orderkey % 20 = 0), m AS (SELECT 'p'||p_partkey AS id, 'p'||p_partkey AS type, p_brand AS name FROM part),
+  x AS (SELECT o_orderkey AS type, 'Brand#'||(11 + o_orderkey % 5) AS name FROM orders WHERE o_orderkey % 20 = 0)
+  SELECT 'o'||x.type AS src, arg_min(m.id, (pos, m.id)) AS dst FROM x JOIN o USING (type) JOIN m ON m.type = o.ancestor AND m.name = x.name GROUP BY x.type""")
+def _(spark, sf):
+    li = P.table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    order = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("type"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("ancestor"))
+    o = P.table(spark, sf, "orders").filter("o_orderkey % 20 = 0")
+    key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    mine = o.select(key.alias("id"), key.alias("type"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 5 + 11).cast("string")).alias("name"))
+    k = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    return RS.overrides(mine.union(P.table(spark, sf, "part").select(k.alias("id"), k.alias("type"), F.col("p_brand").alias("name"))), order)
+
+
+@query("J26_unused_keys", "SELECT p_partkey AS id, CASE WHEN lower(p_name) LIKE '%old%' OR lower(p_name) LIKE '%legacy%' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")
+def _(spark, sf):
+    uses = P.table(spark, sf, "lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("dst"))
+    return RS.unused_keys(P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), uses)
+
+
+@query("J27_missing_keys", "SELECT event_type AS name, array_to_string(list_sort(list_distinct(list(CAST(user_id % 3 AS VARCHAR)))), ',') AS paths FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id = 0) GROUP BY 1")
+def _(spark, sf):
+    e = P.table(spark, sf, "events")
+    return RS.missing_keys(e.select(F.col("event_type").alias("name"), (F.col("user_id") % 3).cast("string").alias("path")), e.filter("event_id = 0").select(F.col("event_type").alias("name")))
+
+
+@query("J21_file_cascade", f"WITH {SPARSE}, f AS (SELECT DISTINCT a.p_brand AS s, b.p_brand AS t FROM e JOIN part a ON a.p_partkey = e.s JOIN part b ON b.p_partkey = e.t WHERE e.s % 10 = 3) SELECT DISTINCT s AS id, CAST(1 AS BIGINT) AS hops FROM f WHERE t = 'Brand#11' AND s <> 'Brand#11'")
+def _(spark, sf):
+    b = P.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_brand")
+    e = P.part_calls_sparse(spark, sf).filter("s % 10 = 3").join(b.toDF("s", "a"), "s").join(b.toDF("t", "b"), "t").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return A.impact_radius(e, spark.createDataFrame([("Brand#11",)], "id string"), 1)
+
+
+@query("G28_diffusion", """WITH x0 AS (SELECT vec_id AS id, unnest(range(8)) AS dim, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings), e AS (SELECT vec_id AS s, (vec_id * 7 + 1) % 100 AS t FROM embeddings UNION ALL SELECT vec_id, (vec_id * 3 + 2) % 100 FROM embeddings WHERE vec_id % 2 = 0),
+  """ + ", ".join(f"m{i} AS (SELECT e.s AS id, dim, avg(x) AS m FROM e JOIN x{i - 1} x ON x.id = e.t GROUP BY ALL), x{i} AS (SELECT id, dim, CASE WHEN m IS NULL THEN x ELSE 0.75 * x + 0.25 * m END AS x FROM x{i - 1} LEFT JOIN m{i} USING (id, dim))" for i in (1, 2)) + """
+  SELECT id, CAST(dim AS BIGINT) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM x2""")
+def _(spark, sf):
+    v = P.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("v"))
+    e = v.select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 100).alias("dst")).unionAll(v.filter("id % 2 = 0").select("id", (F.col("id") * 3 + 2) % 100))
+    return S.diffused(v, e).select("id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query("Q17_keyword_recall", "SELECT p_partkey AS id, round((CASE WHEN contains(' '||p_name||' ', ' green ') THEN 1 ELSE 0 END + CASE WHEN contains(' '||p_name||' ', ' part ') THEN 1 ELSE 0 END) / 2.0, 6)::DOUBLE AS recall FROM part")
+def _(spark, sf):
+    return P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(S.keyword_recall(T.tokens(F.col("p_name")), ["green", "part"]), 6).alias("recall"))
+
+
+@query("D03_review_seeds", f"WITH {CHANGES} SELECT DISTINCT id FROM (SELECT src AS id FROM x UNION ALL SELECT dst FROM x UNION ALL SELECT p_partkey FROM part WHERE p_size = 50)")
+def _(spark, sf):
+    x = H.diff_edges(*_snapshots(spark, sf))
+    hunk = P.table(spark, sf, "part").filter("p_size = 50").select(F.col("p_partkey").alias("id"))
+    return x.select(F.col("src").alias("id")).union(x.select("dst")).union(hunk).distinct()
+
+
+@query("A27_blast_summary", f"WITH {SPARSE} SELECT p_brand AS bucket, count(DISTINCT s) AS n FROM e JOIN part ON p_partkey = s WHERE t % 5 = 0 GROUP BY 1 ORDER BY n DESC, bucket LIMIT 10")
+def _(spark, sf):
+    b = P.table(spark, sf, "part").select(F.col("p_partkey").alias("s"), F.col("p_brand").alias("bucket"))
+    e = P.part_calls_sparse(spark, sf).filter("t % 5 = 0").select("s").distinct().join(b, "s")
+    return e.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bucket").limit(10)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct calls between parts, through the pattern language."""
     return gql.run(P.call_graph(spark, sf_dir), "MATCH (a:Function)-[:CALLS]->(b:Function) RETURN a, b")
