@@ -266,3 +266,35 @@ def migration_scores(metrics: DataFrame, alpha: float = 0.33, beta: float = 0.33
 
     df = df.select("id", (alpha * scaled("pagerank") + beta * scaled("harmonic") - gamma * scaled("blast")).alias("score"))
     return df.withColumn("priority", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+def hyperball(edges: DataFrame, rounds: int = 16, precision: int = 12) -> DataFrame:
+    """(id, harmonic): harmonic closeness along edges from a distinct-count sketch of each
+    node's ball, merged with its successors' once a round; stops when no ball grows."""
+    e = cut(edges.select("src", "dst").distinct())
+    ids = cut(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+    n = ids.count()
+    ball = cut(ids.groupBy("id").agg(F.hll_sketch_agg(F.col("id").cast("string"), precision).alias("s")).select("id", "s", F.lit(1.0).alias("size"), F.lit(0.0).alias("sum")))
+    for t in range(1, rounds + 1):
+        heard = e.join(ball.select(F.col("id").alias("dst"), "s"), "dst").select(F.col("src").alias("id"), "s").union(ball.select("id", "s"))
+        grown = heard.groupBy("id").agg(F.hll_union_agg("s").alias("s2"))
+        step = ball.join(grown, "id").withColumn("size2", F.hll_sketch_estimate("s2").cast("double"))
+        more = F.greatest(F.col("size2") - F.col("size"), F.lit(0.0))
+        ball = cut(step.select("id", F.col("s2").alias("s"), F.greatest("size", "size2").alias("size"), (F.col("sum") + more / t).alias("sum"), more.alias("more")))
+        if ball.agg(F.max("more")).first()[0] == 0:
+            break
+        ball = ball.drop("more")
+    return ball.select("id", (F.col("sum") / max(n - 1, 1)).alias("harmonic"))
+
+
+def region_hashes(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(id, hash): Weisfeiler-Lehman refinement of ``nodes`` (id, kind) over typed edges
+    (src, dst, edge_type), in and out; equal surroundings have equal hashes."""
+    h = nodes.select("id", F.xxhash64("kind").alias("hash"))
+    out = edges.select(F.col("src").alias("id"), F.col("dst").alias("peer"), F.concat(F.lit(">"), F.col("edge_type")).alias("tag"))
+    both = out.union(edges.select("dst", "src", F.concat(F.lit("<"), F.col("edge_type"))))
+    for _ in range(rounds):
+        # A sum of mixed hashes does not depend on order and is combined before the shuffle.
+        near = both.join(h.toDF("peer", "ph"), "peer").groupBy("id").agg(F.sum(F.xxhash64("tag", "ph").cast("decimal(20,0)")).alias("around"))
+        h = h.join(near, "id", "left").select("id", F.xxhash64("hash", F.coalesce(F.col("around"), F.lit(0)).cast("decimal(38,0)")).alias("hash"))
+    return h

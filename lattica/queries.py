@@ -488,6 +488,11 @@ def _(spark, sf):
     return A.centrality(_calls(spark, sf)).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
+@query("G06_hyperball")
+def _(spark, sf):
+    return A.hyperball(_thin(spark, sf)).select("id", F.round("harmonic", 6).alias("harmonic"))
+
+
 @query("G19_communities")
 def _(spark, sf):
     return A.communities(_calls(spark, sf))

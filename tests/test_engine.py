@@ -63,6 +63,23 @@ def test_bridge_is_central(spark):
     assert max(got, key=got.get) in (3, 4, 5) and got[4] == pytest.approx(9 / 30)
 
 
+def test_hyperball_is_near(spark):
+    pairs = [(i, (i * 7 + 1) % 60) for i in range(60)] + [(i, (i + 1) % 60) for i in range(0, 60, 2)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    exact = {r["id"]: r["harmonic"] for r in A.centrality(e).collect()}
+    near = {r["id"]: r["harmonic"] for r in A.hyperball(e).collect()}
+    assert all(abs(near[k] - v) <= 0.1 * max(v, 0.1) for k, v in exact.items())
+
+
+def test_region_hashes(spark):
+    nodes = spark.createDataFrame([(i, "f" if i < 6 else "g") for i in range(7)], "id long, kind string")
+    edges = spark.createDataFrame([(0, 1, "x"), (1, 2, "x"), (3, 4, "x"), (4, 5, "x"), (5, 6, "x")], "src long, dst long, edge_type string")
+    h = {r["id"]: r["hash"] for r in A.region_hashes(nodes, edges).collect()}
+    assert h[0] == h[0] and h[1] != h[2] and h[2] != h[5]
+    one = {r["id"]: r["hash"] for r in A.region_hashes(nodes, edges, 1).collect()}
+    assert one[0] == one[3] and one[1] == one[4]
+
+
 def test_cliques_part(spark):
     clique = lambda xs: [(a, b) for a in xs for b in xs if a < b]
     e = spark.createDataFrame([(str(a), str(b)) for a, b in clique([1, 2, 3, 4]) + clique([5, 6, 7, 8]) + [(4, 5)]], "src string, dst string")
