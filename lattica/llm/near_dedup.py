@@ -35,6 +35,8 @@ COORDS = BANDS * ROWS
 ORDERS, SALTS = 2, 32
 #: Leaders that a bucket has in a late round at most; there is one in the first.
 MOST_LEADERS = 256
+#: How far apart two bands are at most that make a bucket together.
+RING = 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = mix64(np.arange(7, 7 + 256, dtype=np.uint64)) | np.uint64(1)
 
@@ -104,12 +106,13 @@ def darts(element: np.ndarray, owner: np.ndarray, n: int, coords: int = COORDS,
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """n x BANDS hashes of ROWS coordinates each."""
+    """n x BANDS hashes of ROWS coordinates each; the low six bits are the band's number."""
     parts = sig.reshape(len(sig), BANDS, ROWS)
     h = np.zeros((len(sig), BANDS), dtype=np.uint64)
     for r in range(ROWS):
         h = mix64(h * _ODD[40 + r] + parts[:, :, r])
-    return mix64(h + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[50]).view(np.int64)
+    number = np.arange(BANDS, dtype=np.uint64)
+    return (mix64(h + (number + np.uint64(1)) * _ODD[50]) & ~np.uint64(63) | number).view(np.int64)
 
 
 def _by_text(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,8 +173,9 @@ def in_filter(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
 
 
 def _leaders(members: DataFrame, slots: int) -> DataFrame:
-    """(a, b, bucket): each member a of a bucket of two or more with each leader b of the
-    bucket, of which there are ``slots`` at most.
+    """(a, b, bucket, may): each member a of a bucket of two or more with each leader b of
+    the bucket, of which there are ``slots`` at most, all from members (node, bucket, may)
+    that ``may`` lead.
 
     Counts and leaders are aggregated before the shuffle, so a bucket may hold any share of
     the rows; a bounded Bloom filter of the buckets with two members or more then spares
@@ -179,15 +183,15 @@ def _leaders(members: DataFrame, slots: int) -> DataFrame:
     """
     first = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))).alias("o"), F.col("node").alias("node"))
     slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-    by_slot = members.groupBy("bucket", slot.alias("slot")).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    by_slot = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.when(F.col("may"), first)).alias("first"), F.count(F.lit(1)).alias("n"))
     if slots > 1:
         total = by_slot.groupBy("bucket").agg(F.sum("n").alias("total")).filter("total >= 2").select("bucket")
         by_slot = by_slot.join(total, "bucket")
     else:
         by_slot = by_slot.filter("n >= 2")
-    whole = cut_in_loop(by_slot.select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
+    whole = cut_in_loop(by_slot.filter("first IS NOT NULL").select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
     some = in_filter(members.withColumnRenamed("bucket", "key"), whole.select("key"), whole.count()).filter("__in")
-    return some.select("key", "node").join(whole, "key").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket")).filter("a <> b")
+    return some.select("key", "node", "may").join(whole, "key").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket"), "may").filter("a <> b")
 
 
 def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,7 +199,7 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
     such nodes that share a bucket are connected. ``texts`` has key and text."""
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     nodes = cut_in_loop(nodes)
-    pending, slots = cut_in_loop(_leaders(nodes.select("node", F.explode("bands").alias("bucket")), 1)), 1
+    pending, slots = cut_in_loop(_leaders(nodes.select("node", F.explode("bands").alias("bucket"), F.lit(True).alias("may")), 1)), 1
     ends = pending.select("a").union(pending.select("b")).distinct().withColumnRenamed("a", "node")
     keys = cut_in_loop(nodes.select("node", "key").join(ends, "node"))
     some = in_filter(texts, keys.select("key"), keys.count()).filter("__in").select("key", "text")
@@ -210,14 +214,16 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
         checked = cut_in_loop(both.mapInArrow(_near, "a bigint, b bigint, near boolean").filter("near").select("a", "b"))
         near = near.union(checked)
         # Members that are near a leader, or connected with it, are done, and so are the
-        # leaders. The others go on with each other.
+        # leaders. In buckets with others, those lead next, and meet the done ones again.
         label = components(near)
         held = _labelled(pending.select("a", "b", "bucket"), label)
         done = held.filter("same").select("a", "bucket").union(pending.select("b", "bucket"))
-        far = cut_in_loop(pending.select("a", "bucket").distinct().join(done, ["a", "bucket"], "left_anti"))
+        far = cut_in_loop(pending.filter("may").select("a", "bucket").distinct().join(done, ["a", "bucket"], "left_anti"))
         if far.isEmpty():
             break
-        members = far.select(F.col("a").alias("node"), "bucket")
+        every = pending.select("a", "bucket").union(pending.select("b", "bucket")).distinct()
+        members = every.join(far.select("bucket").distinct(), "bucket", "left_semi").join(far.withColumn("may", F.lit(True)), ["a", "bucket"], "left")
+        members = members.select(F.col("a").alias("node"), "bucket", F.coalesce("may", F.lit(False)).alias("may"))
         if slots == 1:
             members = _twice(members)
         slots = min(16 * slots, MOST_LEADERS)
@@ -227,13 +233,15 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _twice(members: DataFrame) -> DataFrame:
-    """Each node's buckets, two by two: near texts that share a bucket share another one
-    (at similarity 0.8 all but one pair in 10,000 do), while texts that share only a
-    passage rarely do. At most BANDS * (BANDS - 1) / 2 rows a node."""
-    own = members.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("b"))
-    one = own.select("node", "b", F.posexplode("b").alias("i", "x"))
-    two = one.select("node", "x", F.explode(F.slice("b", F.col("i") + 2, F.lit(BANDS))).alias("y"))
-    return two.select("node", F.xxhash64("x", "y").alias("bucket"))
+    """Pairs of a node's buckets whose bands are RING apart at most, going round: near texts
+    that share a bucket share such a pair (at similarity 0.8 all but one in 10,000 do),
+    while texts that share only a passage rarely do. At most BANDS * RING rows a node."""
+    own = members.groupBy("node").agg(F.collect_list(F.struct("bucket", "may")).alias("b"))
+    one = own.select("node", "b", F.explode("b").alias("x"))
+    low = lambda c: c["bucket"].bitwiseAND(F.lit(63))
+    near = F.filter("b", lambda y: F.pmod(low(y) - low(F.col("x")), F.lit(BANDS)).between(1, RING))
+    two = one.select("node", "x", F.explode(near).alias("y"))
+    return two.select("node", F.xxhash64("x.bucket", "y.bucket").alias("bucket"), (F.col("x.may") & F.col("y.may")).alias("may"))
 
 
 def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
