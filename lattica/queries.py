@@ -565,13 +565,13 @@ def _(spark, sf):
 
 
 @query("W11_fusion", f"""WITH {BITS}, q AS (SELECT lo, hi FROM b WHERE vec_id = 3), p AS (SELECT vec_id, label, 1 - (bit_count(xor(b.lo, q.lo)) + bit_count(xor(b.hi, q.hi))) / 64.0 AS sim FROM b, q ORDER BY sim DESC, vec_id LIMIT 256)
-  SELECT vec_id AS id, round(0.35::DOUBLE * sim::DOUBLE + 0.08::DOUBLE * CASE WHEN label = (SELECT label FROM b WHERE vec_id = 3) THEN 1 ELSE 0 END, 6) AS score FROM p ORDER BY score DESC, id LIMIT 20""")
+  SELECT vec_id AS id, round(0.35::DOUBLE * sim::DOUBLE + 0.08::DOUBLE * CASE WHEN label = (SELECT label FROM b WHERE vec_id = 3) THEN 1 ELSE 0 END, 8) AS score FROM p ORDER BY score DESC, id LIMIT 20""")
 def _(spark, sf):
     rows = _bits(spark, sf)
     q = rows.filter("id = 3").first()
     pool = S.hamming_topk(rows, q["bits"], 256).join(rows.select("id", "community"), "id")
     pool = pool.select("id", (1 - F.col("distance") / 64.0).alias("similarity"), F.when(F.col("community") == q["community"], 1.0).otherwise(0.0).alias("community"))
-    return pool.select("id", F.round(S.fused(pool), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return pool.select("id", F.round(S.fused(pool), 8).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
 # --- differences, compaction, policies
