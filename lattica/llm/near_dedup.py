@@ -9,9 +9,9 @@ from the low ranks up and only until every coordinate has a dart, so a text of n
 costs about n + k log k darts instead of n k.
 
 BANDS bands of ROWS coordinates are joined. In a bucket nobody is compared with
-everybody: members are compared with a leader; those that are neither near it nor connected
-with it by now go on in pairs of buckets, where they elect more leaders, sixteen times as
-many in each round, until none is left; the order of leaders differs by band. Each
+everybody: members are compared with a leader; where the others are not all connected by
+now, they go on in pairs of buckets and elect more leaders, sixteen times as many in each
+round, until all that have not led are connected; the order of leaders differs by band. Each
 candidate pair is checked on the whole shingle sets (32-bit hashes). Links give connected
 classes. Texts with equal shingle sets are one node throughout.
 """
@@ -173,15 +173,15 @@ def in_filter(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
 
 
 def _leaders(members: DataFrame, slots: int) -> DataFrame:
-    """(a, b, bucket, may): each member a of a bucket of two or more with each leader b of
-    the bucket, of which there are ``slots`` at most, all from members (node, bucket, may)
-    that ``may`` lead.
+    """(a, b, bucket): each member a of a bucket with each leader b of another label, of
+    which a bucket has ``slots`` at most, all from members (node, bucket, label, may) that
+    ``may`` lead.
 
     Counts and leaders are aggregated before the shuffle, so a bucket may hold any share of
     the rows; a bounded Bloom filter of the buckets with two members or more then spares
     the other members, most of them, a shuffle.
     """
-    first = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))).alias("o"), F.col("node").alias("node"))
+    first = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))).alias("o"), F.col("node").alias("node"), F.col("label").alias("label"))
     slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
     by_slot = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.when(F.col("may"), first)).alias("first"), F.count(F.lit(1)).alias("n"))
     if slots > 1:
@@ -189,9 +189,9 @@ def _leaders(members: DataFrame, slots: int) -> DataFrame:
         by_slot = by_slot.join(total, "bucket")
     else:
         by_slot = by_slot.filter("n >= 2")
-    whole = cut_in_loop(by_slot.filter("first IS NOT NULL").select(F.col("bucket").alias("key"), F.col("first.node").alias("b")))
+    whole = cut_in_loop(by_slot.filter("first IS NOT NULL").select(F.col("bucket").alias("key"), F.col("first.node").alias("b"), F.col("first.label").alias("lb")))
     some = in_filter(members.withColumnRenamed("bucket", "key"), whole.select("key"), whole.count()).filter("__in")
-    return some.select("key", "node", "may").join(whole, "key").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket"), "may").filter("a <> b")
+    return some.select("key", "node", "label").join(whole, "key").filter("label <> lb").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket"))
 
 
 def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -199,57 +199,62 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
     such nodes that share a bucket are connected. ``texts`` has key and text."""
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     nodes = cut_in_loop(nodes)
-    pending, slots = cut_in_loop(_leaders(nodes.select("node", F.explode("bands").alias("bucket"), F.lit(True).alias("may")), 1)), 1
+    every = nodes.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("label"), F.lit(True).alias("may"))
+    pending, slots = cut_in_loop(_leaders(every, 1)), 1
+    # A leader has met all members of its bucket, so it is not needed there any more.
+    members = pending.select(F.col("a").alias("node"), "bucket")
     ends = pending.select("a").union(pending.select("b")).distinct().withColumnRenamed("a", "node")
     keys = cut_in_loop(nodes.select("node", "key").join(ends, "node"))
     some = in_filter(texts, keys.select("key"), keys.count()).filter("__in").select("key", "text")
     sets = cut_in_loop(some.mapInArrow(_sets, "node bigint, shingles binary").join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    near, same = signed.sparkSession.createDataFrame([], "a bigint, b bigint"), None
+    near = signed.sparkSession.createDataFrame([], "a bigint, b bigint")
     while True:
         # The member's set travels with the pair; the leader's is met where it stands.
-        pairs = (pending if same is None else pending.filter("NOT same")).select("a", "b").distinct()
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+        pairs = pending.select("a", "b")
+        if slots > 1:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        both = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
         checked = cut_in_loop(both.mapInArrow(_near, "a bigint, b bigint, near boolean").filter("near").select("a", "b"))
         near = near.union(checked)
-        # Members that are near a leader, or connected with it, are done, and so are the
-        # leaders. In buckets with others, those lead next, and meet the done ones again.
+        # Members that have not led need not meet if they are connected; buckets where all
+        # of them are, are done. In others all but those of one label lead in their turn.
         label = components(near)
-        held = _labelled(pending.select("a", "b", "bucket"), label)
-        done = held.filter("same").select("a", "bucket").union(pending.select("b", "bucket"))
-        far = cut_in_loop(pending.filter("may").select("a", "bucket").distinct().join(done, ["a", "bucket"], "left_anti"))
-        if far.isEmpty():
-            break
-        every = pending.select("a", "bucket").union(pending.select("b", "bucket")).distinct()
-        members = every.join(far.select("bucket").distinct(), "bucket", "left_semi").join(far.withColumn("may", F.lit(True)), ["a", "bucket"], "left")
-        members = members.select(F.col("a").alias("node"), "bucket", F.coalesce("may", F.lit(False)).alias("may"))
+        members = _apart(members, label)
         if slots == 1:
-            members = _twice(members)
+            members = _apart(_twice(members), label)
+        members = cut_in_loop(members)
+        if members.isEmpty():
+            return near
         slots = min(16 * slots, MOST_LEADERS)
-        pending = cut_in_loop(_labelled(_leaders(members, slots), label))
-        same = True
-    return near
+        pending = cut_in_loop(_leaders(members, slots))
+        led = pending.select(F.col("b").alias("node"), "bucket").distinct()
+        members = members.select("node", "bucket").join(led, ["node", "bucket"], "left_anti")
 
 
 def _twice(members: DataFrame) -> DataFrame:
     """Pairs of a node's buckets whose bands are RING apart at most, going round: near texts
     that share a bucket share such a pair (at similarity 0.8 all but one in 10,000 do),
     while texts that share only a passage rarely do. At most BANDS * RING rows a node."""
-    own = members.groupBy("node").agg(F.collect_list(F.struct("bucket", "may")).alias("b"))
+    own = members.groupBy("node").agg(F.collect_list("bucket").alias("b"))
     one = own.select("node", "b", F.explode("b").alias("x"))
-    low = lambda c: c["bucket"].bitwiseAND(F.lit(63))
+    low = lambda c: c.bitwiseAND(F.lit(63))
     near = F.filter("b", lambda y: F.pmod(low(y) - low(F.col("x")), F.lit(BANDS)).between(1, RING))
     two = one.select("node", "x", F.explode(near).alias("y"))
-    return two.select("node", F.xxhash64("x.bucket", "y.bucket").alias("bucket"), (F.col("x.may") & F.col("y.may")).alias("may"))
-
-
-def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with ``same``: whether both have one label. Nodes without a label
-    have no link yet; labels are few next to the pairs' sets, but not bounded, so they join
-    by shuffle."""
-    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
-    return pairs.join(la, "a", "left").join(lb, "b", "left").withColumn("same", F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).drop("la", "lb")
+    return two.select("node", F.xxhash64("x", "y").alias("bucket"))
+
+
+def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, bucket, label, may) of the buckets whose members (node, bucket) have more than
+    one label; those of the commonest label there may not lead. Nodes without a link yet
+    are labels of their own. Labels are few next to the pairs' sets, but not bounded, so
+    they join by shuffle."""
+    known = members.join(label, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+    by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    most = most.filter("labels > 1").select("bucket", F.col("top.label").alias("top"))
+    return known.join(most, "bucket").select("node", "bucket", "label", (F.col("label") != F.col("top")).alias("may"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -133,6 +133,60 @@ def test_near_classes(docs, none, texts):
     assert kept.columns == docs.columns and kept.count() == len({top(i) for i in sets})
 
 
+def near_family(n: int, pool: int = 24) -> list[str]:
+    """Texts with four or five of ``pool`` edits of one template: few pairs are 0.8 similar."""
+    r = random.Random(1)
+    spots, found = r.sample(range(2, 138, 5), pool), set()
+    while len(found) < n:
+        found.add(tuple(sorted(r.sample(spots, r.randint(4, 5)))))
+    return [" ".join(f"x{k}" if k in edits else f"w{k}" for k in range(140)) for edits in sorted(found)]
+
+
+def near_labels(texts: list[str]) -> list[int]:
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for a in label[:]:
+        for b in range(a):
+            m = len(sets[a] & sets[b])
+            if label[a] != label[b] and m >= 0.8 * (len(sets[a]) + len(sets[b]) - m):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def linked_labels(spark, texts: list[str], bands: list[list[int]]) -> list[int]:
+    """Labels from links of the texts with these buckets instead of their own."""
+    rows = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(zip(texts, bands, strict=True))], "doc_id long, text string, bands array<long>")
+    rows = rows.withColumn("key", near_dedup.row_key())
+    signed = rows.mapInArrow(near_dedup._signed, "doc_id bigint, key bigint, node bigint, bands array<bigint>").drop("bands")
+    signed = signed.join(rows.select("doc_id", "bands"), "doc_id").persist()
+    doc = {r["node"]: r["doc_id"] for r in signed.select("node", "doc_id").collect()}
+    label = list(range(len(texts)))
+    for r in near_dedup.links(signed, rows.select("key", "text")).collect():
+        low, high = sorted((label[doc[r["a"]]], label[doc[r["b"]]]))
+        label = [low if x == high else x for x in label]
+    return label
+
+
+def test_near_family(spark):
+    texts = near_family(300)
+    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = near_labels(texts)
+    assert 1 < len(set(want)) < len(texts)
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(want))
+
+
+def near_chain(n: int) -> list[str]:
+    """Windows over one row of words; only neighbours are 0.8 similar."""
+    return [" ".join(f"w{k}" for k in range(12 * i, 12 * i + 116)) for i in range(n)]
+
+
+def test_near_links_between_clusters(spark):
+    """Members of one bucket near different leaders meet each other, too."""
+    texts = near_chain(60)
+    assert linked_labels(spark, texts, [[64, 65]] * len(texts)) == near_labels(texts) == [0] * len(texts)
+
+
 def test_dart_estimates():
     r = np.random.default_rng(1)
     a = near_dedup.mix64(r.integers(0, 1 << 60, 400).astype(np.uint64))
