@@ -187,6 +187,12 @@ def test_near_links_between_clusters(spark):
     assert linked_labels(spark, texts, [[64, 65]] * len(texts)) == near_labels(texts) == [0] * len(texts)
 
 
+def test_near_links_of_far_bands(spark):
+    """Two shared bands are enough, however far apart."""
+    texts = near_chain(20)
+    assert linked_labels(spark, texts, [[64, 84]] * len(texts)) == [0] * len(texts)
+
+
 def test_dart_estimates():
     r = np.random.default_rng(1)
     a = near_dedup.mix64(r.integers(0, 1 << 60, 400).astype(np.uint64))
