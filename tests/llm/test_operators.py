@@ -193,6 +193,15 @@ def test_near_links_of_far_bands(spark):
     assert linked_labels(spark, texts, [[64, 84]] * len(texts)) == [0] * len(texts)
 
 
+def test_near_links_done_in_turns(spark):
+    """Two texts that share two bands meet although each is near a leader in one of them."""
+    chain, bands, want, texts = near_chain(400), [[0, 2], [0, 1, 2], [0, 1, 3], [1, 3]], [], []
+    for g in range(20):
+        texts += chain[20 * g : 20 * g + 4]
+        want += [4 * g] * 4
+    assert linked_labels(spark, texts, [[64 * (i // 4 + 1) + k for k in bands[i % 4]] for i in range(len(texts))]) == want
+
+
 def test_dart_estimates():
     r = np.random.default_rng(1)
     a = near_dedup.mix64(r.integers(0, 1 << 60, 400).astype(np.uint64))
