@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Words, chunks, cut, fold, mix64, read_table, text_bytes
 
 SYMBOLS, TAILS, CLASSES, FEATURES = 128, 32, 16, 2048
-HEAD, STEPS, PARTS, FLUSH = 1 << 18, 20, 3, 1 << 20
+HEAD, STEPS, PARTS, FLUSH = 1 << 18, 30, 3, 1 << 20
 _PER_CLASS = SYMBOLS // CLASSES
 #: The end's hash; no word can have it, as those of words have another low part.
 END = np.uint64(0x9E3779B97F4A7C00 | (TAILS - 1) + 1)
@@ -200,7 +200,7 @@ def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     for step in range(1, STEPS + 1):
         g = _summed_gradient(packed, weights) / total
         m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
-        rate = 0.4 * (1 - (step - 1) / STEPS) + 0.02
+        rate = 0.3 * (1 - (step - 1) / STEPS) + 0.02
         weights += rate * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-7)
     return weights
 

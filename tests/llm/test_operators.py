@@ -345,6 +345,13 @@ def test_language_model(docs, none, monkeypatch, head):
     assert language_model.score(none).count() == 0
 
 
+def test_language_model_updates(docs, monkeypatch):
+    updates = []
+    monkeypatch.setattr(language_model, "_summed_gradient", lambda packed, weights: updates.append(1) or np.zeros_like(weights))
+    language_model.score(docs).count()
+    assert len(updates) == 30
+
+
 def test_vector_search(spark):
     r = np.random.default_rng(4)
     v = r.normal(size=(300, 8)) * r.uniform(0.5, 2, size=(300, 1))
