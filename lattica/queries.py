@@ -490,7 +490,7 @@ def _(spark, sf):
 
 @query("G06_hyperball")
 def _(spark, sf):
-    return A.hyperball(_thin(spark, sf)).select("id", F.round("harmonic", 6).alias("harmonic"))
+    return A.hyperball(_calls(spark, sf)).select("id", F.round("harmonic", 6).alias("harmonic"))
 
 
 @query("G19_communities")
@@ -500,7 +500,7 @@ def _(spark, sf):
 
 @query("G25_topological")
 def _(spark, sf):
-    return A.topological_order(A.condensation(_thin(spark, sf))[1])
+    return A.topological_order(A.condensation(_calls(spark, sf))[1])
 
 
 @query("G27_migration", f"""WITH {DENSE}, d AS (SELECT id, count(*)::DOUBLE AS x FROM (SELECT s AS id FROM e UNION ALL SELECT t FROM e) GROUP BY 1), m AS (SELECT d.id, x, p_retailprice AS h, p_size::DOUBLE AS b FROM d JOIN part ON p_partkey = d.id)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lattica.queries import ORACLE_SQL, QUERIES
+from lattica.queries import ORACLE_SQL, QUERIES, _calls
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,3 +32,22 @@ def test_query(spark, small, con, name):
         assert rows == normal(tuple(r[i] for i in at) for r in want.fetchall())
     else:
         assert rows
+
+
+def test_whole_sparse_graph(spark, small):
+    """G06 and G25 take all edges of the sparse call graph; G25 against brute force."""
+    edges = {(r["src"], r["dst"]) for r in _calls(spark, small).collect()}
+    nodes = {x for e in edges for x in e}
+    assert {r["id"] for r in QUERIES["G06_hyperball"](spark, small).collect()} == nodes
+    reach = {x: {t for s, t in edges if s == x} for x in nodes}
+    for k in nodes:
+        for x in nodes:
+            if k in reach[x]:
+                reach[x] |= reach[k]
+    top = {x: min([x, *(y for y in reach[x] if x in reach[y])]) for x in nodes}
+    between = {(top[s], top[t]) for s, t in edges if top[s] != top[t]}
+    level = {x: 0 for e in between for x in e}
+    for _ in level:
+        for s, t in between:
+            level[t] = max(level[t], level[s] + 1)
+    assert {r["id"]: r["level"] for r in QUERIES["G25_topological"](spark, small).collect()} == level
