@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import chunks, fold, mix64, read_table, text_bytes
+from lattica.llm.common import chunks, fold, freed, mix64, read_table, text_bytes
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: The bucket under which a label's documents are counted.
@@ -34,16 +34,16 @@ def _letters() -> np.ndarray:
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and text numbers of all n-grams, and whether each text has a letter.
 
-    A gap stands before and after each text and for each run of other characters; n-grams
-    of gaps alone are left out.
+    A gap stands before and after each text and for each run of other characters; a gap
+    alone is no n-gram. What a text yields does not depend on its neighbours.
     """
-    joined = "\x00".join(texts).lower() if texts else ""
+    joined = "".join([f"\x00{t} " for t in texts]).lower()
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    # Lower-casing can lengthen a text, so ends are found after it; a NUL inside a text
-    # would look like an end and is taken out by the caller.
-    letter = _letters()[code]
-    doc = np.cumsum(code == 0)
-    keep = letter.copy()
+    # Lower-casing can lengthen a text, so starts are found after it; a NUL inside a text
+    # would look like a start and is taken out by the caller.
+    letter, start = _letters()[code], code == 0
+    doc = np.cumsum(start) - 1
+    keep = letter | start
     keep[1:] |= letter[:-1]
     code, letter, doc = np.where(letter, code, 0)[keep], letter[keep], doc[keep]
     has = np.zeros(len(texts), dtype=bool)
@@ -55,8 +55,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             break
         h = h[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :].astype(np.uint64) + np.uint64(1)
         first, last = doc[: len(h)], doc[n - 1 :]
-        some = letter[: len(h)] | letter[n - 1 :]
-        use = (first == last) & some
+        use = (first == last) & (letter[: len(h)] if n == 1 else True)
         buckets.append((mix64(h[use] ^ np.uint64(n << 56)) & np.uint64(BUCKETS - 1)).astype(np.int32))
         owners.append(first[use])
     if not buckets:
@@ -67,10 +66,11 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     column = batch.column("text")
     _, offsets = text_bytes(column)
-    for i, j in chunks(offsets, 1 << 20):
+    for i, j in chunks(offsets, 1 << 19):
         yield i, j, [(x or "").replace("\x00", " ") for x in column.slice(i, j - i).to_pylist()]
 
 
+@freed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
@@ -127,6 +127,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
     labels, table, prior = model
     shared = documents.sparkSession.sparkContext.broadcast((table.astype(np.float32), prior))
 
+    @freed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, first = shared.value
         for batch in batches:
@@ -162,10 +163,10 @@ def keep_identified(documents: DataFrame, score: float = 0.5) -> DataFrame:
     predicted ``und`` go, and those whose best posterior is under ``score``."""
     model = train(documents.filter(fold() != 0).select("text", "lang"))
     names = documents.columns
-    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col("text"))
-    cols = [f"c{k}" for k in range(len(names))]
+    cols = ["text" if c == "text" else f"c{k}" for k, c in enumerate(names)]
+    plain = documents.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(cols, names, strict=True)])
     found = predict(plain, model, cols).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= score))
-    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
+    return found.select(*[F.col(k).alias(c) for k, c in zip(cols, names, strict=True)])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
