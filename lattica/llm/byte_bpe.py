@@ -26,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import read_table
+from lattica.llm.common import freed, read_table
 
-#: Arcs and pieces that one worker keeps at most; past that its table starts afresh.
-MAX_ARCS, MAX_PIECES = 500_000, 150_000
+#: Arcs and bytes of pieces that one worker keeps at most; past that its table starts afresh.
+#: Longer pieces than LONG are not kept.
+MAX_ARCS, MAX_BYTES, LONG = 500_000, 2 << 20, 256
 _START = -1
 
 
@@ -74,10 +75,6 @@ class Transducer:
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether a, b are the encoding of their joined bytes."""
-        """Undoes the merges next to the border, the latest first. If at some point the two
-        tokens at the border would have merged before the merge last undone, then merging
-        would have crossed the border.
-        """
         if a == _START:
             return True
         key = a << 20 | b
@@ -88,6 +85,9 @@ class Transducer:
         return self.fits[key]
 
     def _fit(self, a: int, b: int) -> bool:
+        """Undoes the merges next to the border, the latest first. If at some point the two
+        tokens at the border would have merged before the merge last undone, then merging
+        would have crossed the border."""
         left, right, before = a, b, (1 << 60, 0)
         while True:
             across = self.ranks.get(self.bytes[left] + self.bytes[right])
@@ -154,31 +154,64 @@ class _Pieces(dict):
         super().__init__()
         self.transducer = transducer
         self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
         made = self.before.get(piece)
         if made is None:
             made = array("I", self.transducer.encode_piece(piece.encode())).tobytes()
-        self[piece] = made
+        if len(piece) <= LONG:
+            if self.held > MAX_BYTES:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self.held += len(piece) + len(made)
+            self[piece] = made
         return made
 
-    def trim(self) -> None:
-        if len(self) > MAX_PIECES:
-            self.before = dict(self)
-            self.clear()
+
+class Splitter:
+    """The matches of a pattern in a text, by the character classes of tiktoken's engine.
+
+    Unicode versions differ between engines. A character that this one puts into other
+    classes is replaced by one that both put where tiktoken has it; the text is split with
+    that stand-in, and the pieces are taken from the text itself.
+    """
+
+    def __init__(self, pattern: str):
+        import tiktoken
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        single = {bytes((i,)): i for i in range(256)}
+        classes = sorted(set(regex.findall(r"\\p\{\^?\w+\}|\\s", pattern)))
+        there, here = [], []
+        for name in classes:
+            # What a pattern does not match is left out, so this gives the class's members.
+            probe = tiktoken.Encoding("probe", pat_str=f"{name}+", mergeable_ranks=single, special_tokens={})
+            there.append(set(bytes(probe.encode_ordinary(every)).decode()))
+            here.append(set("".join(regex.findall(f"{name}+", every))))
+        odd = sorted(set().union(*[a ^ b for a, b in zip(there, here, strict=True)])) if classes else []
+        kind = lambda c, table: tuple(c in x for x in table)
+        some = {kind(c, there): c for c in reversed("aé9²\u00a0!§") if kind(c, there) == kind(c, here)}
+        self.stand_in = {ord(c): some[kind(c, there)] for c in odd}
+        self.odd = regex.compile(f"[{''.join(map(regex.escape, odd))}]").search if odd else lambda text: None
+        self.findall, self.finditer = regex.compile(pattern).findall, regex.compile(pattern).finditer
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or not self.odd(text):
+            return self.findall(text)
+        return [text[m.start() : m.end()] for m in self.finditer(text.translate(self.stand_in))]
 
 
 class Codec:
     """Encodes whole texts by pattern and ranks, and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.split = regex.compile(pattern).findall
+        self.split = Splitter(pattern)
         self.transducer = Transducer(ranks)
         self.pieces = _Pieces(self.transducer)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        self.pieces.trim()
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -242,6 +275,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str, with_ids: bool = F
     table gives an empty result.
     """
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
