@@ -11,6 +11,9 @@ ball's inside if d - r, and the outside if r - d, is over its k-th best distance
 FACTOR relaxes that bound: FACTOR times the k-th best distance is what a side must be
 within. With 1 the search is exact; less prunes more and may miss. Blocks of queries walk
 a tree together, nearer sides first, and leaves are compared by matrix products.
+
+Trees stay where they were built. Queries come past them in broadcast batches of a bounded
+size; a task keeps the best of each query over all its trees and hands out only those.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, read_table
+from lattica.llm.common import cut, freed, read_table
 
-#: Vectors of a shard and queries of a block, on average; vectors of a leaf at most.
-SHARD, BLOCK, LEAF = 4096, 1024, 128
+#: Vectors of a shard and queries of a batch, on average; queries that walk together and
+#: vectors of a leaf, at most.
+SHARD, BATCH, BLOCK, LEAF = 4096, 16384, 1024, 128
 K, FACTOR, SEED = 20, 0.9, 5
+_NONE = np.iinfo(np.int64).min
 
 
 class VantageTree:
@@ -51,15 +56,17 @@ class VantageTree:
             return rows
         return (p[far], radius, self._build(rows[inside], rng), self._build(rows[~inside], rng))
 
-    def search(self, queries: np.ndarray, k: int, factor: float, counter: list[int] | None = None) -> np.ndarray:
-        """Rows of the k nearest points to each query; fewer are filled with -1."""
+    def search(self, queries: np.ndarray, k: int, factor: float, limit: np.ndarray | None = None, counter: list[int] | None = None) -> np.ndarray:
+        """Rows of the k nearest points to each query; fewer are filled with -1. Points
+        farther than ``limit`` are of no use."""
         n = len(queries)
+        limit = np.full(n, np.inf) if limit is None else limit
         ids = np.full((n, k), -1, dtype=np.int64)
         best = np.full((n, k), np.inf)
         stack = [(self.root, np.arange(n), np.zeros(n))]
         while stack:
             node, who, least = stack.pop()
-            ok = least <= factor * best[who, -1]
+            ok = least <= factor * np.minimum(best[who, -1], limit[who])
             who, least = who[ok], least[ok]
             if not len(who):
                 continue
@@ -116,11 +123,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     total, longest = points.agg(F.count(F.lit(1)), F.max(square)).first()
     longest = longest or 0.0
-    n_shards, n_blocks = -(-(total or 1) // SHARD), -(-(asked.count() or 1) // BLOCK)
-    shared = spark.sparkContext.broadcast(longest)
+    n_shards, n_batches = -(-(total or 1) // SHARD), -(-(asked.count() or 1) // BATCH)
 
     def lifted(v: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(shared.value - (v * v).sum(axis=1), 0))
+        rest = np.sqrt(np.maximum(longest - (v * v).sum(axis=1), 0))
         return np.concatenate([v, rest[:, None]], axis=1)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -133,42 +139,86 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
         keep = np.arange(len(ids)) - np.searchsorted(point, point) <= k
         ids, point = ids[keep], point[keep]
         ends = np.searchsorted(point, np.arange(len(rows) + 1))
-        tree = VantageTree(lifted(rows))
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "dim": [rows.shape[1]], "tree": [pickle.dumps((tree, rows, ids, ends))]})
+        return pd.DataFrame({"dim": [rows.shape[1]], "tree": [pickle.dumps((VantageTree(lifted(rows)), rows, ids, ends))]})
 
     place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_shards))
     keyed = points.withColumn("shard", place).withColumn("dim", F.size("v"))
-    trees = cut(keyed.groupBy("shard", "dim").applyInPandas(build, "shard bigint, dim int, tree binary"))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tree, rows, ids, ends = pickle.loads(batch.column("tree")[i].as_py())
-                own = batch.column("ids")[i].values.to_numpy()
-                q = batch.column("vs")[i].values.flatten().to_numpy().reshape(len(own), -1)
-                # Distances are rounded: a few more points are found, and then scored exactly.
-                near = tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), k + 9, factor)
-                at, col = np.nonzero(near >= 0)
-                spot = near[at, col]
-                score = (q[at] * rows[spot]).sum(axis=1)
-                many = ends[spot + 1] - ends[spot]
-                each = np.repeat(ends[spot], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                at, score, found = np.repeat(at, many), np.repeat(score, many), ids[each]
-                other = found != own[at]
-                at, score, found = at[other], score[other], found[other]
-                best = np.lexsort((found, -score, at))
-                at, found, score = at[best], found[best], score[best]
-                rank = np.arange(len(at)) - np.searchsorted(at, at)
-                top = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(own[at[top]]), pa.array(found[top]), pa.array(score[top])], ["query_id", "vec_id", "score"])
-
-    blocks = asked.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    blocks = cut(blocks.groupBy("dim", "block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs")))
-    # Every block of queries meets every shard: the stated queries against all rows.
-    each = trees.join(blocks, "dim").select("tree", "ids", "vs").repartition(n_shards * n_blocks)
-    found = each.mapInArrow(find, "query_id bigint, vec_id bigint, score double")
+    # One task for some shards, as many tasks as run at a time or a few times that.
+    keyed = keyed.repartition(min(n_shards, 4 * spark.sparkContext.defaultParallelism), "shard")
+    trees = cut(keyed.groupBy("shard", "dim").applyInPandas(build, "dim int, tree binary"))
+    batch = F.pmod(F.xxhash64("vec_id"), F.lit(n_batches))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    done = None
+    for b in range(n_batches):
+        part = asked.filter(batch == b).toArrow()  # BATCH vectors on average
+        ids, vs = part.column("vec_id").to_numpy(), part.column("v").combine_chunks()
+        dims = np.diff(vs.offsets.to_numpy())
+        own = {int(d): (ids[dims == d], vs.filter(pa.array(dims == d)).flatten().to_numpy().reshape(-1, d)) for d in np.unique(dims)}
+        shared = spark.sparkContext.broadcast(own)
+        found = trees.mapInArrow(_finder(shared, k, factor, longest), "query_id bigint, vec_id bigint, score double")
+        top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if n_batches > 1:
+            top = cut(top)
+            shared.destroy()
+        done = top if done is None else done.union(top)
+    return done
+
+
+def _finder(shared, k: int, factor: float, longest: float):
+    """The search of one batch of queries in all trees of a task."""
+
+    @freed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        best = {d: (np.full((len(ids), k), -np.inf), np.full((len(ids), k), _NONE)) for d, (ids, _) in asked.items()}
+        for batch in batches:
+            for dim, raw in zip(batch.column("dim").to_pylist(), batch.column("tree"), strict=True):
+                if dim in asked:
+                    tree = pickle.loads(raw.as_buffer())
+                    own, q = asked[dim]
+                    for i in range(0, len(own), BLOCK):
+                        part = slice(i, i + BLOCK)
+                        _merge(tree, own[part], q[part], best[dim][0][part], best[dim][1][part], k, factor, longest)
+        for dim, (score, ids) in best.items():
+            at, col = np.nonzero(ids != _NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[dim][0][at]), pa.array(ids[at, col]), pa.array(score[at, col])], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _merge(built: tuple, own: np.ndarray, q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, factor: float, longest: float) -> None:
+    """Put what a tree has into the best so far, ``score`` and ``ids``, in place."""
+    tree, rows, vec_ids, ends = built
+    slack = 1e-9 * (longest + (q * q).sum(axis=1)) + 1e-300
+    square = (q * q).sum(axis=1) + longest
+    limit = np.sqrt(np.maximum(square - 2 * score[:, -1], 0) + 2 * slack)
+    near = tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), k + 9, factor, limit)
+    at, col = np.nonzero(near >= 0)
+    spot = near[at, col]
+    exact = (q[at] * rows[spot]).sum(axis=1)
+    # Distances are rounded, so the last of those found may tie with points that were not.
+    lowest = np.full((len(q), k + 9), np.nan)
+    lowest[at, col] = exact
+    full = (near >= 0).all(axis=1)
+    kth = np.where(full, -np.sort(-lowest, axis=1)[:, k], -np.inf)
+    tied = np.flatnonzero(full & (np.nanmin(np.where(full[:, None], lowest, 0.0), axis=1) >= kth - slack))
+    for i in range(0, len(tied), 64):
+        some = tied[i : i + 64]
+        a, b = np.nonzero(q[some] @ rows.T >= (kth - slack)[some][:, None])
+        at, spot = np.concatenate([at[~np.isin(at, some)], some[a]]), np.concatenate([spot[~np.isin(at, some)], b])
+    exact = (q[at] * rows[spot]).sum(axis=1)
+    many = ends[spot + 1] - ends[spot]
+    each = np.repeat(ends[spot], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    at, exact, found = np.repeat(at, many), np.repeat(exact, many), vec_ids[each]
+    other = found != own[at]
+    old, place = np.nonzero(ids != _NONE)
+    at = np.concatenate([at[other], old])
+    exact, found = np.concatenate([exact[other], score[old, place]]), np.concatenate([found[other], ids[old, place]])
+    order = np.lexsort((found, -exact, at))
+    at, exact, found = at[order], exact[order], found[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    top = rank < k
+    score[at[top], rank[top]], ids[at[top], rank[top]] = exact[top], found[top]
 
 
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
