@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 from pathlib import Path
 
 import numpy as np
@@ -12,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step takes at most, unless a single text is longer.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that one numpy step takes at most, unless a single text is longer; and texts.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 4096
+#: Rows of a loop's table that a task takes, and of a batch that goes to a Python worker.
+TASK_ROWS = 100_000
+BATCH_ROWS = 2048
 #: The characters that contracts on words and on equal texts treat as white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -28,14 +33,19 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and see that checkpoint() has a folder.
 
     The checkpoint folder is the one the session names in spark.checkpoint.dir; a
-    temporary one is set only where that is unset, as in local tests.
+    temporary one is set only where that is unset and the master is local, as in tests.
+    Batches for Python workers are held to BATCH_ROWS rows, as texts may be long.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattica-"))
 
 
@@ -46,14 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_in_loop(df: DataFrame) -> DataFrame:
-    """The same for loops: without the size that the plan was estimated at.
+    """The same for loops: without the size that the plan was estimated at, and in one
+    partition for every TASK_ROWS rows, or as many as there were, if that is less.
 
     A checkpoint keeps that estimate. A join multiplies those of its sides, so in a loop
-    its digits double with every round until planning takes longer than running.
+    its digits double with every round until planning takes longer than running. What is
+    in one partition is joined and grouped without a shuffle.
     """
     spark = df.sparkSession
-    made = cut(df)._jdf
-    return DataFrame(spark._jsparkSession.createDataFrame(made.javaRDD(), made.schema()), spark)
+    made = cut(df)
+    parts = -(-made.count() // TASK_ROWS) or 1
+    plain = spark._jsparkSession.createDataFrame(made._jdf.javaRDD(), made._jdf.schema())
+    return DataFrame(plain, spark).coalesce(parts)
 
 
 def fold(col: str = "doc_id") -> Column:
@@ -61,9 +75,29 @@ def fold(col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def with_columns_of(df: DataFrame, **columns: Column) -> DataFrame:
-    """Only the given columns, so that clashing extra columns of ``df`` cannot matter."""
-    return df.select(*[c.alias(n) for n, c in columns.items()])
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def freed(run: Callable) -> Callable:
+    """A function on Arrow batches that gives memory back to the system when it ends: workers
+    are used again, and what one stage has freed but held would add to the next one's."""
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return inner
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +115,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts together hold at most ``most`` bytes, or one longer text."""
+    """Row ranges of at most CHUNK_ROWS texts, together of ``most`` bytes or one longer text."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + CHUNK_ROWS, n)
         yield i, j
         i = j
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, chunks, cut, fold, mix64, read_table, text_bytes
+from lattica.llm.common import Words, chunks, cut, fold, freed, mix64, read_table, text_bytes
 
 SYMBOLS, TAILS, CLASSES, FEATURES = 128, 32, 16, 2048
 HEAD, STEPS, PARTS, FLUSH = 1 << 18, 30, 3, 1 << 20
@@ -83,6 +83,7 @@ class _Tally:
                 yield pa.RecordBatch.from_arrays([pa.array(k[part].view(np.int64)), pa.array(n[part])], [self.name, "n"])
 
 
+@freed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = _Tally("word")
     for batch in batches:

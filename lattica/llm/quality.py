@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, chunks, fold, read_table, text_bytes
+from lattica.llm.common import Words, chunks, fold, freed, read_table, text_bytes
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest
 #: hashed ids; the sample is all that is bounded: every document is scored.
@@ -110,6 +110,7 @@ def utility(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(u, -700, 700)))
 
 
+@freed
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
@@ -140,6 +141,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     ids count as held out. Equal texts get equal scores; further columns are ignored."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import chunks, cut, mix64, prepare, read_table, text_bytes
+from lattica.llm.common import chunks, cut, freed, mix64, prepare, read_table, text_bytes
 from lattica.llm.exact_dedup import filter_bits
 from lattica.llm.near_dedup import in_filter, row_key
 
@@ -146,6 +146,7 @@ def _each(column: pa.Array) -> Iterator[tuple]:
         yield i, part, at, *segments(part, at)
 
 
+@freed
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, _, seed, _, _, _ in _each(batch.column("text")):
@@ -158,6 +159,7 @@ def _probes(seed: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _bit_words(bits: int):
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.concatenate(_probes(batch.column("seed").to_numpy(), bits))
@@ -169,6 +171,7 @@ def _bit_words(bits: int):
 def _cut_out(shared, bits: int):
     """Segments of seeds in the filter: seed, key, pos, windows, segment."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
@@ -319,6 +322,7 @@ def _stretches(mark: np.ndarray, ends: np.ndarray, seed: np.ndarray, sh: np.ndar
     return pa.table({"seed": seed[s], "sh": sh[s], "from": a - begin[s], "till": b + 1 - begin[s]})
 
 
+@freed
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A hash of every window of every segment."""
     for batch in batches:
@@ -458,6 +462,7 @@ def digests(documents: DataFrame) -> DataFrame:
     columns are ignored.
     """
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
@@ -479,6 +484,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     came, but n_chars is counted anew. A character cut in two goes as a whole."""
     names = documents.columns
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
