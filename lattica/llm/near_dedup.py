@@ -9,11 +9,17 @@ from the low ranks up and only until every coordinate has a dart, so a text of n
 costs about n + k log k darts instead of n k.
 
 BANDS bands of ROWS coordinates are joined. In a bucket nobody is compared with
-everybody: members are compared with a leader; where the others are not all connected by
-now, they go on in pairs of buckets and elect more leaders, sixteen times as many in each
-round, until all that have not led are connected; the order of leaders differs by band. Each
-candidate pair is checked on the whole shingle sets (32-bit hashes). Links give connected
+everybody: members are first compared with one leader; where they are not all connected by
+then, with SLOTS more, and at last with all members that are not connected with the
+commonest class of the bucket. A pair comes out of such a join only if the odd sketches of
+both sets (ODD bits that hold the parity of the elements dealt to them) allow the
+similarity, so that the many pairs of a family of loosely similar texts never come to be
+rows. Each pair that does is checked on the whole shingle sets. Links give connected
 classes. Texts with equal shingle sets are one node throughout.
+
+A link of two texts is missed only if no band is shared (5e-6 at similarity 0.8) or if their
+sketches differ by more than SIGMA deviations from what the similarity makes them differ by
+(3e-6).
 """
 
 from __future__ import annotations
@@ -26,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, chunks, cut, cut_in_loop, mix64, read_table, text_bytes
+from lattica.llm.common import Words, chunks, cut, cut_in_loop, freed, mix64, read_table, text_bytes
 from lattica.llm.exact_dedup import filter_bits
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
 COORDS = BANDS * ROWS
-#: Different orders in which leaders come, and keys that one bucket or class is dealt over.
+#: Different orders in which leaders come, and keys that one class is dealt over.
 ORDERS, SALTS = 2, 32
-#: Leaders that a bucket has in a late round at most; there is one in the first.
-MOST_LEADERS = 256
+#: Leaders of a bucket in each round; 0: all that are not of its commonest class.
+SLOTS = (1, 16, 0)
+#: Bits of an odd sketch, elements that it takes (of larger sets a sample by hash), and
+#: deviations that are allowed for.
+ODD, TAKES, SIGMA = 1024, 2048, 4.5
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = mix64(np.arange(7, 7 + 256, dtype=np.uint64)) | np.uint64(1)
 
@@ -124,38 +133,63 @@ def _by_text(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield i, j, s, owner, mix64(node + size * _ODD[61]).view(np.int64)
 
 
+def odd_sketch(element: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n x ODD / 64 words of parity bits, and the level of each owner: of a set of more than
+    TAKES elements one in 2**level is taken, by hash, TAKES at most on average."""
+    size = np.bincount(owner, minlength=n)
+    level = np.ceil(np.log2(np.maximum(size, 1) / TAKES)).clip(0, 40).astype(np.int64)
+    h = mix64(element ^ _ODD[70])
+    taken = (h >> np.uint64(24)) & ((np.uint64(1) << level[owner].astype(np.uint64)) - np.uint64(1)) == 0
+    spot = (h[taken] & np.uint64(ODD - 1)).astype(np.int64)
+    words = np.zeros(n * (ODD >> 6), dtype=np.uint64)
+    np.bitwise_xor.at(words, owner[taken] * (ODD >> 6) + (spot >> 6), np.uint64(1) << (spot & 63).astype(np.uint64))
+    return words.reshape(n, ODD >> 6).view(np.int64), level
+
+
+_SKETCH = [f"t{k}" for k in range(ODD >> 6)]
+#: What _signed() makes of doc_id, key, key2 and text.
+SIGNED = "doc_id bigint, key bigint, key2 bigint, node bigint, size int, level int, bands array<bigint>, " + ", ".join(f"{t} bigint" for t in _SKETCH)
+
+
+@freed
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, s, owner, node in _by_text(batch.column("text")):
             keys = band_keys(darts(s, owner, j - i))
-            some = np.bincount(owner, minlength=j - i) > 0
-            ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
+            size = np.bincount(owner, minlength=j - i)
+            sketch, level = odd_sketch(s, owner, j - i)
+            ends = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             part = batch.slice(i, j - i)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(node), bands], ["doc_id", "key", "node", "bands"])
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[size > 0].ravel()))
+            own = [pa.array(node), pa.array(size.astype(np.int32)), pa.array(level.astype(np.int32)), bands, *map(pa.array, np.ascontiguousarray(sketch.T))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("key2"), *own], ["doc_id", "key", "key2", "node", "size", "level", "bands", *_SKETCH])
 
 
+@freed
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, s, owner, node in _by_text(batch.column("text")):
-            ends = np.searchsorted(owner, np.arange(j - i + 1))
-            raw = [np.unique((s[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(raw, pa.binary())], ["node", "shingles"])
+            ends = 8 * np.searchsorted(owner, np.arange(j - i + 1))
+            raw = s.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["node", "shingles"])
 
 
+@freed
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = []
         for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-            both = np.isin(x, y, assume_unique=True).sum() if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) else 0
-            near.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            both = int(np.isin(x, y, assume_unique=True).sum())
+            near.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "near"])
 
 
-def row_key() -> Column:
-    """A hash of a document's id and text, by which rows are found again."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")))
+def row_key(seed: int = 0) -> Column:
+    """A hash of a document's id and text, by which rows are found again. Two of different
+    seeds make 128 bits."""
+    own = [F.lit(seed)] if seed else []
+    return F.xxhash64(*own, F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def in_filter(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
@@ -170,117 +204,136 @@ def in_filter(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
     return out.withColumn("__in", hit).drop("__p", "__w", "__m")
 
 
-def _leaders(members: DataFrame, slots: int) -> DataFrame:
-    """(a, b, bucket): each member a of a bucket with each leader b of another label, of
-    which a bucket has ``slots`` at most, all from members (node, bucket, label, may) that
-    ``may`` lead.
+def _alike(x: str, y: str) -> str:
+    """SQL: whether two members may have the similarity, by sizes and odd sketches.
 
-    Counts and leaders are aggregated before the shuffle, so a bucket may hold any share of
-    the rows; a bounded Bloom filter of the buckets with two members or more then spares
-    the other members, most of them, a shuffle.
+    At the similarity t, sets of a and b elements differ in d = (a + b) (1 - t) / (1 + t) at
+    most; sketches of m bits then differ in m/2 (1 - exp(-2d/m)) on average. Of sets that
+    are sampled at different levels only the sizes are compared.
     """
-    first = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))).alias("o"), F.col("node").alias("node"), F.col("label").alias("label"))
-    slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-    by_slot = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.when(F.col("may"), first)).alias("first"), F.count(F.lit(1)).alias("n"))
-    if slots > 1:
-        total = by_slot.groupBy("bucket").agg(F.sum("n").alias("total")).filter("total >= 2").select("bucket")
-        by_slot = by_slot.join(total, "bucket")
-    else:
-        by_slot = by_slot.filter("n >= 2")
-    whole = cut_in_loop(by_slot.filter("first IS NOT NULL").select(F.col("bucket").alias("key"), F.col("first.node").alias("b"), F.col("first.label").alias("lb")))
-    some = in_filter(members.withColumnRenamed("bucket", "key"), whole.select("key"), whole.count()).filter("__in")
-    return some.select("key", "node", "label").join(whole, "key").filter("label <> lb").select(F.col("node").alias("a"), "b", F.col("key").alias("bucket"))
-
-
-def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes whose shingle sets have the similarity, through which all
-    such nodes that share a bucket are connected. ``texts`` has key and text."""
-    nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
-    nodes = cut_in_loop(nodes)
-    every = nodes.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("label"), F.lit(True).alias("may"))
-    pending, slots = cut_in_loop(_leaders(every, 1)), 1
-    # A leader has met all members of its bucket, so it is not needed there any more.
-    members = pending.select(F.col("a").alias("node"), "bucket")
-    ends = pending.select("a").union(pending.select("b")).distinct().withColumnRenamed("a", "node")
-    keys = cut_in_loop(nodes.select("node", "key").join(ends, "node"))
-    some = in_filter(texts, keys.select("key"), keys.count()).filter("__in").select("key", "text")
-    sets = cut_in_loop(some.mapInArrow(_sets, "node bigint, shingles binary").join(keys.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    near = signed.sparkSession.createDataFrame([], "a bigint, b bigint")
-    while True:
-        # The member's set travels with the pair; the leader's is met where it stands.
-        pairs = pending.select("a", "b")
-        if slots > 1:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        both = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        checked = cut_in_loop(both.mapInArrow(_near, "a bigint, b bigint, near boolean").filter("near").select("a", "b"))
-        near = near.union(checked)
-        # Members that have not led need not meet if they are connected; buckets where all
-        # of them are, are done. In others all but those of one label lead in their turn.
-        label = components(near)
-        members = _apart(members, label)
-        if slots == 1:
-            members = _apart(_twice(members), label)
-        members = cut_in_loop(members)
-        if members.isEmpty():
-            return near
-        slots = min(16 * slots, MOST_LEADERS)
-        pending = cut_in_loop(_leaders(members, slots))
-        led = pending.select(F.col("b").alias("node"), "bucket").distinct()
-        members = members.select("node", "bucket").join(led, ["node", "bucket"], "left_anti")
-
-
-def _twice(members: DataFrame) -> DataFrame:
-    """All pairs of a node's buckets: near texts that share a bucket share such a pair
-    unless they share fewer than two (at similarity 0.8, 8 in 100,000), while texts that
-    share only a passage rarely do. At most BANDS * (BANDS - 1) / 2 rows a node."""
-    own = members.groupBy("node").agg(F.collect_list("bucket").alias("b"))
-    one = own.select("node", "b", F.explode("b").alias("x"))
-    low = lambda c: c.bitwiseAND(F.lit(63))
-    two = one.select("node", "x", F.explode(F.filter("b", lambda y: low(y) > low(F.col("x")))).alias("y"))
-    return two.select("node", F.xxhash64("x", "y").alias("bucket"))
-
-
-def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(node, bucket, label, may) of the buckets whose members (node, bucket) have more than
-    one label; those of the commonest label there may not lead. Nodes without a link yet
-    are labels of their own. Labels are few next to the pairs' sets, but not bounded, so
-    they join by shuffle."""
-    known = members.join(label, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+    d = f"(({x}.size + {y}.size) * {(1 - SIMILARITY) / (1 + SIMILARITY)!r}D / shiftleft(1L, {x}.level))"
+    q = f"exp({d} * {-4.0 / ODD!r}D)"
+    spread = f"greatest({ODD / 4}D * (1 - {q}) - {d} * {q} / shiftleft(1L, {x}.level), 0D) + 0.5D"
+    apart = " + ".join(f"bit_count({x}.{t} ^ {y}.{t})" for t in _SKETCH)
+    sizes = f"least({x}.size, {y}.size) >= {SIMILARITY}D * greatest({x}.size, {y}.size) - 1e-9D"
+    return f"{sizes} AND ({x}.level <> {y}.level OR {apart} <= {ODD / 2}D * (1 - sqrt({q})) + {SIGMA}D * sqrt({spread}))"
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: members of one bucket with different labels, one of them with ``lead``,
+    that may have the similarity."""
+    x, y = members.alias("x"), members.filter("lead").alias("y")
+    new = F.expr("x.bucket = y.bucket AND x.label <> y.label AND (NOT x.lead OR x.node < y.node)")
+    met = x.join(y, new & F.expr(_alike("x", "y")))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _members(signed: DataFrame) -> DataFrame:
+    """The different nodes of each bucket that holds two or more: (node, bucket, label, lead),
+    sizes, sketches and a row's key; one of each bucket leads.
+
+    The least and the greatest node of every bucket are aggregated before the shuffle, so a
+    bucket may hold any share of the rows. A bounded Bloom filter of the buckets where they
+    differ spares the other rows, most of them, a shuffle.
+    """
+    # Nodes are ordered by other bits in every second band, so that one node does not lead all.
+    turn = F.when(F.col("bucket") % ORDERS == 0, F.lit(int(_ODD[80].view(np.int64)))).otherwise(F.lit(int(_ODD[81].view(np.int64))))
+    spots = signed.select("node", F.explode("bands").alias("bucket")).withColumn("o", F.col("node").bitwiseXOR(turn))
+    first = spots.groupBy("bucket").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low <> high")
+    first = cut_in_loop(first.select(F.col("bucket").alias("key"), F.col("low").bitwiseXOR(turn).alias("first")))
+    wide = ["node", "size", "level", *_SKETCH]
+    rows = signed.select(*wide, F.col("key").alias("row"), F.explode("bands").alias("key"))
+    some = in_filter(rows, first.select("key"), first.count()).filter("__in")
+    some = some.groupBy("key", "node").agg(*[F.first(c).alias(c) for c in wide[1:]], F.min("row").alias("row"))
+    return some.join(first, "key").select(*wide, "row", F.col("key").alias("bucket"), F.col("node").alias("label"), (F.col("node") == F.col("first")).alias("lead"))
+
+
+def connected(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label): the least node of each class of nodes that links connect, for nodes with
+    a link. All nodes whose shingle sets have the similarity and that share a bucket are
+    linked, by themselves or through others. ``texts`` has key and text."""
+    members = cut_in_loop(_members(signed))
+    keys = cut_in_loop(members.groupBy("node").agg(F.min("row").alias("key")))
+    label = sets = None
+    for k, slots in enumerate(SLOTS):
+        if k:
+            members = cut_in_loop(_apart(members, label, slots))
+        pairs = cut_in_loop(_candidates(members))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("node"), "node", "left_anti")
+        own = cut_in_loop(keys.join(ends, "node"))
+        some = in_filter(texts, own.select("key"), own.count()).filter("__in").select("key", "text")
+        more = some.mapInArrow(_sets, "node bigint, shingles binary").join(own.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        more = cut(more)
+        sets = more if sets is None else sets.union(more)
+        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        checked = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a bigint, b bigint, near boolean")
+        label = _relabelled(label, cut_in_loop(checked.filter("near").select("a", "b")))
+    return label
+
+
+def _relabelled(label: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, label) with more edges (a, b): classes that they connect become one."""
+    if label is None:
+        return components(edges)
+    for end in ("a", "b"):
+        known = label.select(F.col("node").alias(end), "label")
+        edges = edges.join(known, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    top = components(cut_in_loop(edges.filter("a <> b"))).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    moved = label.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    new = top.join(label.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return cut_in_loop(moved.union(new))
+
+
+def _apart(members: DataFrame, label: DataFrame, slots: int) -> DataFrame:
+    """The members of those buckets that hold more than one label, with new labels and
+    leaders: those that have not led and are not of the bucket's commonest label, ``slots``
+    of them at most (all, if 0). Nodes without a link are labels of their own. Labels are few
+    next to the sets, but not bounded, so they join by shuffle."""
+    names = members.columns
+    known = members.withColumnRenamed("lead", "led").drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     most = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     most = most.filter("labels > 1").select("bucket", F.col("top.label").alias("top"))
-    return known.join(most, "bucket").select("node", "bucket", "label", (F.col("label") != F.col("top")).alias("may"))
+    known = known.join(most, "bucket").withColumn("may", ~F.col("led") & (F.col("label") != F.col("top")))
+    if slots:
+        own = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)), F.lit(slots))
+        known = known.withColumn("slot", F.pmod(own, F.lit(slots))).withColumn("o", own)
+        first = known.filter("may").groupBy("bucket", "slot").agg(F.min("o").alias("least"))
+        known = known.join(first, ["bucket", "slot"], "left").withColumn("may", F.col("may") & (F.col("o") == F.col("least")))
+    return known.withColumn("lead", F.col("may")).select(*names)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for nodes with an edge."""
-    both = cut_in_loop(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
-    label = cut_in_loop(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")))
+    both = cut_in_loop(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
+    label, parts = cut_in_loop(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label"))), both.rdd.getNumPartitions()
     while True:
-        # What neighbours have, and then what the label's own node has.
-        heard = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        step = label.join(heard, "a").select("a", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
+        # What neighbours have, and then what the label's own node has. A graph that is in few
+        # partitions stays in them, so that its rounds do not grow by shuffles.
+        heard = both.join(label.withColumnRenamed("a", "b"), "b").coalesce(parts).groupBy("a").agg(F.min("label").alias("heard"))
+        step = label.join(heard, "a").select("a", F.least("label", "heard").alias("label"), F.col("label").alias("old")).coalesce(parts)
         jump = label.select(F.col("a").alias("label"), F.col("label").alias("far"))
-        step = cut_in_loop(step.join(jump, "label").select("a", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")))
+        step = cut_in_loop(step.join(jump, "label").select("a", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")).coalesce(parts))
         label = step.select("a", "label")
         if step.filter("moved").isEmpty():
             return label.withColumnRenamed("a", "node")
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, key, class_id, class_size, kept for each document.
+    """doc_id, key, key2, class_id, class_size, kept for each document.
 
     class_id is the least doc_id of the class, and that document is kept (of fully
     repeated rows one; a null id comes last). Null texts count as empty; texts without a
     word form one class. Texts that are alone are classes of one. An empty table gives
     an empty result; further columns are ignored, whatever their names.
     """
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), "text")
-    signed = cut(rows.mapInArrow(_signed, "doc_id bigint, key bigint, node bigint, bands array<bigint>").withColumn("uid", F.monotonically_increasing_id()))
-    label = components(links(signed, rows.select("key", "text")))
-    ids = signed.select("doc_id", "key", "uid", "node", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt"))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), row_key(1).alias("key2"), "text")
+    signed = cut(rows.mapInArrow(_signed, SIGNED).withColumn("uid", F.monotonically_increasing_id()))
+    label = connected(signed, rows.select("key", "text"))
+    ids = signed.select("doc_id", "key", "key2", "uid", "node", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid")))
     part = cut(ids.groupBy("node", "salt").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
     owned = part.groupBy("node").agg(F.min("first").alias("first"), F.sum("n").alias("n")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -291,7 +344,7 @@ def classes(documents: DataFrame) -> DataFrame:
     by_node = owned.select("node", "label", "lsalt").join(top, ["label", "lsalt"]).select("node", "top", "class_size")
     answer = part.select("node", "salt").join(by_node, "node")
     out = ids.join(answer, ["node", "salt"])
-    return out.select("doc_id", "key", F.col("top.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("top.uid")).alias("kept"))
+    return out.select("doc_id", "key", "key2", F.col("top.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("top.uid")).alias("kept"))
 
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
@@ -300,13 +353,13 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
     found = cut(classes(documents))
     names = documents.columns
     gone = found.filter(~F.col("kept")).select("key")
-    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), row_key().alias("key"))
+    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), row_key().alias("key"), row_key(1).alias("key2"))
     marked = in_filter(base, gone, gone.count())
     stay = marked.filter(~F.col("__in")).select("__row.*")
-    known = found.groupBy("key").agg(F.max("kept").alias("__kept"))
-    maybe = marked.filter("__in").join(known, "key").filter("__kept").groupBy("key").agg(F.first("__row").alias("__row"))
+    known = found.groupBy("key", "key2").agg(F.max("kept").alias("__kept"))
+    maybe = marked.filter("__in").join(known, ["key", "key2"]).filter("__kept").groupBy("key", "key2").agg(F.first("__row").alias("__row"))
     return stay.unionByName(maybe.select("__row.*"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read_table(spark, sf_dir, "documents")).drop("key")
+    return classes(read_table(spark, sf_dir, "documents")).drop("key", "key2")
