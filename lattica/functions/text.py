@@ -7,13 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File extensions and the languages they stand for.
+# File extensions and the languages they stand for; others stand for themselves.
 LANGUAGES = {
-    "rs": "rust", "py": "python", "java": "java", "go": "go", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
-    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "swift": "swift",
-    "scala": "scala", "lua": "lua", "md": "markdown", "sql": "sql", "sh": "bash", "ex": "elixir", "dart": "dart", "zig": "zig",
+    "rs": "rust", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "py": "python", "go": "go",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "cs": "csharp", "rb": "ruby",
+    "php": "php", "kt": "kotlin", "kts": "kotlin", "groovy": "groovy", "pp": "puppet", "erb": "erb",
 }
 
+# Names that call nothing of the code base's own.
+INTRINSICS = (
+    "assert assert_eq assert_ne debug_assert panic todo unimplemented unreachable println eprintln print eprint dbg free malloc calloc realloc "
+    "len length size writefilesync readfilesync console log require include"
+).split()
+
 
 def glob_regex(pattern: str) -> str:
     """An anchored regular expression for a glob of * and ?."""
@@ -44,7 +50,7 @@ def extension(path: Column) -> Column:
 def language(path: Column, properties: Column | None = None) -> Column:
     """The property ``language`` if there is one, else by extension, lower-case."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    by_path = table[extension(path)]
+    by_path = F.coalesce(table[extension(path)], extension(path))
     return F.lower(by_path if properties is None else F.coalesce(properties["language"], by_path))
 
 
@@ -65,12 +71,119 @@ def in_scope(qualified: Column, path: Column, scope: str) -> Column:
     )
 
 
-def role(path: Column, name: Column) -> Column:
-    """external, test or production, by path and name."""
+def role(path: Column, name: Column, stub: Column | None = None) -> Column:
+    """test, external or production: tests are told by path or name, then stubs and names of
+    intrinsics are external. A null path tells nothing."""
     p = F.lower(normal_path(path))
-    external = path.isNull() | path.isin("<external>", "<unknown>")
-    test = F.concat(F.lit("/"), p).rlike(r"/(tests?|spec|__tests__|testdata|fixtures)/") | base_name(p).rlike(r"^test_|_test\.|\.spec\.|\.test\.") | name.startswith("test_")
-    return F.when(external, "external").when(test, "test").otherwise("production")
+    file = base_name(p)
+    by_path = F.concat(F.lit("/"), p).rlike("/tests?/") | file.rlike(r"\.(test|spec)\.|_test\.(rs|py|go|java)$|_tests\.rs$|^test_")
+    low = F.lower(name)
+    by_name = low.contains("cfg(test)") | low.rlike("(^|::)tests::|::tests$")
+    bare = F.regexp_replace(F.regexp_extract(name, r"([^.:#]*)$", 1), "!+$", "")
+    external = bare.isin(INTRINSICS) | F.lower(bare).isin("writefilesync", "readfilesync")
+    if stub is not None:
+        external = stub | external
+    no = F.lit(False)
+    return F.when(F.coalesce(by_path, no) | F.coalesce(by_name, no), "test").when(F.coalesce(external, no), "external").otherwise("production")
+
+
+def excluded(path: Column, patterns: list[str]) -> Column:
+    """Whether a path has one of the patterns, freed of its stars, as whole segments."""
+    whole, found = F.concat(F.lit("/"), F.lower(normal_path(path)), F.lit("/")), F.lit(False)
+    for pattern in patterns:
+        needle = pattern.replace("\\", "/").lower().replace("*", "").strip("/")
+        if needle:
+            found = found | whole.contains(f"/{needle}/")
+    return found
+
+
+# Endings and folders that say nothing about a module.
+MODULE_ENDINGS = ".ts .tsx .js .jsx .mjs .cjs .py .rs .go .java .kt .cs .rb".split()
+MODULE_NOISE = "src lib app pkg internal main java kotlin python crates".split()
+
+
+def module_segments(raw: Column) -> Column:
+    """Lower-case segments of an import or a path, without quotes, scopes, relative
+    prefixes, one known ending, index files and folders of mere structure."""
+    s = F.regexp_replace(F.trim(raw), r"""^["']+|["']+$""", "")
+    s = F.regexp_replace(s, r"^(?:\.[/\\])*(?:\.\.[/\\])*@?", "")
+    s = F.regexp_replace(s, "(?:" + "|".join(re.escape(e) for e in sorted(MODULE_ENDINGS, key=len, reverse=True)) + ")$", "")
+    s = F.regexp_replace(s, r"[/\\](?:index|mod|__init__)$", "")
+    parts = F.transform(F.split(s, r"[/\\.:]"), F.lower)
+    return F.filter(parts, lambda x: (x != "") & ~x.isin(MODULE_NOISE))
+
+
+def suffix_overlap(a: Column, b: Column) -> Column:
+    """How many segments two lists share at their ends."""
+    same = F.zip_with(F.reverse(a), F.reverse(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+
+
+def is_constructor(node_type: Column, name: Column, qualified: Column, properties: Column) -> Column:
+    """A function that is marked as one, is called <init>, or is named like its owner."""
+    base = F.element_at(F.split(qualified, r"\("), 1)
+    marked = (properties["is_constructor"] == "true") | properties["kind"].isin("constructor", "constructor_declaration")
+    own = F.regexp_extract(base, r"([^.:\\]+)(?:::|[.\\])[^.:\\]+$", 1)
+    tail = F.regexp_extract(base, r"([^.:\\]+)$", 1)
+    by_name = base.rlike(r"(?:\.|::|\\)<init>$") | ((name != "") & (tail == name) & (own == name))
+    no = F.lit(False)
+    return (node_type == "function") & (F.coalesce(marked, no) | F.coalesce(by_name, no))
+
+
+def symbol_parts(symbol: Column) -> Column:
+    """A struct of file, class and name of ``Class::method``, ``file:method`` or a plain name."""
+    member = F.regexp_extract(symbol, r"([^:]+)$", 1)
+    klass = F.regexp_extract(symbol, r"^(.+)::[^:]+$", 1)
+    file = F.regexp_extract(symbol, r"^([^:]+\.[^:]+):[^:]+$", 1)
+    return F.struct(F.nullif(file, F.lit("")).alias("file"), F.nullif(klass, F.lit("")).alias("class"), member.alias("name"))
+
+
+# Severity by source and sink; 5 for all other pairs.
+SEVERITY = {
+    ("http_parameter", "sql_query"): 10, ("http_parameter", "shell_command"): 10, ("http_parameter", "html_render"): 9,
+    ("http_parameter", "code_eval"): 10, ("file_input", "shell_command"): 8, ("file_input", "sql_query"): 7,
+    ("database_result", "html_render"): 6, ("environment_var", "shell_command"): 7,
+}
+
+
+def severity(source: Column, sink: Column) -> Column:
+    out = F.lit(5)
+    for (a, b), n in SEVERITY.items():
+        out = F.when((source == a) & (sink == b), n).otherwise(out)
+    return out
+
+
+# What interface languages call a type; string for all others.
+IDL_TYPES = {
+    "proto": {"int64": "int64", "double": "double", "bool": "bool"},
+    "thrift": {"int64": "i64", "double": "double", "bool": "bool"},
+    "openapi": {"int64": "integer", "double": "number", "bool": "boolean"},
+}
+
+
+def idl_type(kind: Column, target: str) -> Column:
+    out = F.lit("string")
+    for a, b in IDL_TYPES[target].items():
+        out = F.when(kind == a, b).otherwise(out)
+    return out
+
+
+def purl(kind: Column, namespace: Column, name: Column, version: Column) -> Column:
+    """A package URL; null parts are left out."""
+    return F.concat(F.lit("pkg:"), F.lower(kind), F.lit("/"), F.coalesce(F.concat(namespace, F.lit("/")), F.lit("")), name, F.coalesce(F.concat(F.lit("@"), version), F.lit("")))
+
+
+def purl_parts(url: Column) -> Column:
+    """A struct of type, namespace, name and version of a package URL, without qualifiers."""
+    plain = F.regexp_replace(url, r"[?#].*$", "")
+    part = lambda k: F.nullif(F.regexp_extract(plain, r"^pkg:([^/]+)/(?:(.+)/)?([^/@]+)(?:@([^@]+))?$", k), F.lit(""))
+    return F.struct(F.lower(part(1)).alias("type"), part(2).alias("namespace"), part(3).alias("name"), part(4).alias("version"))
+
+
+def stable_key(*parts: Column) -> Column:
+    """A 128-bit id from texts that no text can hold the border of; null counts as empty."""
+    return F.md5(F.concat_ws("\u00ff", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
 
 
 def owner(qualified: Column) -> Column:

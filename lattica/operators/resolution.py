@@ -104,3 +104,44 @@ def unused_keys(keys: DataFrame, uses: DataFrame) -> DataFrame:
 def missing_keys(uses: DataFrame, defined: DataFrame) -> DataFrame:
     """(name, paths) of variables used (name, path) and nowhere defined (name)."""
     return uses.join(defined.select("name"), "name", "left_anti").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
+
+
+def parked(relations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(rel, id, tier): targets in other repositories. relations: rel, repo, hint (a qualified
+    name or null), module, name; symbols: id, repo, qualified_name, path, name. Tiers: 1 the
+    hint, 2 the most path segments that end like the module, 3 the name alone; a tier with two
+    symbols or more gives none, and the next one is asked."""
+    s = symbols.select("id", F.col("repo").alias("s_repo"), F.col("qualified_name").alias("qn"), T.module_segments(F.col("path")).alias("there"), F.col("name").alias("s_name"))
+    relations = relations.withColumn("here", T.module_segments(F.col("module")))
+    other = F.col("repo") != F.col("s_repo")
+    by_hint = relations.join(s, (F.col("hint") == F.col("qn")) & other).select("rel", "id", F.lit(1).alias("tier"), F.lit(0).alias("score"))
+    by_name = relations.join(s, (F.col("name") == F.col("s_name")) & other)
+    by_path = by_name.withColumn("score", T.suffix_overlap(F.col("here"), F.col("there"))).filter("score > 0").select("rel", "id", F.lit(2).alias("tier"), "score")
+    every = by_hint.union(by_path).union(by_name.select("rel", "id", F.lit(3).alias("tier"), F.lit(0).alias("score")))
+    best = every.groupBy("rel", "tier").agg(F.max("score").alias("score"))
+    one = every.join(best, ["rel", "tier", "score"]).groupBy("rel", "tier").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    return one.groupBy("rel").agg(F.min_by("id", "tier").alias("id"), F.min("tier").alias("tier"))
+
+
+def inheritance(extends: DataFrame, types: DataFrame) -> DataFrame:
+    """(src, dst): types (id, name) and what they extend (id, base), by names that only one
+    type has."""
+    sole = types.groupBy("name").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return extends.join(sole, F.col("base") == F.col("name")).filter(F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst").distinct()
+
+
+def inherited_calls(calls: DataFrame, methods: DataFrame, order: DataFrame) -> DataFrame:
+    """(src, dst): calls (src, type, name) taken to the method of that name in the nearest
+    ancestor that has one; methods: id, type, name; order: type, pos, ancestor."""
+    met = calls.join(order, "type").join(methods.select(F.col("id").alias("dst"), F.col("type").alias("ancestor"), "name"), ["ancestor", "name"])
+    return met.groupBy("src", "type", "name").agg(F.min_by("dst", F.struct("pos", "dst")).alias("dst")).select("src", "dst").distinct()
+
+
+def config_links(uses: DataFrame, keys: DataFrame) -> DataFrame:
+    """(site, id, exact): uses (site, name) of config keys (id, name), by the whole name, else
+    by the last part in lower case without dashes and underscores, if one key has it."""
+    tail = lambda c: F.lower(F.regexp_replace(F.element_at(F.split(c, r"\."), -1), "[-_]", ""))
+    whole = uses.join(keys, "name").groupBy("site", "name").agg(F.min("id").alias("id"))
+    sole = keys.groupBy(tail(F.col("name")).alias("tail")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    rest = uses.join(whole, ["site", "name"], "left_anti").withColumn("tail", tail(F.col("name"))).join(sole, "tail")
+    return whole.select("site", "id", F.lit(True).alias("exact")).union(rest.select("site", "id", F.lit(False)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
@@ -177,3 +177,52 @@ def export_subgraph(graph: PropertyGraph, seeds: DataFrame, depth: int, types: t
     nodes = graph.nodes.join(ids, "id", "left_semi")
     edges = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return PropertyGraph(nodes, edges)
+
+
+def scoped_edges(graph: PropertyGraph, scope: str, mode: str = "inside") -> DataFrame:
+    """Edges by where their ends are: ``inside`` and ``outside`` go by the source, ``crossing``
+    takes those with one end inside."""
+    own = graph.nodes.select("id", T.in_scope(F.col("qualified_name"), F.col("file_path"), scope).alias("within"))
+    met = graph.edges.join(own.toDF("src", "s"), "src").join(own.toDF("dst", "d"), "dst")
+    keep = {"inside": F.col("s"), "outside": ~F.col("s"), "crossing": F.col("s") != F.col("d")}[mode]
+    return met.filter(keep).select("src", "dst", "edge_type")
+
+
+def members(graph: PropertyGraph) -> DataFrame:
+    """(type, id): functions of container types, by the owner part of their qualified names."""
+    types = graph.nodes.filter(F.col("node_type").isin("class", "interface", "struct", "enum", "module")).filter("qualified_name IS NOT NULL")
+    own = graph.nodes.filter("node_type = 'function'").select("id", T.owner(F.col("qualified_name")).alias("qualified_name"))
+    return own.join(types.select(F.col("id").alias("type"), "qualified_name"), "qualified_name").select("type", "id")
+
+
+def multi_callers(graph: PropertyGraph, seeds: DataFrame, each: int = 50) -> DataFrame:
+    """(id, seed): direct callers of several seeds (id, place), ``each`` a seed at most and every
+    caller once, for the seed that comes first."""
+    calls = graph.edges_of("calls", "injects").select(F.col("src").alias("caller"), F.col("dst").alias("id")).distinct()
+    met = calls.join(seeds, "id").select("caller", F.col("id").alias("seed"), "place")
+    some = met.withColumn("k", F.row_number().over(Window.partitionBy("seed").orderBy("caller"))).filter(F.col("k") <= each)
+    return some.groupBy(F.col("caller").alias("id")).agg(F.min_by("seed", F.struct("place", "seed")).alias("seed"))
+
+
+def bucket_prefix(counts: DataFrame, prefix: str, limit: int) -> DataFrame:
+    """The first ``limit`` inventory rows (bucket, n) with a prefix, largest first."""
+    return counts.filter(F.col("bucket").startswith(prefix)).orderBy(F.desc("n"), "bucket").limit(limit)
+
+
+def as_json(rows: DataFrame, *columns: str) -> DataFrame:
+    """One JSON object a row, of the columns that may be shown."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("cell"))
+
+
+def field_writes(writes: DataFrame, receiver: str, member: str | None = None, constructors: bool = False) -> DataFrame:
+    """``writes`` (site, receiver_type, member, in_constructor) to fields of a type, whose name
+    may be qualified; those in constructors only if asked for."""
+    own = F.element_at(F.split("receiver_type", r"[.:\\]+"), -1) == receiver
+    keep = own if member is None else own & (F.col("member") == member)
+    return writes.filter(keep if constructors else keep & ~F.col("in_constructor"))
+
+
+def semantic_scope(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of ranked hits (id, rank), functions and the headings and code blocks of modules."""
+    ok = (F.col("node_type") == "function") | ((F.col("node_type") == "module") & F.col("properties")["kind"].isin("heading", "code_block"))
+    return hits.join(nodes.filter(F.coalesce(ok, F.lit(False))).select("id"), "id", "left_semi")

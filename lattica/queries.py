@@ -13,6 +13,7 @@ from lattica.graph import NODE_TYPES
 from lattica.operators import algorithms as A
 from lattica.operators import flow as N
 from lattica.operators import history as H
+from lattica.operators import reports as RP
 from lattica.operators import resolution as RS
 from lattica.operators import similarity as S
 from lattica.operators import verbs as V
@@ -80,9 +81,9 @@ def _(spark, sf):
     return V.find(P.entity_graph(spark, sf), node_type="interface").select("id", "name")
 
 
-@query("P01_find_name", f"WITH {NODES} SELECT id, node_type, name FROM n WHERE name = 'FRANCE' OR id = 'FRANCE'")
+@query("P01_find_name", f"WITH {NODES} SELECT id, node_type, name FROM n WHERE name = 'NATION_7' OR id = 'NATION_7'")
 def _(spark, sf):
-    return V.find(P.entity_graph(spark, sf), "FRANCE").select("id", "node_type", "name")
+    return V.find(P.entity_graph(spark, sf), "NATION_7").select("id", "node_type", "name")
 
 
 @query("P05_glob", f"WITH {NODES} SELECT id, name FROM n WHERE regexp_full_match(name, '.*a.?e.*')")
@@ -126,15 +127,19 @@ def _(spark, sf):
     return nodes.filter(V.compound("type:class")).select("id").intersect(nodes.filter(V.compound("name_suffix:5")).select("id"))
 
 
-@query("P26_role", f"WITH {NODES} SELECT CASE WHEN path IS NULL THEN 'external' ELSE 'production' END AS role, count(*) AS n FROM n GROUP BY 1")
+@query("P26_role", """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 IN (1, 2, 3) OR p_partkey % 7 = 2 THEN 'test' WHEN p_partkey % 7 IN (3, 4) OR p_partkey % 11 = 0 THEN 'external' ELSE 'production' END AS role FROM part""")
 def _(spark, sf):
-    return P.entity_graph(spark, sf).nodes.groupBy(T.role(F.col("file_path"), F.col("name")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("p_partkey")
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % n + 1).cast("int"))
+    path = F.concat(pick(6, "src/a", "Tests/a", "x\\test\\a", "src/a.spec", "contest/a", "src/latest"), F.lit(".rs"))
+    name = pick(7, "save", "main", "app::tests::save", "std::println!", "fs.writeFileSync", "tests_of", "lengthy")
+    return P.table(spark, sf, "part").select(k.alias("id"), T.role(F.when(k % 6 > 0, path), name, k % 11 == 0).alias("role"))
 
 
-@query("P32_suggestions", f"""WITH {NODES} SELECT DISTINCT name, CAST(abs(length(name) - 4) AS BIGINT) AS gap FROM n
-  WHERE contains(lower(name), 'iran') OR contains('iran', lower(name)) ORDER BY gap, name LIMIT 5""")
+@query("P32_suggestions", f"""WITH {NODES} SELECT DISTINCT name, CAST(abs(length(name) - 8) AS BIGINT) AS gap FROM n
+  WHERE contains(lower(name), 'nation_1') OR contains('nation_1', lower(name)) ORDER BY gap, name LIMIT 5""")
 def _(spark, sf):
-    return V.suggestions(P.entity_graph(spark, sf), "IRAN")
+    return V.suggestions(P.entity_graph(spark, sf), "NATION_1")
 
 
 @query("P24_projection", f"WITH {PARTS} SELECT id, name, qn, path, CAST(1 AS BIGINT) AS a, CAST(size AS BIGINT) AS b FROM parts")
@@ -166,8 +171,8 @@ query(
 query("M04_varlen_2_2", f"WITH {SPARSE} SELECT DISTINCT 'part:'||x.s AS a_id, 'part:'||y.t AS b_id FROM e x JOIN e y ON x.t = y.s")(
     _gql("MATCH (a)-[:CALLS*2..2]->(b) RETURN a, b")
 )
-query("M07_where_like", f"WITH {SPARSE}, {PARTS} SELECT a.id AS a_id, b.id AS b_id FROM e JOIN parts a ON a.k = s JOIN parts b ON b.k = t WHERE a.name LIKE 'g%' AND b.qn LIKE '%7'")(
-    _gql("MATCH (a)-[:CALLS]->(b) WHERE a.name LIKE 'g*' AND b.qualified_name LIKE '*7' RETURN a, b")
+query("M07_where_like", f"WITH {SPARSE}, {PARTS} SELECT a.id AS a_id, b.id AS b_id FROM e JOIN parts a ON a.k = s JOIN parts b ON b.k = t WHERE a.name LIKE 'r%' AND b.qn LIKE '%7'")(
+    _gql("MATCH (a)-[:CALLS]->(b) WHERE a.name LIKE 'r*' AND b.qualified_name LIKE '*7' RETURN a, b")
 )
 query("M09_limit", f"WITH {PARTS} SELECT id AS f_id FROM parts ORDER BY id LIMIT 7")(_gql("MATCH (f:Function) RETURN f LIMIT 7"))
 query("M05_cartesian", f"WITH {NODES} SELECT x.id AS a_id, y.id AS b_id FROM n x, n y WHERE x.node_type = 'module' AND x.name = 'ASIA' AND y.node_type = 'interface'")(
@@ -247,10 +252,10 @@ def _(spark, sf):
     return g.withColumn("score", F.round(F.least(25.0 * F.col("direct"), F.lit(40.0)) + F.least(12.0 * F.col("impact"), F.lit(35.0)), 6))
 
 
-@query("G18_direct_callers", f"WITH {EDGES}, {NODES} SELECT DISTINCT g.src AS id FROM g JOIN n ON n.id = g.dst WHERE n.name = 'FRANCE'")
+@query("G18_direct_callers", f"WITH {EDGES}, {NODES} SELECT DISTINCT g.src AS id FROM g JOIN n ON n.id = g.dst WHERE n.name = 'NATION_3'")
 def _(spark, sf):
     g = P.entity_graph(spark, sf)
-    return g.edges.join(g.nodes.filter("name = 'FRANCE'").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    return g.edges.join(g.nodes.filter("name = 'NATION_3'").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
 @query("J23_neighbours", f"WITH {DENSE} SELECT s AS id, t AS peer, 'out' AS direction FROM e WHERE s = 7 UNION ALL SELECT t, s, 'in' FROM e WHERE t = 7")
@@ -344,47 +349,37 @@ def _(spark, sf):
 
 @query("A17_package_calls", f"WITH {DENSE} SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS n FROM e JOIN part a ON a.p_partkey = s JOIN part b ON b.p_partkey = t WHERE a.p_brand <> b.p_brand GROUP BY ALL")
 def _(spark, sf):
-    b = P.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_brand")
-    e = P.part_calls(spark, sf).join(b.toDF("s", "a"), "s").join(b.toDF("t", "b"), "t")
-    return e.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    labels = P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"))
+    return RP.call_weights(P.part_calls(spark, sf).toDF("src", "dst"), labels)
 
 
-@query("A19_community_summary", "SELECT p_brand AS community, count(*) AS size, round(avg(p_size), 6) AS complexity, min(p_type) AS first_type FROM part GROUP BY 1")
+@query("A19_community_summary", "WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand AS community, CAST(sum(n) AS BIGINT) AS size, arg_min(p_type, (-n, p_type)) AS primary_type, (SELECT round(avg(p_size), 6) FROM part p WHERE p.p_brand = c.p_brand) AS complexity FROM c GROUP BY 1")
 def _(spark, sf):
-    p = P.table(spark, sf, "part")
-    return p.groupBy(F.col("p_brand").alias("community")).agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("p_size"), 6).alias("complexity"), F.min("p_type").alias("first_type"))
+    p = P.table(spark, sf, "part").select(F.col("p_brand").alias("community"), F.col("p_type").alias("node_type"), F.col("p_size").alias("complexity"))
+    return RP.community_summary(p).withColumn("complexity", F.round("complexity", 6))
 
 
 @query("A23_plurality", """WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS all_n,
   row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS r FROM c) SELECT p_brand AS community, p_type AS label FROM t WHERE r = 1 AND 6 * n >= all_n""")
 def _(spark, sf):
-    c = P.table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
-    g = c.groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("m"), "p_type")).alias("b"), F.sum("n").alias("all"))
-    return g.filter(-6 * F.col("b.m") >= F.col("all")).select(F.col("p_brand").alias("community"), F.col("b.p_type").alias("label"))
+    return RP.plurality(P.table(spark, sf, "part").select(F.col("p_brand").alias("group"), F.col("p_type").alias("label")), 1 / 6).toDF("community", "label")
 
 
 # --- windows and ranks
 
 @query("W02_ranks", "SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS priority FROM part QUALIFY priority <= 100")
 def _(spark, sf):
-    # The 100 best by a bounded top-k; a rank over them alone needs no sort of all rows.
-    top = P.table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
-    w = Window.orderBy(F.desc("p_retailprice"), "p_partkey")
-    return top.select(F.col("p_partkey").alias("id"), F.row_number().over(w).cast("bigint").alias("priority"))
+    return RP.ranked(P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score")), 100).select("id", F.col("rank").alias("priority"))
 
 
 @query("W03_minmax", "SELECT p_partkey AS id, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS x FROM part")
 def _(spark, sf):
-    p = P.table(spark, sf, "part")
-    b = F.broadcast(p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")))
-    return p.crossJoin(b).select(F.col("p_partkey").alias("id"), F.round((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("x"))
+    return RP.min_max(P.table(spark, sf, "part"), "p_retailprice", "x").select(F.col("p_partkey").alias("id"), F.round("x", 6).alias("x"))
 
 
 @query("W06_labels", "SELECT p_partkey AS id, CASE WHEN r = 1 THEN p_name ELSE p_name||' ('||r||')' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS r FROM part)")
 def _(spark, sf):
-    w = Window.partitionBy(F.lower("p_name")).orderBy("p_partkey")
-    p = P.table(spark, sf, "part").withColumn("r", F.row_number().over(w))
-    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("r") == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" ("), F.col("r").cast("string"), F.lit(")"))).alias("label"))
+    return RP.numbered(P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
 
 
 @query("W07_ledger", "SELECT o_custkey AS key, epoch_us(min(o_orderdate)) AS first_us, arg_max(o_orderstatus, o_orderkey) AS class FROM orders GROUP BY 1")
@@ -395,8 +390,8 @@ def _(spark, sf):
 
 @query("W08_fill_down", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations")
 def _(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return P.table(spark, sf, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked"))
+    c = P.table(spark, sf, "conversations")
+    return RP.filled_down(c, F.when(F.col("role") == "user", F.col("turn")), "conv_id", "turn", "asked").select("conv_id", "turn", "asked")
 
 
 # --- algorithms
@@ -422,48 +417,35 @@ def _(spark, sf):
     return iterate.components(_calls(spark, sf))
 
 
-_REACH = "c(s, t) AS (SELECT s, t FROM e UNION SELECT c.s, e.t FROM c JOIN e ON e.s = c.t)"
-_COMP = f"{_REACH}, nn AS (SELECT s AS id FROM e UNION SELECT t FROM e), comp AS (SELECT nn.id, least(nn.id, coalesce(min(c.t) FILTER (b.s IS NOT NULL), nn.id)) AS component FROM nn LEFT JOIN c ON c.s = nn.id LEFT JOIN c b ON b.s = c.t AND b.t = c.s GROUP BY nn.id)"
-# Closures of the whole sparse graph are too large for SQL at sf0.01; SQL checks these on a thinner one.
-THIN = f"{SEQ}, e AS (SELECT DISTINCT s, t FROM part_seq WHERE t IS NOT NULL AND f = 'R' AND q >= 47)"
-
-
-def _thin(spark: SparkSession, sf: str) -> DataFrame:
-    seq = P.part_sequence(P.table(spark, sf, "lineitem"))
-    return seq.filter("t IS NOT NULL AND f = 'R' AND q >= 47").select(F.col("s").alias("src"), F.col("t").alias("dst")).distinct()
-
-
-@query("G08_strong_components", f"WITH RECURSIVE {THIN}, {_COMP} SELECT id, component FROM comp")
+# Closures of the whole sparse graph are too large for SQL; tests hold these against brute force.
+@query("G08_strong_components")
 def _(spark, sf):
-    return iterate.strong_components(_thin(spark, sf))
+    return iterate.strong_components(_calls(spark, sf))
 
 
-@query("G09_condensation", f"WITH RECURSIVE {THIN}, {_COMP} SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN comp a ON a.id = s JOIN comp b ON b.id = t WHERE a.component <> b.component")
+@query("G09_condensation")
 def _(spark, sf):
-    return A.condensation(_thin(spark, sf))[1]
+    return A.condensation(_calls(spark, sf))[1]
 
 
-@query("G16_cycles", f"WITH RECURSIVE {THIN}, {_COMP} SELECT component, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) >= 2")
+@query("G16_cycles")
 def _(spark, sf):
-    return A.cycles(_thin(spark, sf)).select("component", "size")
+    return A.cycles(_calls(spark, sf)).select("component", "size")
 
 
-@query("G26_recursive", f"WITH RECURSIVE {THIN}, {_REACH} SELECT DISTINCT s AS id FROM c WHERE s = t")
+@query("G26_recursive")
 def _(spark, sf):
-    return A.recursive_nodes(_thin(spark, sf))
+    return A.recursive_nodes(_calls(spark, sf))
 
 
-@query("G11_blast", f"""WITH RECURSIVE {THIN}, {_COMP}, up AS (SELECT t AS id, s AS other FROM c), imp AS (SELECT id, count(*) AS impact FROM up WHERE id <> other GROUP BY 1),
-  cc AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN comp a ON a.id = s JOIN comp b ON b.id = t WHERE a.component <> b.component),
-  d AS (SELECT x.id, count(y.id) AS direct FROM comp x LEFT JOIN cc ON cc.dst = x.component LEFT JOIN comp y ON y.component = cc.src GROUP BY x.id)
-  SELECT d.id, direct, coalesce(impact, 0) AS impact, round(CAST(least(25.0 * direct, 40) + least(0.05 * coalesce(impact, 0), 60) AS DOUBLE), 6) AS score FROM d LEFT JOIN imp ON imp.id = d.id""")
+@query("G11_blast")
 def _(spark, sf):
-    return A.blast(_thin(spark, sf)).withColumn("score", F.round("score", 6))
+    return A.blast(_calls(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query("G13_reach", f"WITH RECURSIVE {THIN}, {_COMP} SELECT x.id, count(DISTINCT y.component) + CASE WHEN count(DISTINCT CASE WHEN y.component = x.component THEN 1 END) = 1 THEN 0 ELSE 1 END AS reach FROM comp x LEFT JOIN c ON c.t = x.id LEFT JOIN comp y ON y.id = c.s GROUP BY x.id")
+@query("G13_reach")
 def _(spark, sf):
-    return A.reach_centrality(_thin(spark, sf))
+    return A.reach_centrality(_calls(spark, sf))
 
 
 @query("G17_impact", f"WITH RECURSIVE {SPARSE}, {_walk('t', 's', 250, 4)} SELECT id, hops FROM m WHERE hops > 0")
@@ -476,11 +458,9 @@ def _(spark, sf):
     return A.dead_code(_parts(spark, sf), _calls(spark, sf), _every(spark, sf, 50))
 
 
-@query("G05_harmonic", f"""WITH RECURSIVE {THIN}, r(root, id, hops) AS (SELECT s, t, CAST(1 AS BIGINT) FROM e UNION SELECT r.root, e.t, hops + 1 FROM r JOIN e ON e.s = r.id WHERE hops < 40),
-  m AS (SELECT root, id, min(hops) AS hops FROM r WHERE id <> root GROUP BY ALL), nn AS (SELECT s AS id FROM e UNION SELECT t FROM e)
-  SELECT nn.id, round(coalesce(sum(1.0 / hops), 0) / ((SELECT count(*) FROM nn) - 1), 8) AS harmonic FROM nn LEFT JOIN m ON m.root = nn.id GROUP BY nn.id""")
+@query("G05_harmonic")
 def _(spark, sf):
-    return A.centrality(_thin(spark, sf)).select("id", F.round("harmonic", 8).alias("harmonic"))
+    return A.centrality(_calls(spark, sf)).select("id", F.round("harmonic", 8).alias("harmonic"))
 
 
 @query("G03_betweenness")
@@ -640,12 +620,12 @@ def _(spark, sf):
     return H.enclosing(p.select(F.col("p_partkey").alias("site"), F.col("p_brand").alias("path"), F.col("p_size").alias("line")), spans)
 
 
-@query("D07_crossings", "SELECT l_partkey AS src, l_suppkey AS dst, p_brand AS a, n_name AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_brand = 'Brand#11' AND n_name = 'FRANCE'")
+@query("D07_crossings", "SELECT l_partkey AS src, l_suppkey AS dst, p_brand AS a, n_name AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_brand = 'Brand#11' AND n_name = 'NATION_19'")
 def _(spark, sf):
     e = P.table(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst")).distinct()
     s = P.table(spark, sf, "supplier").join(P.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     domains = P.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_brand").alias("domain")).union(s.select(F.concat(F.lit("s"), F.col("s_suppkey")), "n_name"))
-    out = H.forbidden_crossings(e, domains, [("FRANCE", "Brand#11")])
+    out = H.forbidden_crossings(e, domains, [("NATION_19", "Brand#11")])
     return out.select(F.substring("src", 2, 20).cast("bigint").alias("src"), F.substring("dst", 2, 20).cast("bigint").alias("dst"), "a", "b")
 
 
@@ -780,13 +760,13 @@ def _(spark, sf):
     return RS.resolve_relations(rel, p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_name").alias("name"), qn.alias("qualified_name")))
 
 
-@query("J15_overrides", """WITH o AS (SELECT l_orderkey AS type, l_linenumber AS pos, 'p'||l_partkey AS ancestor FROM lineitem WHERE l_orderkey % 20 = 0), m AS (SELECT 'p'||p_partkey AS id, 'p'||p_partkey AS type, p_brand AS name FROM part),
-  x AS (SELECT o_orderkey AS type, 'Brand#'||(11 + o_orderkey % 5) AS name FROM orders WHERE o_orderkey % 20 = 0)
+@query("J15_overrides", """WITH o AS (SELECT l_orderkey AS type, l_linenumber AS pos, 'p'||l_partkey AS ancestor FROM lineitem), m AS (SELECT 'p'||p_partkey AS id, 'p'||p_partkey AS type, p_brand AS name FROM part),
+  x AS (SELECT o_orderkey AS type, 'Brand#'||(11 + o_orderkey % 5) AS name FROM orders)
   SELECT 'o'||x.type AS src, arg_min(m.id, (pos, m.id)) AS dst FROM x JOIN o USING (type) JOIN m ON m.type = o.ancestor AND m.name = x.name GROUP BY x.type""")
 def _(spark, sf):
-    li = P.table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    li = P.table(spark, sf, "lineitem")
     order = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("type"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("ancestor"))
-    o = P.table(spark, sf, "orders").filter("o_orderkey % 20 = 0")
+    o = P.table(spark, sf, "orders")
     key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
     mine = o.select(key.alias("id"), key.alias("type"), F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 5 + 11).cast("string")).alias("name"))
     k = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
@@ -805,18 +785,18 @@ def _(spark, sf):
     return RS.missing_keys(e.select(F.col("event_type").alias("name"), (F.col("user_id") % 3).cast("string").alias("path")), e.filter("event_id = 0").select(F.col("event_type").alias("name")))
 
 
-@query("J21_file_cascade", f"WITH {SPARSE}, f AS (SELECT DISTINCT a.p_brand AS s, b.p_brand AS t FROM e JOIN part a ON a.p_partkey = e.s JOIN part b ON b.p_partkey = e.t WHERE e.s % 10 = 3) SELECT DISTINCT s AS id, CAST(1 AS BIGINT) AS hops FROM f WHERE t = 'Brand#11' AND s <> 'Brand#11'")
+@query("J21_file_cascade", f"WITH {SPARSE}, f AS (SELECT DISTINCT a.p_brand AS s, b.p_brand AS t FROM e JOIN part a ON a.p_partkey = e.s JOIN part b ON b.p_partkey = e.t) SELECT DISTINCT s AS id, CAST(1 AS BIGINT) AS hops FROM f WHERE t = 'Brand#11' AND s <> 'Brand#11'")
 def _(spark, sf):
     b = P.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_brand")
-    e = P.part_calls_sparse(spark, sf).filter("s % 10 = 3").join(b.toDF("s", "a"), "s").join(b.toDF("t", "b"), "t").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    e = P.part_calls_sparse(spark, sf).join(b.toDF("s", "a"), "s").join(b.toDF("t", "b"), "t").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return A.impact_radius(e, spark.createDataFrame([("Brand#11",)], "id string"), 1)
 
 
-@query("G28_diffusion", """WITH x0 AS (SELECT vec_id AS id, unnest(range(8)) AS dim, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings), e AS (SELECT vec_id AS s, (vec_id * 7 + 1) % 100 AS t FROM embeddings UNION ALL SELECT vec_id, (vec_id * 3 + 2) % 100 FROM embeddings WHERE vec_id % 2 = 0),
+@query("G28_diffusion", """WITH x0 AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT vec_id AS s, (vec_id * 7 + 1) % 100 AS t FROM embeddings UNION ALL SELECT vec_id, (vec_id * 3 + 2) % 100 FROM embeddings WHERE vec_id % 2 = 0),
   """ + ", ".join(f"m{i} AS (SELECT e.s AS id, dim, avg(x) AS m FROM e JOIN x{i - 1} x ON x.id = e.t GROUP BY ALL), x{i} AS (SELECT id, dim, CASE WHEN m IS NULL THEN x ELSE 0.75 * x + 0.25 * m END AS x FROM x{i - 1} LEFT JOIN m{i} USING (id, dim))" for i in (1, 2)) + """
   SELECT id, CAST(dim AS BIGINT) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM x2""")
 def _(spark, sf):
-    v = P.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("v"))
+    v = P.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     e = v.select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 100).alias("dst")).unionAll(v.filter("id % 2 = 0").select("id", (F.col("id") * 3 + 2) % 100))
     return S.diffused(v, e).select("id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
 
@@ -833,11 +813,12 @@ def _(spark, sf):
     return x.select(F.col("src").alias("id")).union(x.select("dst")).union(hunk).distinct()
 
 
-@query("A27_blast_summary", f"WITH {SPARSE} SELECT p_brand AS bucket, count(DISTINCT s) AS n FROM e JOIN part ON p_partkey = s WHERE t % 5 = 0 GROUP BY 1 ORDER BY n DESC, bucket LIMIT 10")
+@query("A27_blast_summary", f"""WITH RECURSIVE {SPARSE}, r(id, hops) AS (SELECT p_partkey, CAST(0 AS BIGINT) FROM part WHERE p_partkey % 400 = 3 UNION SELECT e.s, least(hops + 1, 2) FROM r JOIN e ON e.t = r.id),
+  m AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1 HAVING min(hops) > 0), f AS (SELECT 'file' AS kind, p_brand AS name, count(*) AS n FROM m JOIN part ON p_partkey = id GROUP BY 2 ORDER BY n DESC, name LIMIT 10)
+  SELECT 'direct' AS kind, NULL AS name, count(*) FILTER (hops = 1) AS n FROM m UNION ALL SELECT 'transitive', NULL, count(*) FROM m UNION ALL SELECT * FROM f""")
 def _(spark, sf):
-    b = P.table(spark, sf, "part").select(F.col("p_partkey").alias("s"), F.col("p_brand").alias("bucket"))
-    e = P.part_calls_sparse(spark, sf).filter("t % 5 = 0").select("s").distinct().join(b, "s")
-    return e.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bucket").limit(10)
+    places = P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"))
+    return RP.blast_summary(_calls(spark, sf), places, _parts(spark, sf).filter("id % 400 = 3"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -845,4 +826,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gql.run(P.call_graph(spark, sf_dir), "MATCH (a:Function)-[:CALLS]->(b:Function) RETURN a, b")
 
 
+from lattica import more_queries  # noqa: E402, F401  registers its queries here
+
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

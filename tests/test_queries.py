@@ -34,20 +34,52 @@ def test_query(spark, small, con, name):
         assert rows
 
 
-def test_whole_sparse_graph(spark, small):
-    """G06 and G25 take all edges of the sparse call graph; G25 against brute force."""
+@pytest.fixture(scope="module")
+def sparse(spark, small):
+    """The sparse call graph, what each node reaches, and each node's strong component."""
     edges = {(r["src"], r["dst"]) for r in _calls(spark, small).collect()}
     nodes = {x for e in edges for x in e}
-    assert {r["id"] for r in QUERIES["G06_hyperball"](spark, small).collect()} == nodes
     reach = {x: {t for s, t in edges if s == x} for x in nodes}
     for k in nodes:
         for x in nodes:
             if k in reach[x]:
                 reach[x] |= reach[k]
     top = {x: min([x, *(y for y in reach[x] if x in reach[y])]) for x in nodes}
+    return edges, nodes, reach, top
+
+
+def test_whole_sparse_graph(spark, small, sparse):
+    """Queries on all edges of the sparse call graph, which is too much for SQL, against brute force."""
+    edges, nodes, reach, top = sparse
+    got = lambda name: QUERIES[name](spark, small).collect()
+    assert {r["id"] for r in got("G06_hyperball")} == nodes
     between = {(top[s], top[t]) for s, t in edges if top[s] != top[t]}
     level = {x: 0 for e in between for x in e}
     for _ in level:
         for s, t in between:
             level[t] = max(level[t], level[s] + 1)
-    assert {r["id"]: r["level"] for r in QUERIES["G25_topological"](spark, small).collect()} == level
+    assert {r["id"]: r["level"] for r in got("G25_topological")} == level
+    assert {r["id"]: r["component"] for r in got("G08_strong_components")} == top
+    assert {(r["src"], r["dst"]) for r in got("G09_condensation")} == between
+    size = {c: sum(t == c for t in top.values()) for c in top.values()}
+    assert {r["component"]: r["size"] for r in got("G16_cycles")} == {c: n for c, n in size.items() if n > 1}
+    assert {r["id"] for r in got("G26_recursive")} == {x for x in nodes if x in reach[x]}
+
+
+def test_whole_sparse_closures(spark, small, sparse):
+    edges, nodes, reach, top = sparse
+    above = {x: {y for y in nodes if x in reach[y]} for x in nodes}
+    for r in QUERIES["G11_blast"](spark, small).collect():
+        near = {top[s] for s, t in edges if top[t] == top[r["id"]] and top[s] != top[t]}
+        direct, impact = sum(c in near for c in top.values()), len(above[r["id"]] - {r["id"]})
+        assert (r["direct"], r["impact"]) == (direct, impact)
+        assert r["score"] == pytest.approx(min(25 * direct, 40) + min(0.05 * impact, 60))
+    for r in QUERIES["G13_reach"](spark, small).collect():
+        assert r["reach"] == len({top[y] for y in above[r["id"]]} | {top[r["id"]]})
+    after = {x: {t for s, t in edges if s == x} for x in nodes}
+    for r in QUERIES["G05_harmonic"](spark, small).collect():
+        far, front, hops, total = {r["id"]}, {r["id"]}, 0, 0.0
+        while front:
+            hops, front = hops + 1, {t for x in front for t in after[x]} - far
+            total, far = total + len(front) / hops, far | front
+        assert r["harmonic"] == pytest.approx(total / (len(nodes) - 1), abs=1e-7)
