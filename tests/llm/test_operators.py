@@ -373,6 +373,89 @@ def test_vector_search(spark):
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_ties(spark):
+    """Far more distinct vectors tie at the border than are asked for; the smaller ids win."""
+    r = np.random.default_rng(0)
+    rows = [(0, [1.0] + [0.0] * 8, 1, "x")] + [(1000 - i, [0.0, *r.normal(size=8).tolist()], 2, "y") for i in range(1, 601)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id int, score string")
+    got = {x["rank"]: x["vec_id"] for x in vector_search.search(df, df.filter("vec_id = 0")).collect()}
+    assert [got[k] for k in range(1, 21)] == list(range(400, 420))
+
+
+def test_vector_batches_and_recall(spark, monkeypatch):
+    """The relaxed search in several batches finds at least 0.9 of what brute force finds."""
+    monkeypatch.setattr(vector_search, "BATCH", 30)
+    monkeypatch.setattr(vector_search, "SHARD", 500)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(40, 16))[r.integers(0, 40, 2000)] + 0.3 * r.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for x in vector_search.search(df, df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    s = v[::20] @ v.T
+    s[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert len(got) == 100 and np.mean([len(got[20 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.9
+
+
+def plain_grams(text):
+    """The n-grams of one text, by the definition."""
+    runs = ["\0"]
+    for c in f"{text} ".lower():
+        runs += [c] if c.isalpha() else ["\0"] if runs[-1] != "\0" else []
+    return [tuple(runs[i : i + n]) for n in (1, 2, 3) for i in range(len(runs) - n + 1) if runs[i : i + n] != ["\0"]]
+
+
+def bucket_of(gram):
+    h = np.zeros(1, np.uint64)
+    for c in gram:
+        h = h * np.uint64(0x100000001B3) + np.uint64(0 if c == "\0" else ord(c)) + np.uint64(1)
+    return int(near_dedup.mix64(h ^ np.uint64(len(gram) << 56))[0] & np.uint64(language_id.BUCKETS - 1))
+
+
+def test_language_grams_stand_alone():
+    """What a text yields does not depend on what stands before it."""
+    texts = ["abc", "def", "abc.", "def", "", "1", "Ünï  a", "ΑΣ", "x\ty"]
+    bucket, owner, _ = language_id._grams(texts)
+    for k, t in enumerate(texts):
+        assert sorted(bucket[owner == k].tolist()) == sorted(bucket_of(g) for g in plain_grams(t))
+
+
+def test_language_brute_force(spark):
+    """Predictions and posteriors against counting in dictionaries."""
+    rows = [(i, made(i, "fr" if i % 3 else "en", 3 + i % 5), "fr" if i % 3 else "en", "s", 1, "x", "y", 1) for i in range(60)]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    counts, docs = {"en": {}, "fr": {}}, {"en": 0, "fr": 0}
+    for i, t, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            docs[lang] += 1
+            for g in plain_grams(t):
+                b = bucket_of(g)
+                counts[lang][b] = counts[lang].get(b, 0) + 1
+    every = {x: sum(c.values()) + 0.5 * language_id.BUCKETS for x, c in counts.items()}
+    for i, t, *_ in rows:
+        logs = {x: np.log(docs[x] / sum(docs.values())) + sum(np.log((c.get(bucket_of(g), 0) + 0.5) / every[x]) for g in plain_grams(t)) for x, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
+def test_sharding_query(spark, tmp_path):
+    """op8_sharding on a table with nulls, copies and long texts: sizes, checksums and the law."""
+    texts = [None, "", "é" * 40, "a" * 200_000, *["same"] * 30, *[made(i) for i in range(30)]]
+    rows = [(None if i == 7 else i, t, "en", "s", 1, "x", "y", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op8_sharding(spark, str(tmp_path)).collect()
+    want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    shards = {}
+    for r in got:
+        assert r["law"] == "rows" and r["grown_shard"] is None
+        shards.setdefault(r["shard"], []).append(r["slot"])
+    assert set(shards) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
     import __spark_entry__ as entry
