@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from lattica.functions import text as T
 from lattica.functions import versions as VS
 from lattica.graph import PropertyGraph, as_edges, as_nodes
+from lattica.operators import flow as N
 from lattica.operators import mutations as M
 from lattica.operators import reports as RP
 from lattica.operators import resolution as RS
 from lattica.operators import verbs as V
-from lattica.queries import DENSE, EDGES, NODES, PARTS, SPARSE, P, _calls, _parts, query
+from lattica.sources import python_source as PY
+from lattica.queries import DENSE, EDGES, NODES, PARTS, SPARSE, P, _calls, query
 
 
 def _part(spark, sf, **columns):
@@ -310,4 +312,155 @@ def _(spark, sf):
     return every.select("hash").distinct().join(every.filter("size < 10"), "hash", "left_anti")
 
 
-__all__ = ["_parts"]
+# --- extraction and flow
+
+def _files(spark, sf):
+    """A Python file for each part: a function that calls another part's, and a loop."""
+    text = "concat('import os\n\ndef f', p_partkey, '(a):\n    b = a\n    while b:\n        b = f', p_partkey % 7, '(b)\n        if b > ', p_size, ':\n            return a\n    return b\n')"
+    return _part(spark, sf, path="concat('m', p_partkey, '.py')", content=text)
+
+
+@query("S05_extract_nodes", "SELECT 'm'||p_partkey||'.py' AS id, 'module' AS node_type, 1 AS start_line, 11 AS end_line FROM part UNION ALL SELECT 'm'||p_partkey||'.py::f'||p_partkey, 'function', 3, 9 FROM part")
+def _(spark, sf):
+    return PY.extract(_files(spark, sf)).nodes.select("id", "node_type", "start_line", F.expr("if(node_type = 'module', end_line + 1, end_line)").alias("end_line"))
+
+
+@query("S05_extract_calls", "SELECT 'm'||p_partkey||'.py::f'||p_partkey AS src, 'm'||(p_partkey % 7)||'.py::f'||(p_partkey % 7) AS dst FROM part WHERE p_partkey % 7 IN (SELECT p_partkey FROM part)")
+def _(spark, sf):
+    return PY.extract(_files(spark, sf)).edges_of("calls").select("src", "dst")
+
+
+@query("N01_control_flow", "SELECT 'm'||p_partkey||'.py::f'||p_partkey AS fn, a AS line, b AS next FROM part, (VALUES (0, 4), (4, 5), (5, 6), (6, 7), (7, 8), (7, 5), (8, -1), (5, 9), (9, -1)) v(a, b)")
+def _(spark, sf):
+    return PY.control_flow(_files(spark, sf)).select("fn", "line", "next")
+
+
+@query("N02_defs_uses", "SELECT 'm'||p_partkey||'.py::f'||p_partkey AS fn, a AS line, d AS defs, replace(u, 'f', 'f'||(p_partkey % 7)) AS uses FROM part, (VALUES (0, 'a', ''), (4, 'b', 'a'), (5, '', 'b'), (6, 'b', 'b,f'), (7, '', 'b'), (8, '', 'a'), (9, '', 'b')) v(a, d, u)")
+def _(spark, sf):
+    return PY.control_flow(_files(spark, sf)).select("fn", "line", F.array_join("defs", ",").alias("defs"), F.array_join("uses", ",").alias("uses")).distinct()
+
+
+def _python_flow(spark, sf):
+    rows = PY.control_flow(_files(spark, sf))
+    stmts = rows.select("fn", "line", F.when(F.size("defs") > 0, F.col("defs")[0]).alias("def"), "uses").distinct()
+    return stmts, rows.select("fn", F.col("line").alias("src"), F.col("next").alias("dst"))
+
+
+_FN = "SELECT 'm'||p_partkey||'.py::f'||p_partkey AS fn"
+
+
+@query("N06_reaching", f"{_FN}, v, s AS src, t AS at FROM part, (VALUES ('a', 0, 4), ('a', 0, 5), ('a', 0, 6), ('a', 0, 7), ('a', 0, 8), ('a', 0, 9), ('a', 0, -1), ('b', 4, 5), ('b', 4, 6), ('b', 4, 9), ('b', 4, -1), ('b', 6, 7), ('b', 6, 8), ('b', 6, 5), ('b', 6, 6), ('b', 6, 9), ('b', 6, -1)) x(v, s, t)".replace("fn, v,", "fn, v AS var,"))
+def _(spark, sf):
+    return N.reaching_definitions(*_python_flow(spark, sf))
+
+
+@query("N04_dominators", f"{_FN}, b AS block, d AS idom FROM part, (VALUES (4, 0), (5, 4), (6, 5), (7, 6), (8, 7), (9, 5), (-1, 5)) x(b, d)")
+def _(spark, sf):
+    return N.dominators(_python_flow(spark, sf)[1])
+
+
+@query("N04_frontiers", f"{_FN}, b AS block, d AS frontier FROM part, (VALUES (5, 5), (6, 5), (7, 5), (6, -1), (7, -1), (8, -1), (9, -1)) x(b, d)")
+def _(spark, sf):
+    return N.frontiers(_python_flow(spark, sf)[1])
+
+
+@query("N05_post_dominators", f"{_FN}, b AS block, d AS idom FROM part, (VALUES (9, -1), (8, -1), (7, -1), (6, 7), (5, -1), (4, 5), (0, 4)) x(b, d)")
+def _(spark, sf):
+    return N.post_dominators(_python_flow(spark, sf)[1], -1)
+
+
+@query("N08_control_deps", f"{_FN}, a AS src, b AS dst FROM part, (VALUES (5, 6), (5, 7), (5, 9), (7, 5), (7, 8)) x(a, b)")
+def _(spark, sf):
+    return N.control_dependencies(_python_flow(spark, sf)[1])
+
+
+@query("N09_loop_carried", f"{_FN}, a AS src, b AS dst, v AS var, c AS carried FROM part, (VALUES (0, 4, 'a', false), (4, 5, 'b', false), (4, 6, 'b', false), (4, 9, 'b', false), (6, 5, 'b', true), (6, 6, 'b', true), (6, 7, 'b', false), (6, 9, 'b', false), (0, 8, 'a', false)) x(a, b, v, c)")
+def _(spark, sf):
+    return N.data_dependencies(*_python_flow(spark, sf))
+
+
+@query("N07_anti_deps", f"{_FN}, a AS src, b AS dst, 'b' AS var FROM part, (VALUES (5, 6), (6, 6)) x(a, b)")
+def _(spark, sf):
+    return N.anti_dependencies(_python_flow(spark, sf)[0])
+
+
+@query("N10_flow_depth", f"SELECT fn||'#'||l AS id, CAST(d AS BIGINT) AS depth FROM ({_FN} FROM part), (VALUES (0, 0), (4, 1), (8, 1), (5, 2), (6, 2), (9, 2), (7, 3)) x(l, d)")
+def _(spark, sf):
+    stmts, cfg = _python_flow(spark, sf)
+    return N.flow_depth(N.data_dependencies(stmts, cfg).filter("NOT carried"))
+
+
+@query("N12_aliases", "SELECT p_partkey||'#'||v AS id, p_partkey||'#a' AS component FROM part, (VALUES ('a'), ('b'), ('b.x'), ('c')) x(v) UNION ALL SELECT p_partkey||'#'||v, p_partkey||'#d' FROM part, (VALUES ('d'), ('d.y')) x(v)")
+def _(spark, sf):
+    one = F.explode(F.expr("array(struct('b' AS d, array('a') AS u), struct('c' AS d, array('b.x') AS u), struct('b.x' AS d, array('c') AS u), struct('c' AS d, array('b') AS u), struct('d' AS d, array('a', 'd.y') AS u))"))
+    stmts = _part(spark, sf, fn="p_partkey").select("fn", one.alias("s")).select("fn", F.col("s.d").alias("def"), F.col("s.u").alias("uses"))
+    return N.alias_names(stmts)
+
+
+@query("N11_backward_slice", f"SELECT fn||'#'||l AS id, CAST(h AS BIGINT) AS hops FROM ({_FN} FROM part), (VALUES (9, 0), (4, 1), (6, 1), (0, 2)) x(l, h)")
+def _(spark, sf):
+    stmts, cfg = _python_flow(spark, sf)
+    seeds = stmts.select(F.concat("fn", F.lit("#9")).alias("id")).distinct()
+    return N.slice_of(N.data_dependencies(stmts, cfg), seeds)
+
+
+@query("N03_unreachable", "SELECT p_partkey AS fn, CAST(v AS BIGINT) AS block FROM part, (VALUES (5), (6)) x(v)")
+def _(spark, sf):
+    edges = F.explode(F.expr("array(struct(0L AS s, 1L AS d), struct(1L AS s, 2L AS d), struct(5L AS s, 6L AS d), struct(6L AS s, 2L AS d))"))
+    return N.unreachable(_part(spark, sf, fn="p_partkey").select("fn", edges.alias("e")).select("fn", F.col("e.s").alias("src"), F.col("e.d").alias("dst")))
+
+
+@query("N15_taint", f"SELECT fn||'#8' AS id, CAST(1 AS BIGINT) AS hops FROM ({_FN} FROM part)")
+def _(spark, sf):
+    stmts, cfg = _python_flow(spark, sf)
+    at = lambda line: stmts.select(F.concat("fn", F.lit(f"#{line}")).alias("id")).distinct()
+    return N.taint(N.data_dependencies(stmts, cfg), at(0), at(8).union(at(9)), at(4))
+
+
+@query("G34_simple_paths", f"{_FN}, p AS path FROM part, (VALUES ('0,4,5,6,7,8,-1'), ('0,4,5,9,-1')) x(p)")
+def _(spark, sf):
+    return N.simple_paths(_python_flow(spark, sf)[1], 0, -1)
+
+
+@query("P11_annotated", "SELECT 'part:'||p_partkey AS id, 'Route' AS notes FROM part WHERE p_partkey % 4 = 1")
+def _(spark, sf):
+    g = P.call_graph(spark, sf)
+    notes = spark.createDataFrame([("n1", "annotation", "@app.Route('/x')"), ("n2", "annotation", "#[Other]")], "id string, node_type string, name string")
+    marks = _part(spark, sf, src="concat('part:', p_partkey)", dst="if(p_partkey % 4 = 1, 'n1', 'n2')", edge_type="'annotatedwith'")
+    return V.annotated(PropertyGraph(g.nodes.unionByName(as_nodes(notes)), as_edges(marks)), ["@Route"])
+
+
+@query("F03_owner_member", "SELECT p_partkey AS id, p_type||'::'||p_partkey AS owner, replace(p_name, ' ', '_') AS member FROM part")
+def _(spark, sf):
+    q = F.concat("t", F.lit("::"), "k", F.lit("."), "n")
+    return _part(spark, sf, k="p_partkey", t="p_type", n="replace(p_name, ' ', '_')").select(F.col("k").alias("id"), T.owner(q).alias("owner"), T.member(q).alias("member"))
+
+
+@query("F04_plain_type", "SELECT p_partkey AS id, p_type AS plain FROM part")
+def _(spark, sf):
+    return _part(spark, sf, id="p_partkey", x="element_at(array(concat('&mut a::b::', p_type, '<T>'), concat('java.util.', p_type, '[]'), concat(p_type, '*')), int(p_partkey % 3 + 1))").select("id", T.plain_type(F.col("x")).alias("plain"))
+
+
+@query("F05_import_prefix", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN p_type||'.'||replace(p_name, ' ', '_') END AS prefix FROM part")
+def _(spark, sf):
+    return _part(spark, sf, id="p_partkey", x="element_at(array(concat(p_type, '.', replace(p_name, ' ', '_'), '.x'), concat('\"', p_type, '/', replace(p_name, ' ', '_'), '\"'), '/abs/path'), int(p_partkey % 3 + 1))").select("id", T.import_prefix(F.col("x")).alias("prefix"))
+
+
+@query("F06_package_label", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'org.'||p_type WHEN 1 THEN p_type ELSE 'a/'||p_type END AS label FROM part")
+def _(spark, sf):
+    return _part(spark, sf, id="p_partkey", x="element_at(array(concat('m/src/main/java/org/', p_type, '/A.java'), concat('crates/', p_type, '/x.rs'), concat('z/a/', p_type, '/f.c')), int(p_partkey % 3 + 1))").select("id", T.package_label(F.col("x")).alias("label"))
+
+
+@query("F20_escaped", "SELECT p_partkey AS id, '&lt;'||p_type||' a=&quot;'||p_size||'&quot;&gt;&amp;' AS x FROM part")
+def _(spark, sf):
+    return _part(spark, sf, id="p_partkey", x="concat('<', p_type, ' a=\"', p_size, '\">&')").select("id", T.escaped(F.col("x")).alias("x"))
+
+
+@query("U02_merged_repositories", f"WITH {NODES} SELECT 'a/'||id AS id, node_type FROM n WHERE node_type <> 'file' UNION ALL SELECT 'b/part:'||p_partkey, 'function' FROM part")
+def _(spark, sf):
+    g = P.entity_graph(spark, sf)
+    g = PropertyGraph(g.nodes.filter("node_type <> 'file'"), g.edges)
+    return g.union(P.call_graph(spark, sf), ("a", "b")).nodes.select("id", "node_type")
+
+
+

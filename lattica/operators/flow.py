@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.iterate import reach
+from lattica.plans.iterate import components, cut, reach
 
 
 def flow_dependencies(stmts: DataFrame) -> DataFrame:
@@ -128,3 +128,83 @@ def simple_paths(cfg: DataFrame, entry: int, exit_: int, most: int = 1000) -> Da
     kind = cfg.schema["fn"].dataType.simpleString()
     packed = cfg.groupBy("fn").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
     return packed.mapInPandas(one, f"fn {kind}, path string")
+
+
+def frontiers(cfg: DataFrame, entry: int = 0) -> DataFrame:
+    """(fn, block, frontier): where a block's dominance ends. On the reversed graph, from the
+    exit, these are the blocks that a block is control dependent on."""
+    kind = cfg.schema["fn"].dataType.simpleString()
+
+    def one(edges: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        up = dict(zip(tree["block"].tolist(), tree["idom"].tolist(), strict=True)) | {entry: entry}
+        found = set()
+        for s, d in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True):
+            x = s
+            # A way into d from a block that d's dominator is above: all between end there.
+            while x in up and d in up and x != (up[d] if d != entry else None):
+                found.add((x, d))
+                if x == entry:
+                    break
+                x = up[x]
+        rows = [(edges["fn"].iloc[0], b, f) for b, f in sorted(found)] if len(edges) else []
+        return pd.DataFrame(rows, columns=["fn", "block", "frontier"])
+
+    left = cfg.select("fn", "src", "dst").distinct().groupBy("fn")
+    return left.cogroup(dominators(cfg, entry).groupBy("fn")).applyInPandas(one, f"fn {kind}, block bigint, frontier bigint")
+
+
+def control_dependencies(cfg: DataFrame, exit_: int = -1) -> DataFrame:
+    """(fn, src, dst): whether dst runs is decided at src."""
+    back = cfg.select("fn", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return frontiers(back, exit_).select("fn", F.col("frontier").alias("src"), F.col("block").alias("dst"))
+
+
+def reaching_definitions(stmts: DataFrame, cfg: DataFrame) -> DataFrame:
+    """(fn, var, src, at): definitions (fn, line, def) that hold at the start of a block of the
+    graph (fn, src, dst). Each round moves only those that are new, past blocks that do not
+    define the variable again."""
+    ways = cut(cfg.select("fn", F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
+    defs = cut(stmts.filter("def IS NOT NULL").select("fn", F.col("def").alias("var"), F.col("line").alias("at")).distinct())
+    front = cut(defs.join(ways, ["fn", "at"]).select("fn", "var", F.col("at").alias("src"), F.col("next").alias("at")).distinct())
+    found = front
+    while not front.isEmpty():
+        past = front.join(defs, ["fn", "var", "at"], "left_anti")
+        step = past.join(ways, ["fn", "at"]).select("fn", "var", "src", F.col("next").alias("at")).distinct()
+        front = cut(step.join(found, ["fn", "var", "src", "at"], "left_anti"))
+        found = found.union(front)
+    return found
+
+
+def data_dependencies(stmts: DataFrame, cfg: DataFrame) -> DataFrame:
+    """(fn, src, dst, var, carried): uses and the definitions that reach them along the graph;
+    carried: round a loop, from a line that is not before the use."""
+    uses = stmts.select("fn", F.col("line").alias("at"), F.explode(F.array_distinct("uses")).alias("var"))
+    met = reaching_definitions(stmts, cfg).join(uses, ["fn", "var", "at"])
+    return met.select("fn", "src", F.col("at").alias("dst"), "var", (F.col("src") >= F.col("at")).alias("carried"))
+
+
+def anti_dependencies(stmts: DataFrame) -> DataFrame:
+    """(fn, src, dst, var): a use and the next definition of its variable, later or on its line."""
+    uses = stmts.select("fn", F.col("line").alias("at"), F.explode(F.array_distinct("uses")).alias("var"), F.lit(0).alias("kind"))
+    defs = stmts.filter("def IS NOT NULL").select("fn", F.col("line").alias("at"), F.col("def").alias("var"), F.lit(1).alias("kind"))
+    w = Window.partitionBy("fn", "var").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
+    later = F.first(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(w)
+    both = uses.unionByName(defs).withColumn("dst", later)
+    return both.filter("kind = 0 AND dst IS NOT NULL").select("fn", F.col("at").alias("src"), "dst", "var")
+
+
+def flow_depth(deps: DataFrame) -> DataFrame:
+    """(id, depth): least number of dependencies from a statement that depends on nothing."""
+    e = cut(deps.filter("src <> dst").select(_key("fn", "src").alias("src"), _key("fn", "dst").alias("dst")).distinct())
+    roots = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti")
+    return reach(e, roots).withColumnRenamed("hops", "depth")
+
+
+def alias_names(stmts: DataFrame) -> DataFrame:
+    """(id, component) of names ``<fn>#<name>`` that may stand for one thing: a field and its
+    base, and both sides of a plain copy."""
+    name = lambda c: F.concat_ws("#", F.col("fn").cast("string"), c)
+    every = stmts.select("fn", F.explode(F.concat(F.array("def"), "uses")).alias("x")).filter("x LIKE '%.%'")
+    fields = every.select(name(F.col("x")).alias("src"), name(F.substring_index("x", ".", 1)).alias("dst"))
+    plain = stmts.filter("def IS NOT NULL AND size(uses) = 1").select("fn", "def", F.element_at("uses", 1).alias("use")).filter("def NOT LIKE '%.%' AND use NOT LIKE '%.%'")
+    return components(fields.union(plain.select(name(F.col("def")), name(F.col("use")))))
