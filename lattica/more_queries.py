@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.functions import source_text as ST
 from lattica.functions import text as T
 from lattica.functions import versions as VS
 from lattica.graph import PropertyGraph, as_edges, as_nodes
@@ -12,8 +13,10 @@ from lattica.operators import mutations as M
 from lattica.operators import reports as RP
 from lattica.operators import resolution as RS
 from lattica.operators import verbs as V
-from lattica.sources import python_source as PY
 from lattica.queries import DENSE, EDGES, NODES, PARTS, SPARSE, P, _calls, query
+from lattica.sources import exports as EX
+from lattica.sources import formats as FM
+from lattica.sources import python_source as PY
 
 
 def _part(spark, sf, **columns):
@@ -463,4 +466,114 @@ def _(spark, sf):
     return g.union(P.call_graph(spark, sf), ("a", "b")).nodes.select("id", "node_type")
 
 
+# --- files and exports
+
+def _config(spark, sf, name, content):
+    return _part(spark, sf, path=f"concat(p_partkey, '/{name}')", content=content).withColumn("content", F.col("content").cast("binary"))
+
+
+_KV = "SELECT p_partkey||'/{0}' AS path, {1} AS key, {2} AS value FROM part"
+
+
+def _keys(name, content, *pairs):
+    @query(f"S_{name.rsplit('.', 1)[1]}_keys", " UNION ALL ".join(_KV.format(name, k, v) for k, v in pairs))
+    def _(spark, sf):
+        return FM.config_keys(_config(spark, sf, name, content)).select("path", "key", "value")
+
+
+_keys("a.json", "concat('{\"a\": {\"b\": ', p_size, ', \"c\": [\"', p_type, '\"]}}')", ("'a.b'", "p_size||''"), ("'a.c[0]'", "p_type"))
+_keys("a.toml", "concat('[a]\nb = ', p_size, '\n[a.d]\nc = \"', p_type, '\"\n')", ("'a.b'", "p_size||''"), ("'a.d.c'", "p_type"))
+_keys("a.properties", "concat('# x\na.b = ', p_size, '\na.c:', p_type, '\n')", ("'a.b'", "p_size||''"), ("'a.c'", "p_type"))
+_keys("a.yaml", "concat('a:\n  b: ', p_size, '\n  c: ', p_type, '\n')", ("'a.b'", "p_size||''"), ("'a.c'", "p_type"))
+
+
+@query("S11_manifest", "SELECT p_partkey||'/package.json' AS path, 'npm' AS ecosystem, p_type AS package, '^1.'||p_size AS version FROM part")
+def _(spark, sf):
+    return FM.dependencies(_config(spark, sf, "package.json", "concat('{\"dependencies\": {\"', p_type, '\": \"^1.', p_size, '\"}}')"))
+
+
+@query("S12_lockfile", "SELECT p_partkey||'/go.sum' AS path, 'github.com/x/'||p_type AS package, p_size||'.0.0' AS version FROM part")
+def _(spark, sf):
+    return FM.dependencies(_config(spark, sf, "go.sum", "concat('github.com/x/', p_type, ' v', p_size, '.0.0 h1:abc=\n')")).select("path", "package", F.regexp_replace("version", "^v", "").alias("version"))
+
+
+@query("S14_bill_of_materials", "SELECT p_partkey||'' AS path, p_type AS package, '1.'||p_size AS version FROM part")
+def _(spark, sf):
+    return FM.bill_of_materials(_part(spark, sf, path="string(p_partkey)", json="concat('{\"', element_at(array('components', 'packages', 'Results'), int(p_partkey % 3 + 1)), '\": [', if(p_partkey % 3 = 2, '{\"Packages\": [', ''), '{\"', if(p_partkey % 3 = 2, 'Name', 'name'), '\": \"', p_type, '\", \"', element_at(array('version', 'versionInfo', 'Version'), int(p_partkey % 3 + 1)), '\": \"1.', p_size, '\"}', if(p_partkey % 3 = 2, ']}', ''), ']}')"))
+
+
+@query("S15_advisories", "SELECT 'A-'||p_partkey AS id, 'npm' AS ecosystem, p_type AS package, '0' AS introduced, '1.'||p_size AS fixed FROM part")
+def _(spark, sf):
+    return FM.advisories(_part(spark, sf, json="concat('{\"id\": \"A-', p_partkey, '\", \"affected\": [{\"package\": {\"ecosystem\": \"npm\", \"name\": \"', p_type, '\"}, \"ranges\": [{\"type\": \"SEMVER\", \"events\": [{\"introduced\": \"0\"}, {\"fixed\": \"1.', p_size, '\"}]}]}]}')")).drop("last_affected")
+
+
+@query("S18_hunks", "SELECT 'src/'||p_partkey||'.rs' AS path, p_size AS h_start, p_size + 3 AS h_end FROM part")
+def _(spark, sf):
+    lines = F.posexplode(F.expr("array(concat('--- a/src/', p_partkey, '.rs'), concat('+++ b/src/', p_partkey, '.rs'), concat('@@ -1,2 +', p_size, ',4 @@ fn x'), '+y')"))
+    return FM.diff_hunks(P.table(spark, sf, "part").select(F.col("p_partkey").alias("diff"), lines.alias("n", "line")))
+
+
+@query("S04_sniffed", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'matlab' ELSE 'objectivec' END AS kind FROM part")
+def _(spark, sf):
+    return _part(spark, sf, id="p_partkey", x="if(p_partkey % 2 = 0, concat('% ', p_name, '\nfunction y = f(x)\ny = x.^2;\nend\n'), concat('#import <x.h>\n@implementation ', p_type, '\n[self go];\n@end\n'))").select("id", FM.sniffed(F.col("x")).alias("kind"))
+
+
+@query("S02_routes", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'source' WHEN 1 THEN 'config' WHEN 2 THEN 'lockfile' ELSE 'skip' END AS route FROM part")
+def _(spark, sf):
+    return _part(spark, sf, id="p_partkey", x="concat(p_type, '/', element_at(array('m.rs', 'c.yaml', 'Cargo.lock', 'p.png'), int(p_partkey % 4 + 1)))").select("id", FM.route(F.col("x")).alias("route"))
 
+
+@query("F08_usages", "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE 'X_'||p_size||',Y' END AS names FROM part")
+def _(spark, sf):
+    text = "element_at(array('a = os.environ[\"X_{n}\"]; os.getenv(\"Y\")', 'process.env.X_{n} + process.env[\"Y\"]', 'os.Getenv(\"X_{n}\"); os.LookupEnv(\"Y\")', 'env::var(\"X_{n}\"); env!(\"Y\")', 'Z'), int(p_partkey % 5 + 1))"
+    rows = _part(spark, sf, id="p_partkey", lang="element_at(array('python', 'typescript', 'go', 'rust', 'cobol'), int(p_partkey % 5 + 1))", x=f"replace({text}, '{{n}}', string(p_size))")
+    return rows.select("id", F.array_join(ST.usages(F.col("lang"), F.col("x")), ",").alias("names"))
+
+
+@query("F09_signatures", "SELECT p_partkey AS id, 'f'||p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'a:i64,b:unknown' ELSE '' END AS params, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS returns, p_partkey % 2 = 0 AS same FROM part")
+def _(spark, sf):
+    rows = _part(spark, sf, id="p_partkey", x="if(p_partkey % 2 = 0, concat('pub fn f', p_partkey, '(a: i64, b) -> ', p_type, ' {'), concat('def f', p_partkey, '():'))", y="concat('def g(x, y) -> ', lower(p_type))")
+    rows = rows.select("id", ST.signature(F.col("x")).alias("s"), ST.signature(F.col("y")).alias("t"))
+    shown = F.array_join(F.transform("s.params", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",")
+    return rows.select("id", "s.name", shown.alias("params"), "s.returns", ST.equivalent(F.col("s"), F.col("t")).alias("same"))
+
+
+def _nation_graph(spark, sf):
+    g = P.entity_graph(spark, sf)
+    return PropertyGraph(g.nodes.filter("node_type = 'module'"), g.edges.filter("src LIKE 'region%'"))
+
+
+@query("X03_graphml", """SELECT '<node id="nation:'||n_nationkey||'"><data key="name">'||n_name||'</data><data key="type">module</data></node>' AS line FROM nation UNION ALL SELECT '<edge source="region:'||n_regionkey||'" target="nation:'||n_nationkey||'"><data key="type">contains</data></edge>' FROM nation""")
+def _(spark, sf):
+    return EX.graphml(_nation_graph(spark, sf)).filter("part IN (1, 2) AND n LIKE '%nation%'").select("line")
+
+
+@query("X04_dot", """SELECT '  "nation:'||n_nationkey||'" [label="'||n_name||'"];' AS line FROM nation UNION ALL SELECT '  "region:'||n_regionkey||'" -> "nation:'||n_nationkey||'" [label="contains"];' FROM nation""")
+def _(spark, sf):
+    return EX.dot(_nation_graph(spark, sf)).filter("part IN (1, 2) AND n LIKE '%nation%'").select("line")
+
+
+@query("X05_mermaid", """SELECT '  n'||substr(sha256('nation:'||n_nationkey), 1, 12)||'["'||n_name||'"]' AS line FROM nation""")
+def _(spark, sf):
+    return EX.mermaid(_nation_graph(spark, sf)).filter("part = 1 AND n LIKE 'nation%'").select("line")
+
+
+@query("X06_vault", """SELECT 'nation_'||n_nationkey||'.md' AS file, '---'||chr(10)||'type: module'||chr(10)||'---'||chr(10)||'# '||n_name||chr(10) AS content FROM nation""")
+def _(spark, sf):
+    return EX.vault(_nation_graph(spark, sf)).filter("file LIKE 'nation%'")
+
+
+@query("X07_okf", """SELECT '{"id":"nation:'||n_nationkey||'","type":"module","title":"'||n_name||'"}' AS line FROM nation""")
+def _(spark, sf):
+    return EX.okf(_nation_graph(spark, sf)).filter("line LIKE '%nation:%' AND line NOT LIKE '%region%'")
+
+
+@query("X08_sarif", """SELECT '{"ruleId":"'||p_type||'","level":"error","message":{"text":"m"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"'||p_brand||'"},"region":{"startLine":'||p_size||'}}}]},' AS line FROM part""")
+def _(spark, sf):
+    rows = _part(spark, sf, id="p_partkey", rule="p_type", level="'error'", message="'m'", path="p_brand", line="p_size")
+    return EX.sarif(rows, "lattica").filter("part = 1").select("line")
+
+
+@query("X08_openvex", """SELECT '{"vulnerability":{"name":"CVE-'||p_partkey||'"},"products":[{"@id":"pkg:npm/'||p_type||'"}],"status":"fixed"},' AS line FROM part""")
+def _(spark, sf):
+    return EX.openvex(_part(spark, sf, id="p_partkey", vulnerability="concat('CVE-', p_partkey)", product="concat('pkg:npm/', p_type)", status="'fixed'")).filter("part = 1").select("line")

@@ -27,11 +27,14 @@ def walk(spark: SparkSession, path: str, pattern: str = "*", exclude: tuple[str,
 
 
 def route(path) -> F.Column:
-    """source, config, lockfile or skip, by the file's name."""
+    """lockfile, manifest, workflow, config, source or skip, by the file's name."""
     name, ext = F.lower(T.base_name(path)), T.extension(path)
     lock = name.isin("cargo.lock", "go.sum", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "pipfile.lock", "composer.lock", "gemfile.lock", "mix.lock", "pubspec.lock", "gradle.lockfile") | name.rlike(r"^requirements.*\.txt$")
+    manifest = name.isin("pom.xml", "cargo.toml", "package.json", "go.mod", "build.gradle", "build.gradle.kts")
+    workflow = F.concat(F.lit("/"), T.normal_path(path)).contains("/.github/workflows/") & ext.isin("yml", "yaml")
     config = ext.isin("json", "yaml", "yml", "toml", "xml", "properties", "ini", "env")
-    return F.when(lock, "lockfile").when(config, "config").when(T.language(path).isNotNull(), "source").otherwise("skip")
+    source = ext.isin([*T.LANGUAGES, *"jsx swift scala lua md sql sh ex dart zig".split()])
+    return F.when(lock, "lockfile").when(manifest, "manifest").when(workflow, "workflow").when(config, "config").when(source, "source").otherwise("skip")
 
 
 def _leaf(path: str, value) -> tuple[str, str, str | None]:
@@ -273,3 +276,25 @@ def diff_hunks(lines: DataFrame) -> DataFrame:
     df = df.filter(F.col("line").rlike(head)).withColumn("h_start", F.regexp_extract("line", head, 1).cast("int"))
     n = F.coalesce(F.expr(f"try_cast(regexp_extract(line, r'{head}', 2) AS int)"), F.lit(1))
     return df.select("path", "h_start", (F.col("h_start") + F.greatest(n - 1, F.lit(0))).alias("h_end"))
+
+
+_BOM = "components array<struct<name:string,version:string,purl:string>>, packages array<struct<name:string,versionInfo:string>>, Results array<struct<Packages:array<struct<Name:string,Version:string>>>>"
+
+
+def bill_of_materials(raw: DataFrame) -> DataFrame:
+    """(path, package, version) of CycloneDX, SPDX and scanner reports (path, json)."""
+    o = raw.select("path", F.from_json("json", _BOM).alias("o"))
+    cyclone = F.transform("o.components", lambda c: F.struct(c["name"].alias("package"), c["version"].alias("version")))
+    spdx = F.transform("o.packages", lambda c: F.struct(c["name"].alias("package"), c["versionInfo"].alias("version")))
+    scan = F.transform(F.flatten(F.transform("o.Results", lambda r: F.coalesce(r["Packages"], F.array()))), lambda c: F.struct(c["Name"].alias("package"), c["Version"].alias("version")))
+    none = F.array().cast("array<struct<package:string,version:string>>")
+    every = F.concat(*[F.coalesce(x, none) for x in (cyclone, spdx, scan)])
+    return o.select("path", F.explode(every).alias("x")).select("path", "x.package", "x.version").filter("package IS NOT NULL").distinct()
+
+
+def sniffed(content) -> F.Column:
+    """matlab or objectivec for a text of a ``.m`` file, by which one's marks it has more of."""
+    count = lambda p: F.regexp_count(content, F.lit(p))
+    objective = count(r"(?m)^\s*(#import|#include|@interface|@implementation|@property|@end)") + count(r"\[\w+ \w+")
+    matlab = count(r"(?m)^\s*(function\b|end\s*$|%|classdef\b)") + count(r"\.\*|\.\^")
+    return F.when(matlab > objective, "matlab").otherwise("objectivec")
