@@ -56,13 +56,18 @@ STAGES = [
 ]
 
 #: SQL cannot express these stages (a learnt model, similarity classes); tests/llm holds
-#: the pipeline against brute force.
+#: each operator against brute force, and the pipeline against its operators.
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written to the shared checkpoint
-    folder and read again."""
+    folder and read again, and goes when the next one's stands."""
     prepare(spark)
     base = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -71,4 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{k}-{name}")
             docs = spark.read.parquet(f"{base}/{k}-{name}")
+            if k:
+                _delete(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
