@@ -8,6 +8,7 @@ from lattica.functions import source_text as ST
 from lattica.functions import text as T
 from lattica.functions import versions as VS
 from lattica.graph import PropertyGraph, as_edges, as_nodes
+from lattica.operators import algorithms as A
 from lattica.operators import flow as N
 from lattica.operators import mutations as M
 from lattica.operators import reports as RP
@@ -577,3 +578,67 @@ def _(spark, sf):
 @query("X08_openvex", """SELECT '{"vulnerability":{"name":"CVE-'||p_partkey||'"},"products":[{"@id":"pkg:npm/'||p_type||'"}],"status":"fixed"},' AS line FROM part""")
 def _(spark, sf):
     return EX.openvex(_part(spark, sf, id="p_partkey", vulnerability="concat('CVE-', p_partkey)", product="concat('pkg:npm/', p_type)", status="'fixed'")).filter("part = 1").select("line")
+
+
+# --- review
+
+@query("G23_heading_projection", "SELECT p_partkey AS src, p_partkey + 2 AS dst FROM part WHERE p_partkey % 4 = 0 AND p_partkey + 2 IN (SELECT p_partkey FROM part) UNION SELECT p_partkey, p_partkey + 1 FROM part")
+def _(spark, sf):
+    nodes = _part(spark, sf, id="p_partkey", node_type="'module'", properties="map('kind', if(p_partkey % 2 = 0, 'heading', 'block'))")
+    step = _part(spark, sf, src="p_partkey", dst="p_partkey + if(p_partkey % 4 = 0, 2, 4)", edge_type="'contains'").filter("src % 4 <> 2")
+    return RP.heading_projection(nodes, step.union(_part(spark, sf, src="p_partkey", dst="p_partkey + 1", edge_type="'calls'")))
+
+
+@query("D05_call_spine", f"""WITH {SPARSE}, s AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 = 7), a1 AS (SELECT DISTINCT e.s AS id FROM e JOIN s ON e.t = s.id WHERE e.s NOT IN (FROM s)),
+  a2 AS (SELECT DISTINCT e.s AS id FROM e JOIN a1 ON e.t = a1.id WHERE e.s NOT IN (FROM s) AND e.s NOT IN (FROM a1)), b1 AS (SELECT DISTINCT e.t AS id FROM e JOIN s ON e.s = s.id WHERE e.t NOT IN (FROM s))
+  SELECT id, 'seed' AS side, CAST(0 AS BIGINT) AS hops FROM s UNION ALL SELECT id, 'caller', 1 FROM a1 UNION ALL SELECT id, 'caller', 2 FROM a2 UNION ALL SELECT id, 'callee', 1 FROM b1 ORDER BY hops, side, id LIMIT 200""")
+def _(spark, sf):
+    return RP.call_spine(_calls(spark, sf), _part(spark, sf, id="p_partkey").filter("id % 50 = 7"))
+
+
+@query("D05_spine_delta", "SELECT p_partkey AS id, 'caller' AS side, CASE WHEN p_size >= 40 THEN 'added' WHEN p_size < 10 THEN 'removed' ELSE 'kept' END AS kind FROM part")
+def _(spark, sf):
+    rows = _part(spark, sf, id="p_partkey", side="'caller'", size="p_size")
+    return RP.spine_delta(rows.filter("size < 40"), rows.filter("size >= 10"))
+
+
+@query("D06_symbol_filter", f"WITH {NODES} SELECT id FROM n WHERE name = (SELECT min(p_name) FROM part)")
+def _(spark, sf):
+    first = P.table(spark, sf, "part").agg(F.min("p_name")).first()[0]
+    return RP.symbol_filter(P.entity_graph(spark, sf).nodes, first)
+
+
+@query("D11_introduced", """WITH s AS (SELECT o_custkey AS key, o_orderkey AS seq, o_orderstatus = 'O' AS bad FROM orders), g AS (SELECT key, max(seq) FILTER (NOT bad) AS good, arg_max(bad, seq) AS now FROM s GROUP BY 1)
+  SELECT key, min(seq) AS seq FROM s JOIN g USING (key) WHERE now AND bad AND (good IS NULL OR seq > good) GROUP BY 1""")
+def _(spark, sf):
+    return RP.introduced_by(P.table(spark, sf, "orders").selectExpr("o_custkey AS key", "o_orderkey AS seq", "o_orderstatus = 'O' AS bad"))
+
+
+@query("D12_scoped_scores", f"WITH {SPARSE} SELECT t AS id, count(*)::DOUBLE AS score FROM e JOIN part ON p_partkey = t WHERE p_brand IN ('Brand#2', 'Brand#17') GROUP BY 1 HAVING count(*) > 1")
+def _(spark, sf):
+    scores = _calls(spark, sf).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return RP.scoped_scores(scores, _part(spark, sf, id="p_partkey", b="p_brand").filter("b IN ('Brand#2', 'Brand#17')"), 1.0)
+
+
+@query("D18_weaknesses", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'CWE-89' WHEN 1 THEN 'CWE-78' END AS cwe FROM part")
+def _(spark, sf):
+    return RP.advised(_part(spark, sf, id="p_partkey", sink="element_at(array('sql_query', 'shell_command', 'log'), int(p_partkey % 3 + 1))")).select("id", "cwe")
+
+
+@query("D19_gates", "SELECT false AS passed, 'prices,sizes' AS failed")
+def _(spark, sf):
+    checks = P.table(spark, sf, "part").agg(F.max("p_size").cast("double").alias("sizes"), F.max("p_retailprice").cast("double").alias("prices"), F.lit(0.0).alias("cycles"))
+    rows = checks.select(F.explode(F.create_map(*[x for c in checks.columns for x in (F.lit(c), F.col(c))])).alias("check", "value"))
+    return RP.gates(rows.withColumn("most", F.lit(1.0)))
+
+
+@query("G07_dispatched")
+def _(spark, sf):
+    found, mode = A.dispatched(_calls(spark, sf))
+    return found.withColumn("mode", F.lit(mode))
+
+
+@query("J25_stub_paths", f"WITH {SPARSE} SELECT a.s AS source, b.t AS sink, min(a.s||'>'||a.t||'>'||b.t) AS path FROM e a JOIN e b ON a.t = b.s WHERE a.s % 20 = 3 AND b.t % 20 = 9 AND (a.s, b.t) NOT IN (SELECT (s, t) FROM e) AND a.s <> b.t AND a.t % 20 <> 9 GROUP BY 1, 2")
+def _(spark, sf):
+    ids = _part(spark, sf, id="p_partkey")
+    return RP.shortest_paths(_calls(spark, sf), ids.filter("id % 20 = 3"), ids.filter("id % 20 = 9"), 2).filter("hops = 2").drop("hops")

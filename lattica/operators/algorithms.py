@@ -298,3 +298,12 @@ def region_hashes(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFr
         near = both.join(h.toDF("peer", "ph"), "peer").groupBy("id").agg(F.sum(F.xxhash64("tag", "ph").cast("decimal(20,0)")).alias("around"))
         h = h.join(near, "id", "left").select("id", F.xxhash64("hash", F.coalesce(F.col("around"), F.lit(0)).cast("decimal(38,0)")).alias("hash"))
     return h
+
+
+def dispatched(edges: DataFrame, exact: int = 100_000, pivots: int = 256) -> tuple[DataFrame, str]:
+    """Centrality and the way it was computed: ``exact`` up to so many nodes, else ``sampled``
+    from ``pivots`` of the least hash."""
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    if ids.count() <= exact:
+        return centrality(edges), "exact"
+    return centrality(edges, ids.orderBy(F.xxhash64("id")).limit(pivots)), "sampled"

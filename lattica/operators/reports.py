@@ -156,3 +156,91 @@ def ranked_seeds(seeds: DataFrame, most: int = 50) -> DataFrame:
     place = F.row_number().over(Window.orderBy(F.desc("touched"), "id"))
     cut = F.count(F.lit(1)).over(Window.partitionBy()) > most
     return some.select("id", "touched", place.alias("k"), cut.alias("truncated")).filter(F.col("k") <= most).drop("k")
+
+
+def heading_projection(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst): calls, imports and uses, and contains only between headings of documents."""
+    headings = nodes.filter("node_type = 'module'").filter(F.col("properties")["kind"] == "heading").select("id")
+    inside = edges.filter("edge_type = 'contains'").join(headings.toDF("src"), "src", "left_semi").join(headings.toDF("dst"), "dst", "left_semi")
+    other = edges.filter(F.col("edge_type").isin("calls", "imports", "uses"))
+    return other.select("src", "dst").union(inside.select("src", "dst")).distinct()
+
+
+def call_spine(edges: DataFrame, seeds: DataFrame, up: int = 2, down: int = 1, budget: int = 200) -> DataFrame:
+    """(id, side, hops): callers within ``up`` and callees within ``down`` hops of the seeds
+    (id), nearest first, ``budget`` rows at most."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    above = reach(back, seeds, up).withColumn("side", F.when(F.col("hops") == 0, "seed").otherwise("caller"))
+    below = reach(edges, seeds, down).filter("hops > 0").withColumn("side", F.lit("callee"))
+    return above.select("id", "side", "hops").union(below.select("id", "side", "hops")).orderBy("hops", "side", "id").limit(budget)
+
+
+def spine_delta(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(id, side, kind) of two spines: added, removed or kept."""
+    both = base.select("id", "side", F.lit(1).alias("b")).join(head.select("id", "side", F.lit(1).alias("h")), ["id", "side"], "full")
+    return both.select("id", "side", F.when(F.col("b").isNull(), "added").when(F.col("h").isNull(), "removed").otherwise("kept").alias("kind"))
+
+
+def symbol_filter(nodes: DataFrame, symbol: str) -> DataFrame:
+    """(id) of the nodes that a key, a qualified name or a name stands for: the first of these
+    that any node has."""
+    tier = F.when(F.col("id") == symbol, 0).when(F.col("qualified_name") == symbol, 1).when(F.col("name") == symbol, 2)
+    found = nodes.select("id", tier.alias("tier")).filter("tier IS NOT NULL")
+    return found.join(F.broadcast(found.agg(F.min("tier").alias("tier"))), "tier").select("id")
+
+
+def introduced_by(states: DataFrame) -> DataFrame:
+    """(key, seq): of states (seq, key, bad) the first of the last run of bad ones, for keys whose
+    last state is bad: the commit that brought a violation in."""
+    last_good = F.max(F.when(~F.col("bad"), F.col("seq"))).over(Window.partitionBy("key"))
+    last_bad = F.max_by("bad", "seq").over(Window.partitionBy("key"))
+    after = states.withColumn("good", last_good).withColumn("now", last_bad).filter("now AND bad AND (good IS NULL OR seq > good)")
+    return after.groupBy("key").agg(F.min("seq").alias("seq"))
+
+
+def scoped_scores(scores: DataFrame, scope: DataFrame, alert: float) -> DataFrame:
+    """(id, score) of a scope (id) over ``alert``, from scores of the whole graph."""
+    return scores.join(scope.select("id").distinct(), "id", "left_semi").filter(F.col("score") > alert)
+
+
+# Weaknesses by what a finding reaches, and what to do about them.
+WEAKNESSES = {
+    "sql_query": ("CWE-89", "bind parameters instead of joining text"),
+    "shell_command": ("CWE-78", "pass arguments as a list, without a shell"),
+    "html_render": ("CWE-79", "escape what is rendered"),
+    "code_eval": ("CWE-95", "do not evaluate input"),
+    "file_path": ("CWE-22", "resolve paths and hold them to a root"),
+}
+
+
+def advised(findings: DataFrame) -> DataFrame:
+    """``findings`` (sink, ...) with the weakness and a recommendation; null for others."""
+    table = F.create_map(*[F.lit(x) for k, v in WEAKNESSES.items() for x in (k, F.struct(F.lit(v[0]).alias("cwe"), F.lit(v[1]).alias("advice")))])
+    return findings.withColumn("__w", table[F.col("sink")]).select(*findings.columns, "__w.cwe", "__w.advice")
+
+
+def gates(checks: DataFrame) -> DataFrame:
+    """One row of checks (check, value, most): whether all passed, and the failed ones."""
+    failed = F.array_sort(F.collect_list(F.when(F.col("value") > F.col("most"), F.col("check"))))
+    return checks.agg(failed.alias("failed")).select((F.size("failed") == 0).alias("passed"), F.array_join("failed", ",").alias("failed"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int = 8) -> DataFrame:
+    """(source, sink, hops, path): for each source (id) and sink (id) that it leads to within
+    ``depth`` hops, the least text of a shortest way. A way ends at the first sink on it and
+    passes a node once for each source, so the rows a round adds are sources times nodes at most."""
+    from lattica.plans.iterate import cut
+
+    ways = cut(edges.select("src", "dst").distinct())
+    front = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.col("id").cast("string").alias("path")))
+    seen, ends = front.select("source", "at"), None
+    for hops in range(1, depth + 1):
+        step = front.join(ways, F.col("at") == F.col("src")).groupBy("source", F.col("dst").alias("at")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
+        step = cut(step.join(seen, ["source", "at"], "left_anti"))
+        hit = step.join(sinks.select(F.col("id").alias("at")), "at", "left_semi").select("source", F.col("at").alias("sink"), F.lit(hops).alias("hops"), "path")
+        ends = hit if ends is None else ends.union(hit)
+        front = cut(step.join(sinks.select(F.col("id").alias("at")), "at", "left_anti"))
+        seen = seen.union(step.select("source", "at"))
+        if front.isEmpty():
+            break
+    return ends

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> None:
-    """A checkpoint folder: the session's spark.checkpoint.dir, else one for local use."""
+    """A checkpoint folder: the session's spark.checkpoint.dir; one for local use only where that
+    is unset and the master is local."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattica-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
