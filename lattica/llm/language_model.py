@@ -2,16 +2,24 @@
 
 Words are known by 64-bit hashes whose low bits hold a hash of the word's last two bytes,
 its bucket. All training words are counted. The commonest SYMBOLS - TAILS words (the end
-among them) are symbols of their own; each other word is seen as the symbol of its bucket:
+among them) are symbols of their own; each other word is predicted by its bucket:
 
     p(word | context) = p(class | context) p(symbol | class, context) p(word | symbol)
 
-The two softmaxes are log-linear in hashed features of the context: the word before, the
-one before that (a skip feature), and both together. p(word | symbol) is 1 for a word of its
-own and smoothed relative frequency within a bucket. Training first gathers how often
-each symbol follows each context over all training texts, a table bounded by SYMBOLS**3
-that grows with the input until it is full, and then takes STEPS gradient updates: each
-partition of contexts sums its gradient, the driver adds those up and moves the weights.
+The two softmaxes are log-linear in hashed features of the context, which are of whole words,
+however rare: the word before, the one before that (a skip feature), and both together. A
+feature is a hash; with it go CLASS_SIZE weights for the classes and, for each class that
+follows it, as many for the symbols of that class. Both lie in blocks of one table whose length
+grows with the training tokens, from LEAST_BLOCKS to MOST_BLOCKS (a bound on what is
+broadcast); features that share a block share its weights. p(word | symbol) is 1 for a word of
+its own and smoothed relative frequency within a bucket.
+
+Training is distributed gradient ascent: in each of EPOCHS passes every task takes all its
+texts, a batch of STEP tokens an update (AdaGrad, one scale a block), and gives out the blocks
+that it moved. A block's moves are averaged over the tasks that met it, weighted by how
+often they did. So every training token counts in each pass. Weights depend on how
+the table's files are dealt to tasks, as in any such mixing; within a run a score depends on the
+text alone.
 
 The counts of the HEAD commonest words are broadcast, a bound whatever the vocabulary is.
 Rarer words of each text are joined with the table of counts and summed by text.
@@ -28,12 +36,21 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import Words, chunks, cut, fold, freed, mix64, read_table, text_bytes
 
-SYMBOLS, TAILS, CLASSES, FEATURES = 128, 32, 16, 2048
-HEAD, STEPS, PARTS, FLUSH = 1 << 18, 30, 3, 1 << 20
-_PER_CLASS = SYMBOLS // CLASSES
+CLASS_SIZE, TAILS = 16, 32
+SYMBOLS = CLASS_SIZE * CLASS_SIZE
+#: Blocks of weights: one for so many training tokens, within these bounds.
+BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 16, 1 << 13, 1 << 18
+HEAD, FLUSH = 1 << 18, 1 << 20
+#: Passes over the training texts, tokens of an update, and its rate.
+EPOCHS, STEP, RATE = 2, 1 << 13, 1.0
+#: Blocks that one row of a task's moves holds.
+PART = 1 << 12
+#: Blocks that are no feature's: unigram weights of the classes, and of each class's symbols.
+_FIXED = 1 + CLASS_SIZE
 #: The end's hash; no word can have it, as those of words have another low part.
 END = np.uint64(0x9E3779B97F4A7C00 | (TAILS - 1) + 1)
 _LOW = np.uint64(63)
+_ODD = mix64(np.arange(101, 105, dtype=np.uint64)) | np.uint64(1)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +128,7 @@ class Lexicon:
         self.total = sum(n for n, _ in by_bucket.values())
         self.distinct = sum(v for _, v in by_bucket.values())
         own = word[word != END][: SYMBOLS - TAILS - 1]
+        unigram = np.full(SYMBOLS, 0.5)
         symbol = {int(END): 0} | {int(w): k + 1 for k, w in enumerate(own)}
         if END not in word:
             word, n = np.append(word, END), np.append(n, 0.0)
@@ -122,6 +140,10 @@ class Lexicon:
         single = self.symbol < SYMBOLS - TAILS
         for w, c in zip(self.word[single & (self.word != END)], self.n[single & (self.word != END)], strict=True):
             mass[int(w & _LOW)] -= (c, 1)
+        unigram[self.symbol[single]] += self.n[single]
+        unigram[SYMBOLS - TAILS :] += mass[:, 0]
+        #: of the symbols, smoothed
+        self.unigram = unigram
         #: log10 of what a count plus a half is divided by, for words of no symbol's own
         self.within = np.log10(mass[:, 0] + 0.5 * (mass[:, 1] + 1))
         self.over_all = float(np.log10(self.total + 0.5 * (self.distinct + 1)))
@@ -133,106 +155,154 @@ class Lexicon:
         return at, there, np.where(there, self.symbol[at], SYMBOLS - TAILS + (words & _LOW).astype(np.int64))
 
 
-def contexts(symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The two symbols before each, as one number; before a text stand ends."""
-    one, two = np.zeros_like(symbol), np.zeros_like(symbol)
-    one[1:] = np.where(doc[1:] == doc[:-1], symbol[:-1], 0)
-    two[2:] = np.where(doc[2:] == doc[:-2], symbol[:-2], 0)
-    return one * SYMBOLS + two
-
-
-def feature_rows(context: np.ndarray) -> np.ndarray:
-    """The features of contexts, three rows of the weights each: the word before, the
-    one before that, and both; hashed, so some share a row. Row 0 is for all."""
-    one, two = context // SYMBOLS, context % SYMBOLS
-    keys = np.stack([one, SYMBOLS + two, 2 * SYMBOLS + context], axis=1).astype(np.uint64)
-    return (1 + mix64(keys + np.uint64(1 << 20)) % np.uint64(FEATURES - 1)).astype(np.int64)
-
-
-def probabilities(weights: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """p(class | context), and p(symbol | class, context) as contexts x classes x words."""
-    z = weights[0] + weights[feature_rows(context)].sum(axis=1)
-    c, s = z[:, :CLASSES], z[:, CLASSES:].reshape(-1, CLASSES, _PER_CLASS)
-    c, s = np.exp(c - c.max(axis=1, keepdims=True)), np.exp(s - s.max(axis=2, keepdims=True))
-    return c / c.sum(axis=1, keepdims=True), s / s.sum(axis=2, keepdims=True)
-
-
-def gradient(weights: np.ndarray, context: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Of the log-likelihood; ``seen``: contexts x symbols counts."""
-    c, s = probabilities(weights, context)
-    by_class = seen.reshape(-1, CLASSES, _PER_CLASS)
-    each = by_class.sum(axis=2)
-    slope = np.concatenate([each - each.sum(axis=1, keepdims=True) * c, (by_class - each[:, :, None] * s).reshape(len(context), -1)], axis=1)
-    out = np.zeros_like(weights)
-    out[0] = slope.sum(axis=0)
-    rows = feature_rows(context)
-    for k in range(rows.shape[1]):
-        np.add.at(out, rows[:, k], slope)
-    return out
+def contexts(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each and the one before that; before a text stand ends."""
+    one, two = np.full_like(words, END), np.full_like(words, END)
+    one[1:] = np.where(doc[1:] == doc[:-1], words[:-1], END)
+    two[2:] = np.where(doc[2:] == doc[:-2], words[:-2], END)
+    return one, two
 
 
-def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """Weights from the texts' transitions, FEATURES x (CLASSES + SYMBOLS)."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon)
+def feature_blocks(one: np.ndarray, two: np.ndarray, group: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of each context's three features: for the classes, and for the symbols of ``group``."""
+    keys = np.stack([mix64(one ^ _ODD[0]), mix64(two ^ _ODD[1]), mix64(mix64(one ^ _ODD[2]) + two)], axis=1)
+    free = np.uint64(blocks - _FIXED)
+    inner = mix64(keys + (group.astype(np.uint64) + np.uint64(1))[:, None] * _ODD[3])
+    return (keys % free).astype(np.int64) + _FIXED, (inner % free).astype(np.int64) + _FIXED
 
-    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally("code")
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for i, j in chunks(offsets):
-                words, doc = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                symbol = shared.value.find(words)[2]
-                yield from tally.add((contexts(symbol, doc) * SYMBOLS + symbol).astype(np.uint64))
-        yield from tally.close()
-
-    seen = texts.mapInArrow(transitions, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    # A word before has at most SYMBOLS**2 transitions, so these lists are bounded.
-    packed = seen.groupBy(F.expr(f"code div {SYMBOLS * SYMBOLS}").alias("one")).agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n"))
-    packed = cut(packed.repartition(PARTS))
-    total = max(lexicon.total, 1)
-    weights = np.zeros((FEATURES, CLASSES + SYMBOLS))
-    unigram = np.full(SYMBOLS, 0.5)
-    for r in packed.select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy(F.expr(f"x.code % {SYMBOLS}").alias("s")).agg(F.sum("x.n").alias("n")).collect():
-        unigram[r["s"]] += r["n"]
-    weights[0, CLASSES:] = np.log(unigram)
-    weights[0, :CLASSES] = np.log(unigram.reshape(CLASSES, _PER_CLASS).sum(axis=1))
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, STEPS + 1):
-        g = _summed_gradient(packed, weights) / total
-        m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
-        rate = 0.3 * (1 - (step - 1) / STEPS) + 0.02
-        weights += rate * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-7)
-    return weights
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
 
-def _summed_gradient(packed: DataFrame, weights: np.ndarray) -> np.ndarray:
-    shared = packed.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(shared.value)
-        for batch in batches:
-            for codes, counts in zip(batch.column("code"), batch.column("n"), strict=True):
-                code, n = codes.values.to_numpy(), counts.values.to_numpy()
-                context, row = np.unique(code // SYMBOLS, return_inverse=True)
-                seen = np.zeros((len(context), SYMBOLS))
-                seen[row, code % SYMBOLS] = n
-                total += gradient(shared.value, context, seen)
-        rows = np.flatnonzero(total.any(axis=1)).astype(np.int32)
-        if len(rows):
-            raw = [rows.tobytes(), total[rows].astype(np.float32).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["rows", "g"])
-
-    # Each partition sends the feature rows that its contexts have; their number and size are
-    # set by the model, not by the corpus.
-    sums = packed.select("code", "n").mapInArrow(run, "rows binary, g binary").toArrow()
-    out = np.zeros_like(weights)
-    for rows, g in zip(sums.column("rows").to_pylist(), sums.column("g").to_pylist(), strict=True):
-        out[np.frombuffer(rows, dtype=np.int32)] += np.frombuffer(g, dtype=np.float32).reshape(-1, weights.shape[1])
-    shared.unpersist()
+def _both(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks and softmaxes of the classes and of the symbols in each symbol's own class."""
+    group = symbol // CLASS_SIZE
+    outer, inner = feature_blocks(one, two, group, len(weights))
+    return outer, inner, _softmax(weights[0] + weights[outer].sum(axis=1)), _softmax(weights[1 + group] + weights[inner].sum(axis=1))
+
+
+def log_probability(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """log10 of p(class | context) p(symbol | class, context), by batches."""
+    out = np.empty(len(symbol))
+    for i in range(0, len(symbol), STEP):
+        part = slice(i, i + STEP)
+        s = symbol[part]
+        c, w = _both(weights, one[part], two[part], s)[2:]
+        row = np.arange(len(s))
+        out[part] = np.log10(c[row, s // CLASS_SIZE].astype(float)) + np.log10(w[row, s % CLASS_SIZE].astype(float))
     return out
 
 
+def gradient(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log-likelihood: the blocks that it moves, how often each was met, and its rows."""
+    outer, inner, c, w = _both(weights, one, two, symbol)
+    row, n = np.arange(len(symbol)), len(symbol)
+    c[row, symbol // CLASS_SIZE] -= 1
+    w[row, symbol % CLASS_SIZE] -= 1
+    slope = -np.concatenate([c, w])
+    block = np.concatenate([outer, inner]).ravel()
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    return block[first], np.diff(np.append(first, len(block))), np.add.reduceat(slope[order // outer.shape[1]], first, axis=0) if n else slope
+
+
+def start(lexicon: Lexicon) -> np.ndarray:
+    """Weights before training: those of the unigram model."""
+    want = max(int(lexicon.total) // BLOCK_TOKENS, 1)
+    weights = np.zeros((min(max(1 << (want - 1).bit_length(), LEAST_BLOCKS), MOST_BLOCKS), CLASS_SIZE), dtype=np.float32)
+    by_class = lexicon.unigram.reshape(CLASS_SIZE, CLASS_SIZE)
+    weights[0], weights[1:_FIXED] = np.log(by_class.sum(axis=1)), np.log(by_class)
+    return weights
+
+
+class _Learner:
+    """One task's copy of the weights, moved by gradients; ``scale``: of each block, the sum
+    of squares of its gradients' rows so far."""
+
+    def __init__(self, weights: np.ndarray, scale: np.ndarray):
+        self.before, self.weights, self.scale = weights, weights.copy(), scale.copy()
+        self.met = np.zeros(len(weights))
+
+    def update(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> None:
+        for i in range(0, len(symbol), STEP):
+            part = slice(i, i + STEP)
+            block, met, g = gradient(self.weights, one[part], two[part], symbol[part])
+            self.met[block] += met
+            self.scale[block] += (g * g).sum(axis=1)
+            self.weights[block] += RATE * g / np.sqrt(self.scale[block])[:, None]
+
+    def moves(self) -> Iterator[pa.RecordBatch]:
+        """By PART blocks: which were met, how often, their moves and their scales."""
+        for k in range(0, len(self.weights), PART):
+            at = k + np.flatnonzero(self.met[k : k + PART])
+            if len(at):
+                yield _moved(k // PART, at, self.met[at], self.weights[at] - self.before[at], self.scale[at])
+
+
+def _moved(part: int, at: np.ndarray, met: np.ndarray, move: np.ndarray, scale: np.ndarray) -> pa.RecordBatch:
+    """One row; moves travel with 11 significant bits."""
+    raw = [at.astype(np.int32), met.astype(np.float32), move.astype(np.float16), scale.astype(np.float32)]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["part", "at", "met", "move", "scale"])
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    at, met = np.frombuffer(row["at"], np.int32), np.frombuffer(row["met"], np.float32)
+    return at, met, np.frombuffer(row["move"], np.float16).reshape(-1, CLASS_SIZE), np.frombuffer(row["scale"], np.float32)
+
+
+@freed
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Averages of moves and scales by block, weighted by how often tasks met it. Rows are taken
+    one by one, so what is held is PART blocks for each part, whatever the number of tasks."""
+    held = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            at, met, move, scale = _read(row)
+            if row["part"] not in held:
+                held[row["part"]] = np.zeros(PART), np.zeros((PART, CLASS_SIZE)), np.zeros(PART)
+            n, m, s = held[row["part"]]
+            k = at % PART
+            n[k] += met
+            m[k] += met[:, None].astype(float) * move
+            s[k] += met.astype(float) * scale
+    for part, (n, m, s) in held.items():
+        k = np.flatnonzero(n)
+        yield _moved(part, k + part * PART, n[k], m[k] / n[k][:, None], s[k] / n[k])
+
+
+def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Blocks of weights, learnt from all the texts."""
+    context = texts.sparkSession.sparkContext
+    weights = start(lexicon)
+    scale = np.ones(len(weights), dtype=np.float32)
+    kind = "part int, at binary, met binary, move binary, scale binary"
+    for _ in range(EPOCHS):
+        shared = context.broadcast((lexicon, weights, scale))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lex, *now = shared.value
+            learner = _Learner(*now)
+            for batch in batches:
+                data, offsets = text_bytes(batch.column("text"))
+                for i, j in chunks(offsets):
+                    words, doc = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    learner.update(*contexts(words, doc), lex.find(words)[2])
+            yield from learner.moves()
+
+        moves = texts.mapInArrow(freed(learn), kind).repartition(-(-len(weights) // PART), "part")
+        mixed = moves.mapInArrow(_mixed, kind).toArrow()  # a row for each part, bounded by MOST_BLOCKS
+        weights, scale = weights.copy(), scale.copy()
+        for row in mixed.to_pylist():
+            at, _, move, new = _read(row)
+            weights[at] += move
+            scale[at] = new
+        shared.unpersist()
+    return weights
+
+
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -246,14 +316,10 @@ def score(documents: DataFrame) -> DataFrame:
     counts = cut(texts.mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     lexicon = Lexicon(counts)
     weights = train(texts, lexicon)
-    table = np.empty((SYMBOLS * SYMBOLS, SYMBOLS), dtype=np.float32)
-    for k in range(0, len(table), SYMBOLS):
-        c, s = probabilities(weights, np.arange(k, k + SYMBOLS))
-        table[k : k + SYMBOLS] = np.log10(c[:, :, None] * s).reshape(SYMBOLS, SYMBOLS)
-    shared = spark.sparkContext.broadcast((lexicon, table))
+    shared = spark.sparkContext.broadcast((lexicon, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, logs = shared.value
+        lex, learnt = shared.value
         half = np.log10(lex.n + 0.5)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -263,7 +329,7 @@ def score(documents: DataFrame) -> DataFrame:
                 n = j - i
                 mine = np.where(there, half[at], 0.0)
                 tail = symbol >= SYMBOLS - TAILS
-                model = logs[contexts(symbol, doc), symbol].astype(float)
+                model = log_probability(learnt, *contexts(words, doc), symbol)
                 model += np.where(tail, mine - lex.within[np.maximum(symbol - (SYMBOLS - TAILS), 0)], 0.0)
                 rare, owner = words[~there], doc[~there]
                 order = np.lexsort((rare, owner))

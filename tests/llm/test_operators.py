@@ -326,7 +326,6 @@ def test_utf8_stream():
 @pytest.mark.parametrize("head", [1 << 18, 128])
 def test_language_model(docs, none, monkeypatch, head):
     monkeypatch.setattr(language_model, "HEAD", head)
-    monkeypatch.setattr(language_model, "STEPS", 6)
     words = lambda t: [*[w for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))], None]
     given = listed(docs)
     counts = {}
@@ -346,11 +345,63 @@ def test_language_model(docs, none, monkeypatch, head):
     assert language_model.score(none).count() == 0
 
 
-def test_language_model_updates(docs, monkeypatch):
-    updates = []
-    monkeypatch.setattr(language_model, "_summed_gradient", lambda packed, weights: updates.append(1) or np.zeros_like(weights))
-    language_model.score(docs).count()
-    assert len(updates) == 30
+def test_language_model_gradient():
+    """Against differences of the log-likelihood."""
+    r = np.random.default_rng(5)
+    weights = r.normal(size=(64, language_model.CLASS_SIZE))
+    one, two = r.integers(0, 9, size=(2, 50)).astype(np.uint64)
+    symbol = r.integers(0, language_model.SYMBOLS, size=50)
+    block, met, g = language_model.gradient(weights, one, two, symbol)
+    assert met.sum() == 50 * 6
+    whole = np.zeros_like(weights)
+    whole[block] = g
+    total = lambda w: language_model.log_probability(w, one, two, symbol).sum() * np.log(10)
+    for b in range(language_model._FIXED, 64):
+        step = np.zeros_like(weights)
+        step[b, b % 16] = 1e-5
+        assert (total(weights + step) - total(weights - step)) / 2e-5 == pytest.approx(whole[b, b % 16], abs=1e-5)
+
+
+def test_language_model_adds_up():
+    """The classes and symbols of a context have probabilities that add up to one."""
+    r = np.random.default_rng(6)
+    weights = r.normal(size=(64, language_model.CLASS_SIZE))
+    every = np.arange(language_model.SYMBOLS)
+    one, two = np.full(len(every), 3, np.uint64), np.full(len(every), 4, np.uint64)
+    assert (10 ** language_model.log_probability(weights, one, two, every)).sum() == pytest.approx(1)
+
+
+def test_language_model_mixing():
+    """Moves of tasks are averaged by how often each met a block."""
+    r = np.random.default_rng(7)
+    weights, scale = np.zeros((1 << 13, language_model.CLASS_SIZE), np.float32), np.ones(1 << 13, np.float32)
+    learners = [language_model._Learner(weights, scale) for _ in range(2)]
+    for x, n in zip(learners, (9000, 300), strict=True):
+        one, two = r.integers(0, 99, size=(2, n)).astype(np.uint64)
+        x.update(one, two, r.integers(0, language_model.SYMBOLS, size=n))
+        assert x.met.sum() == 6 * n
+    met = sum(x.met for x in learners)
+    want = sum(x.met[:, None] * (x.weights - x.before) for x in learners) / np.maximum(met, 1)[:, None]
+    got = np.zeros_like(want)
+    for batch in language_model._mixed(b for x in learners for b in x.moves()):
+        for row in batch.to_pylist():
+            at, n, move, _ = language_model._read(row)
+            assert (n == met[at]).all()
+            got[at] = move
+    assert np.allclose(got, want, atol=5e-3)
+
+
+def test_language_model_rare_words(spark):
+    """What follows a word is learnt for words that are no symbols of their own, too. The order
+    of pairs is random, so that only the word before tells what follows."""
+    r = random.Random(1)
+    fill = " ".join(f"filler{k}" for k in range(300))
+    lines = [fill] * 60 + [" ".join(f"rare{k} {'alpha' if k % 2 else 'beta'}" for k in r.sample(range(40), 40)) for _ in range(30)]
+    tries = [(f"rare{k} {w}", (k % 2 == 1) == (w == "alpha")) for k in range(40) for w in ("alpha", "beta")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines + [t for t, _ in tries])], "doc_id long, text string")
+    right = dict(tries)
+    found = {r["text"]: r["score"] for r in language_model.score(docs).join(docs, "doc_id").select("text", "score").distinct().collect()}
+    assert all((found[f"rare{k} alpha"] > found[f"rare{k} beta"]) == right[f"rare{k} alpha"] for k in range(40))
 
 
 def test_vector_search(spark):
