@@ -39,12 +39,13 @@ from lattica.llm.common import Words, chunks, cut, fold, freed, mix64, read_tabl
 CLASS_SIZE, TAILS = 16, 32
 SYMBOLS = CLASS_SIZE * CLASS_SIZE
 #: Blocks of weights: one for so many training tokens, within these bounds.
-BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 16, 1 << 13, 1 << 18
+BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 16, 1 << 16, 1 << 18
 HEAD, FLUSH = 1 << 18, 1 << 20
 #: Passes over the training texts, tokens of an update, and its rate.
 EPOCHS, STEP, RATE = 2, 1 << 13, 1.0
-#: Blocks that one row of a task's moves holds.
-PART = 1 << 12
+#: Training tokens that a task takes at least, if files are small; tasks whose moves are mixed at
+#: once; and blocks that one row of moves holds.
+TASK_TOKENS, FAN, PART = 1 << 22, 64, 1 << 12
 #: Blocks that are no feature's: unigram weights of the classes, and of each class's symbols.
 _FIXED = 1 + CLASS_SIZE
 #: The end's hash; no word can have it, as those of words have another low part.
@@ -164,23 +165,37 @@ def contexts(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def feature_blocks(one: np.ndarray, two: np.ndarray, group: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of each context's three features: for the classes, and for the symbols of ``group``."""
-    keys = np.stack([mix64(one ^ _ODD[0]), mix64(two ^ _ODD[1]), mix64(mix64(one ^ _ODD[2]) + two)], axis=1)
+    """Blocks of each context's three features, a row a feature: for the classes, and for the
+    symbols of ``group``."""
+    keys = np.stack([mix64(one ^ _ODD[0]), mix64(two ^ _ODD[1]), mix64(mix64(one ^ _ODD[2]) + two)])
     free = np.uint64(blocks - _FIXED)
-    inner = mix64(keys + (group.astype(np.uint64) + np.uint64(1))[:, None] * _ODD[3])
+    inner = mix64(keys + (group.astype(np.uint64) + np.uint64(1)) * _ODD[3])
     return (keys % free).astype(np.int64) + _FIXED, (inner % free).astype(np.int64) + _FIXED
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    """By rows, in place. Halves are compared, as numpy's maximum along a short axis is slow."""
+    top, width = z, z.shape[1]
+    while width > 1:
+        width //= 2
+        top = np.maximum(top[:, :width], top[:, width:])
+    z -= top
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
+    return z
 
 
 def _both(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
     """Blocks and softmaxes of the classes and of the symbols in each symbol's own class."""
     group = symbol // CLASS_SIZE
     outer, inner = feature_blocks(one, two, group, len(weights))
-    return outer, inner, _softmax(weights[0] + weights[outer].sum(axis=1)), _softmax(weights[1 + group] + weights[inner].sum(axis=1))
+    c, w = weights.take(outer[0], axis=0), weights.take(1 + group, axis=0)
+    c += weights[0]
+    for k in range(1, len(outer)):
+        c += weights.take(outer[k], axis=0)
+    for rows in inner:
+        w += weights.take(rows, axis=0)
+    return outer, inner, _softmax(c), _softmax(w)
 
 
 def log_probability(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -201,12 +216,21 @@ def gradient(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.n
     row, n = np.arange(len(symbol)), len(symbol)
     c[row, symbol // CLASS_SIZE] -= 1
     w[row, symbol % CLASS_SIZE] -= 1
-    slope = -np.concatenate([c, w])
-    block = np.concatenate([outer, inner]).ravel()
-    order = np.argsort(block, kind="stable")
-    block = block[order]
+    slope = np.concatenate([c, w])
+    np.negative(slope, out=slope)
+    # Row 3 n of blocks belongs to slope's first half or second; sorted with its place as one number.
+    block = np.concatenate([outer.ravel(), inner.ravel()])
+    place = np.sort(block << 32 | np.arange(len(block)))
+    block, place = place >> 32, place & 0xFFFFFFFF
+    place = place % n + n * (place // outer.size)
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    return block[first], np.diff(np.append(first, len(block))), np.add.reduceat(slope[order // outer.shape[1]], first, axis=0) if n else slope
+    met = np.diff(np.append(first, len(block)))
+    g = slope.take(place[first], axis=0)
+    many = met > 1
+    if many.any():
+        ends = np.cumsum(met[many])
+        g[many] = np.add.reduceat(slope.take(place[np.repeat(many, met)], axis=0), ends - met[many], axis=0)
+    return block[first], met, g
 
 
 def start(lexicon: Lexicon) -> np.ndarray:
@@ -231,21 +255,24 @@ class _Learner:
             part = slice(i, i + STEP)
             block, met, g = gradient(self.weights, one[part], two[part], symbol[part])
             self.met[block] += met
-            self.scale[block] += (g * g).sum(axis=1)
-            self.weights[block] += RATE * g / np.sqrt(self.scale[block])[:, None]
+            scale = self.scale[block] + np.einsum("ij,ij->i", g, g)
+            self.scale[block] = scale
+            g *= (RATE / np.sqrt(scale))[:, None]
+            g += self.weights.take(block, axis=0)
+            self.weights[block] = g
 
     def moves(self) -> Iterator[pa.RecordBatch]:
         """By PART blocks: which were met, how often, their moves and their scales."""
         for k in range(0, len(self.weights), PART):
             at = k + np.flatnonzero(self.met[k : k + PART])
             if len(at):
-                yield _moved(k // PART, at, self.met[at], self.weights[at] - self.before[at], self.scale[at])
+                yield _moved(k // PART, 0, at, self.met[at], self.weights[at] - self.before[at], self.scale[at])
 
 
-def _moved(part: int, at: np.ndarray, met: np.ndarray, move: np.ndarray, scale: np.ndarray) -> pa.RecordBatch:
+def _moved(part: int, slot: int, at: np.ndarray, met: np.ndarray, move: np.ndarray, scale: np.ndarray) -> pa.RecordBatch:
     """One row; moves travel with 11 significant bits."""
     raw = [at.astype(np.int32), met.astype(np.float32), move.astype(np.float16), scale.astype(np.float32)]
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["part", "at", "met", "move", "scale"])
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slot], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["part", "slot", "at", "met", "move", "scale"])
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,22 +282,23 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 @freed
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Averages of moves and scales by block, weighted by how often tasks met it. Rows are taken
-    one by one, so what is held is PART blocks for each part, whatever the number of tasks."""
+    """Averages of moves and scales by block and slot, weighted by how often tasks met it. Rows are
+    taken one by one, so what is held is PART blocks for each part and slot."""
     held = {}
     for batch in batches:
         for row in batch.to_pylist():
             at, met, move, scale = _read(row)
-            if row["part"] not in held:
-                held[row["part"]] = np.zeros(PART), np.zeros((PART, CLASS_SIZE)), np.zeros(PART)
-            n, m, s = held[row["part"]]
+            key = row["part"], row["slot"]
+            if key not in held:
+                held[key] = np.zeros(PART), np.zeros((PART, CLASS_SIZE)), np.zeros(PART)
+            n, m, s = held[key]
             k = at % PART
             n[k] += met
             m[k] += met[:, None].astype(float) * move
             s[k] += met.astype(float) * scale
-    for part, (n, m, s) in held.items():
+    for (part, slot), (n, m, s) in held.items():
         k = np.flatnonzero(n)
-        yield _moved(part, k + part * PART, n[k], m[k] / n[k][:, None], s[k] / n[k])
+        yield _moved(part, slot, k + part * PART, n[k], m[k] / n[k][:, None], s[k] / n[k])
 
 
 def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
@@ -278,7 +306,9 @@ def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     context = texts.sparkSession.sparkContext
     weights = start(lexicon)
     scale = np.ones(len(weights), dtype=np.float32)
-    kind = "part int, at binary, met binary, move binary, scale binary"
+    kind = "part int, slot int, at binary, met binary, move binary, scale binary"
+    texts = texts.coalesce(max(-(-int(lexicon.total) // TASK_TOKENS), 1))
+    tasks = texts.rdd.getNumPartitions()
     for _ in range(EPOCHS):
         shared = context.broadcast((lexicon, weights, scale))
 
@@ -292,8 +322,14 @@ def train(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
                     learner.update(*contexts(words, doc), lex.find(words)[2])
             yield from learner.moves()
 
-        moves = texts.mapInArrow(freed(learn), kind).repartition(-(-len(weights) // PART), "part")
-        mixed = moves.mapInArrow(_mixed, kind).toArrow()  # a row for each part, bounded by MOST_BLOCKS
+        moves, slots = texts.mapInArrow(freed(learn), kind).withColumn("slot", F.spark_partition_id()), tasks
+        while True:  # a tree, so that no task reads the moves of more than FAN others for a part
+            slots = -(-slots // FAN)
+            dealt = moves.withColumn("slot", F.expr(f"int(slot div {FAN})")).repartition(slots * -(-len(weights) // PART), "part", "slot")
+            moves = dealt.mapInArrow(_mixed, kind)
+            if slots <= 1:
+                break
+        mixed = moves.toArrow()  # a row for each part, bounded by MOST_BLOCKS
         weights, scale = weights.copy(), scale.copy()
         for row in mixed.to_pylist():
             at, _, move, new = _read(row)

@@ -397,11 +397,14 @@ def test_language_model_rare_words(spark):
     r = random.Random(1)
     fill = " ".join(f"filler{k}" for k in range(300))
     lines = [fill] * 60 + [" ".join(f"rare{k} {'alpha' if k % 2 else 'beta'}" for k in r.sample(range(40), 40)) for _ in range(30)]
-    tries = [(f"rare{k} {w}", (k % 2 == 1) == (w == "alpha")) for k in range(40) for w in ("alpha", "beta")]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines + [t for t, _ in tries])], "doc_id long, text string")
-    right = dict(tries)
+    tries = [f"rare{k} {w}" for k in range(40) for w in ("alpha", "beta")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids = [i for i in range(2000) if not held(i)][: len(lines)], [i for i in range(2000) if held(i)][: len(tries)]
+    docs = spark.createDataFrame([*zip(ids[0], lines), *zip(ids[1], tries)], "doc_id long, text string")
     found = {r["text"]: r["score"] for r in language_model.score(docs).join(docs, "doc_id").select("text", "score").distinct().collect()}
-    assert all((found[f"rare{k} alpha"] > found[f"rare{k} beta"]) == right[f"rare{k} alpha"] for k in range(40))
+    # How likely the end is after alpha and after beta is in all of these, so only gaps tell.
+    gap = [found[f"rare{k} alpha"] - found[f"rare{k} beta"] for k in range(40)]
+    assert min(gap[1::2]) > max(gap[::2])
 
 
 def test_vector_search(spark):
