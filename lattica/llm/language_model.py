@@ -42,7 +42,7 @@ SYMBOLS = CLASS_SIZE * CLASS_SIZE
 BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 16, 1 << 16, 1 << 18
 HEAD, FLUSH = 1 << 18, 1 << 20
 #: Passes over the training texts, tokens of an update, and its rate.
-EPOCHS, STEP, RATE = 2, 1 << 13, 1.0
+EPOCHS, STEP, RATE = 2, 1 << 12, 1.0
 #: Training tokens that a task takes at least, if files are small; tasks whose moves are mixed at
 #: once; and blocks that one row of moves holds.
 TASK_TOKENS, FAN, PART = 1 << 22, 64, 1 << 12
@@ -186,16 +186,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _both(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks and softmaxes of the classes and of the symbols in each symbol's own class."""
-    group = symbol // CLASS_SIZE
+    """Blocks, the features' rows first; and softmaxes of the classes, then of the symbols in each
+    symbol's own class."""
+    n, group = len(symbol), symbol // CLASS_SIZE
     outer, inner = feature_blocks(one, two, group, len(weights))
-    c, w = weights.take(outer[0], axis=0), weights.take(1 + group, axis=0)
-    c += weights[0]
-    for k in range(1, len(outer)):
-        c += weights.take(outer[k], axis=0)
-    for rows in inner:
-        w += weights.take(rows, axis=0)
-    return outer, inner, _softmax(c), _softmax(w)
+    z = np.empty((2 * n, weights.shape[1]), dtype=weights.dtype)
+    z[:n] = weights[0]
+    weights.take(1 + group, axis=0, out=z[n:], mode="clip")
+    for k in range(len(outer)):
+        z[:n] += weights.take(outer[k], axis=0, mode="clip")
+        z[n:] += weights.take(inner[k], axis=0, mode="clip")
+    return outer, inner, _softmax(z)
 
 
 def log_probability(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -204,32 +205,36 @@ def log_probability(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbo
     for i in range(0, len(symbol), STEP):
         part = slice(i, i + STEP)
         s = symbol[part]
-        c, w = _both(weights, one[part], two[part], s)[2:]
+        p = _both(weights, one[part], two[part], s)[2]
         row = np.arange(len(s))
-        out[part] = np.log10(c[row, s // CLASS_SIZE].astype(float)) + np.log10(w[row, s % CLASS_SIZE].astype(float))
+        out[part] = np.log10(p[row, s // CLASS_SIZE].astype(float)) + np.log10(p[row + len(s), s % CLASS_SIZE].astype(float))
     return out
 
 
 def gradient(weights: np.ndarray, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the log-likelihood: the blocks that it moves, how often each was met, and its rows."""
-    outer, inner, c, w = _both(weights, one, two, symbol)
+    outer, inner, slope = _both(weights, one, two, symbol)
     row, n = np.arange(len(symbol)), len(symbol)
-    c[row, symbol // CLASS_SIZE] -= 1
-    w[row, symbol % CLASS_SIZE] -= 1
-    slope = np.concatenate([c, w])
+    slope[row, symbol // CLASS_SIZE] -= 1
+    slope[row + n, symbol % CLASS_SIZE] -= 1
     np.negative(slope, out=slope)
-    # Row 3 n of blocks belongs to slope's first half or second; sorted with its place as one number.
-    block = np.concatenate([outer.ravel(), inner.ravel()])
-    place = np.sort(block << 32 | np.arange(len(block)))
-    block, place = place >> 32, place & 0xFFFFFFFF
-    place = place % n + n * (place // outer.size)
+    # A block's number and its row of slopes make one key, of 32 bits if they fit.
+    bits = (2 * n - 1).bit_length()
+    kind = np.uint32 if bits + (len(weights) - 1).bit_length() <= 32 else np.uint64
+    key = np.concatenate([outer << bits | row, inner << bits | (row + n)], axis=None).astype(kind)
+    key.sort()
+    block, place = (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     met = np.diff(np.append(first, len(block)))
     g = slope.take(place[first], axis=0)
-    many = met > 1
-    if many.any():
-        ends = np.cumsum(met[many])
-        g[many] = np.add.reduceat(slope.take(place[np.repeat(many, met)], axis=0), ends - met[many], axis=0)
+    many = np.flatnonzero(met > 1)
+    if len(many):
+        size = met[many]
+        begin = np.cumsum(size) - size
+        rows = slope.take(place[np.repeat(met > 1, met)], axis=0)
+        # Pairs of numbers are added as one complex number: half as many sums.
+        pairs = np.complex64 if rows.dtype == np.float32 else np.complex128
+        g[many] = np.add.reduceat(rows.view(pairs), begin, axis=0).view(rows.dtype)
     return block[first], met, g
 
 
