@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -296,6 +297,16 @@ def test_plan_is_tight():
         assert len(load) <= 1.25 * sum(n * c for n, c in h.items()) / 1024 + 2
 
 
+def test_bpe_split_takes_no_longer_beside_ascii(tokenizer_paths):
+    split = byte_bpe.Splitter(tokenizer_paths[2])
+    text, took = "один два 日本 три " * 8000, []
+    for run in (split.findall, split):
+        began = time.process_time()
+        run(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 5 * took[0] + 0.05
+
+
 def test_bpe(docs, none, tokenizer_paths):
     import tiktoken
 
