@@ -7,11 +7,12 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.graph import PropertyGraph, as_edges, as_nodes
+from lattica.plans.packed import BATCH_ROWS, arrow, record_batch
 
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -30,34 +31,70 @@ def symbols(path: str, source: str) -> Iterator[tuple]:
         tree = ast.Module([], [])
     yield "node", path, None, path.rsplit("/", 1)[-1], "module", 1, source.count("\n") + 1
 
-    def walk(node: ast.AST, owner: str) -> Iterator[tuple]:
-        for child in ast.iter_child_nodes(node):
+    out: list[tuple] = []
+
+    def walk(node: ast.AST, owner: str) -> None:
+        for child in _children(node):
             if isinstance(child, (*_FUNCTION, ast.ClassDef)):
                 own = f"{owner}::{child.name}"
-                yield "node", own, owner, child.name, "class" if isinstance(child, ast.ClassDef) else "function", child.lineno, child.end_lineno
-                yield "contains", owner, own, None, None, child.lineno, None
+                out.append(("node", own, owner, child.name, "class" if isinstance(child, ast.ClassDef) else "function", child.lineno, child.end_lineno))
+                out.append(("contains", owner, own, None, None, child.lineno, None))
                 for base in getattr(child, "bases", ()):
-                    yield "extends", own, None, ast.unparse(base).split(".")[-1], None, child.lineno, None
+                    out.append(("extends", own, None, ast.unparse(base).split(".")[-1], None, child.lineno, None))
                 for mark in child.decorator_list:
-                    yield "annotatedwith", own, None, ast.unparse(mark).split("(")[0], None, child.lineno, None
-                yield from walk(child, own)
+                    out.append(("annotatedwith", own, None, ast.unparse(mark).split("(")[0], None, child.lineno, None))
+                walk(child, own)
                 continue
             if isinstance(child, ast.Call) and _callee(child):
-                yield "calls", owner, None, _callee(child), None, child.lineno, None
+                out.append(("calls", owner, None, _callee(child), None, child.lineno, None))
             if isinstance(child, ast.Import | ast.ImportFrom):
                 for name in child.names:
                     whole = ".".join(x for x in (getattr(child, "module", None), name.name) if x)
-                    yield "imports", owner, None, whole, None, child.lineno, None
-            yield from walk(child, owner)
-
-    yield from walk(tree, path)
-
-
-def _names(node: ast.AST | None, store: bool) -> list[str]:
-    if node is None:
-        return []
-    kind = ast.Store if store else ast.Load
-    return sorted({n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, kind)})
+                    out.append(("imports", owner, None, whole, None, child.lineno, None))
+            walk(child, owner)
+
+    walk(tree, path)
+    yield from out
+
+
+def _children(node: ast.AST) -> list[ast.AST]:
+    """Child nodes in the order of their fields, without marks that hold nothing."""
+    found = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            found += [x for x in value if isinstance(x, ast.AST)]
+        elif isinstance(value, ast.AST) and value._fields:
+            found.append(value)
+    return found
+
+
+def _names(nodes: list[ast.AST]) -> tuple[list[str], list[str]]:
+    """Names that are stored to, and names that are read."""
+    stored, read, stack = set(), set(), list(nodes)
+    while stack:
+        node = stack.pop()
+        if isinstance(node, ast.Name):
+            if isinstance(node.ctx, ast.Store):
+                stored.add(node.id)
+            elif isinstance(node.ctx, ast.Load):
+                read.add(node.id)
+        elif node is not None:
+            stack += _children(node)
+    return sorted(stored), sorted(read)
+
+
+def _functions(tree: ast.AST) -> Iterator[ast.AST]:
+    """Functions at any depth; only statements, handlers and cases can hold them."""
+    stack = [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, _FUNCTION):
+            yield node
+        for field in ("body", "orelse", "finalbody", "handlers", "cases"):
+            held = getattr(node, field, None)
+            if isinstance(held, list):
+                stack += held
 
 
 def _head(s: ast.stmt) -> list[ast.AST]:
@@ -79,19 +116,17 @@ def flow(path: str, source: str) -> Iterator[tuple]:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return
-    for node in ast.walk(tree):
-        if not isinstance(node, _FUNCTION):
-            continue
+    for node in _functions(tree):
         ways: set[tuple[int, int]] = set()
         known: dict[int, tuple[list[str], list[str]]] = {0: (sorted(a.arg for a in node.args.args), [])}
 
         def block(body: list[ast.stmt], come: set[int], top: int, out: set[int], ways=ways, known=known) -> set[int]:
             for s in body:
                 ways |= {(x, s.lineno) for x in come}
-                head = _head(s)
-                defs = [n for h in head for n in _names(h, True)]
-                uses = [n for h in head for n in _names(h, False)] + ([s.target.id] if isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name) else [])
-                known[s.lineno] = (sorted(set(defs)), sorted(set(uses)))
+                defs, uses = _names(_head(s))
+                if isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name):
+                    uses = sorted({*uses, s.target.id})
+                known[s.lineno] = (defs, uses)
                 come = {s.lineno}
                 if isinstance(s, ast.Return | ast.Raise):
                     ways.add((s.lineno, -1))
@@ -132,14 +167,19 @@ def register(language: str, extractor: Callable[[str, str], Iterator[tuple]]) ->
 
 
 def _mapped(files: DataFrame, run: Callable[[str, str], Iterator[tuple]], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for path, text in zip(df["path"], df["content"], strict=True):
-                yield pd.DataFrame(list(run(path, text or "")), columns=names)
-
-    return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(each, schema)
+    kind = arrow(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows += run(path, text or "")
+                if len(rows) >= BATCH_ROWS:
+                    yield record_batch(rows, kind)
+                    rows = []
+            yield record_batch(rows, kind)
+
+    return files.select("path", F.col("content").cast("string").alias("content")).mapInArrow(each, schema)
 
 
 def extract(files: DataFrame, language: str = "python") -> PropertyGraph:
