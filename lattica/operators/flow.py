@@ -3,13 +3,11 @@ on control-flow graphs (fn, src, dst): dominators, per function."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.iterate import components, cut, reach
+from lattica.plans.iterate import components, reach
+from lattica.plans.packed import per_key
 
 
 def flow_dependencies(stmts: DataFrame) -> DataFrame:
@@ -34,64 +32,97 @@ def _key(fn: str, line: str) -> Column:
     return F.concat_ws("#", F.col(fn).cast("string"), F.col(line).cast("string"))
 
 
+def _reach_inside(deps: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """As reach(), for edges (fn, src, dst) between ids ``<fn>#<line>``: none leaves its
+    function, so each function is walked by itself."""
+    edges = deps.select(F.coalesce(F.col("fn").cast("string"), F.lit("")).alias("fn"), "src", "dst")
+    roots = seeds.select(F.regexp_extract("id", "(?s)^(.*)#", 1).alias("fn"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"))
+
+    def one(rows: list[tuple[str, str | None]]) -> list[tuple[str, int]]:
+        after: dict[str, list[str]] = {}
+        hops: dict[str, int] = {}
+        for s, d in rows:
+            if d is None:
+                hops[s] = 0
+            else:
+                after.setdefault(s, []).append(d)
+        front, n = list(hops), 0
+        while front and (depth is None or n < depth):
+            n, new = n + 1, []
+            for s in front:
+                for d in after.get(s, ()):
+                    if d not in hops:
+                        hops[d] = n
+                        new.append(d)
+            front = new
+        return list(hops.items())
+
+    return per_key(edges.union(roots), one, "fn string, id string, hops bigint").select("id", "hops")
+
+
 def slice_of(deps: DataFrame, seeds: DataFrame, backward: bool = True, depth: int | None = None) -> DataFrame:
     """(id, hops): statements ``<fn>#<line>`` that the seeds depend on, or that depend on them."""
     a, b = ("dst", "src") if backward else ("src", "dst")
-    return reach(deps.select(_key("fn", a).alias("src"), _key("fn", b).alias("dst")), seeds, depth)
+    return _reach_inside(deps.select("fn", _key("fn", a).alias("src"), _key("fn", b).alias("dst")), seeds, depth)
 
 
 def taint(deps: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """(id, hops): sinks that data from the sources reaches without passing a sanitizer;
     all three have id ``<fn>#<line>``."""
-    e = deps.select(_key("fn", "src").alias("src"), _key("fn", "dst").alias("dst")).join(sanitizers.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+    e = deps.select("fn", _key("fn", "src").alias("src"), _key("fn", "dst").alias("dst")).join(sanitizers.select(F.col("id").alias("dst")), "dst", "left_anti").select("fn", "src", "dst")
     clean = sources.join(sanitizers, "id", "left_anti")
-    return reach(e, clean).filter("hops > 0").join(sinks, "id", "left_semi")
+    return _reach_inside(e, clean).filter("hops > 0").join(sinks, "id", "left_semi")
+
+
+def _tree(edges: list[tuple[int, int]], entry: int) -> dict[int, int]:
+    """Immediate dominators of what ``entry`` reaches; its own is itself."""
+    after: dict[int, list[int]] = {}
+    for s, d in edges:
+        after.setdefault(s, []).append(d)
+    order, seen, stack = [], {entry}, [(entry, iter(after.get(entry, ())))]
+    while stack:
+        node, more = stack[-1]
+        for d in more:
+            if d not in seen:
+                seen.add(d)
+                stack.append((d, iter(after.get(d, ()))))
+                break
+        else:
+            stack.pop()
+            order.append(node)
+    order.reverse()
+    rank = {b: k for k, b in enumerate(order)}
+    before: dict[int, list[int]] = {}
+    for s in order:
+        for d in after.get(s, ()):
+            before.setdefault(d, []).append(s)
+    idom, moved = {entry: entry}, True
+    while moved:
+        moved = False
+        for b in order[1:]:
+            new = None
+            for p in before[b]:
+                if p in idom:
+                    x = p
+                    while new is not None and x != new:
+                        if rank[x] > rank[new]:
+                            x = idom[x]
+                        else:
+                            new = idom[new]
+                    new = x
+            if idom.get(b) != new:
+                idom[b], moved = new, True
+    return idom
+
+
+def _ways(cfg: DataFrame) -> DataFrame:
+    return cfg.select("fn", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
 
 
 def dominators(cfg: DataFrame, entry: int = 0) -> DataFrame:
     """(fn, block, idom): immediate dominators of the blocks that ``entry`` reaches."""
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        after: dict[int, list[int]] = {}
-        for s, d in zip(df["src"], df["dst"], strict=True):
-            after.setdefault(int(s), []).append(int(d))
-        order, seen, stack = [], {entry}, [(entry, iter(after.get(entry, ())))]
-        while stack:
-            node, more = stack[-1]
-            for d in more:
-                if d not in seen:
-                    seen.add(d)
-                    stack.append((d, iter(after.get(d, ()))))
-                    break
-            else:
-                stack.pop()
-                order.append(node)
-        rank = {b: k for k, b in enumerate(reversed(order))}
-        before: dict[int, list[int]] = {}
-        for s in rank:
-            for d in after.get(s, ()):
-                before.setdefault(d, []).append(s)
-        idom, moved = {entry: entry}, True
-        while moved:
-            moved = False
-            for b in sorted(rank, key=rank.get)[1:]:
-                new = None
-                for p in before[b]:
-                    if p in idom:
-                        x = p
-                        while new is not None and x != new:
-                            if rank[x] > rank[new]:
-                                x = idom[x]
-                            else:
-                                new = idom[new]
-                        new = x
-                if idom.get(b) != new:
-                    idom[b], moved = new, True
-        rows = [(df["fn"].iloc[0], b, idom[b]) for b in rank if b != entry]
-        return pd.DataFrame(rows, columns=["fn", "block", "idom"]).astype({"block": "int64", "idom": "int64"})
-
     kind = cfg.schema["fn"].dataType.simpleString()
-    return cfg.select("fn", "src", "dst").groupBy("fn").applyInPandas(one, f"fn {kind}, block bigint, idom bigint")
+    return per_key(_ways(cfg), lambda edges: [x for x in _tree(edges, entry).items() if x[0] != entry], f"fn {kind}, block bigint, idom bigint")
 
 
 def post_dominators(cfg: DataFrame, exit_: int) -> DataFrame:
@@ -110,35 +141,30 @@ def unreachable(cfg: DataFrame, entry: int = 0) -> DataFrame:
 def simple_paths(cfg: DataFrame, entry: int, exit_: int, most: int = 1000) -> DataFrame:
     """(fn, path): up to ``most`` acyclic ways from entry to exit."""
 
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for fn, edges in zip(df["fn"], df["edges"], strict=True):
-                after: dict[int, list[int]] = {}
-                for e in edges:
-                    after.setdefault(int(e["src"]), []).append(int(e["dst"]))
-                found, stack = [], [(entry,)]
-                while stack and len(found) < most:
-                    path = stack.pop()
-                    if path[-1] == exit_:
-                        found.append(",".join(map(str, path)))
-                        continue
-                    stack += [(*path, d) for d in sorted(set(after.get(path[-1], ())), reverse=True) if d not in path]
-                yield pd.DataFrame({"fn": [fn] * len(found), "path": found})
+    def one(edges: list[tuple[int, int]]) -> list[tuple[str]]:
+        after: dict[int, set[int]] = {}
+        for s, d in edges:
+            after.setdefault(s, set()).add(d)
+        ways = {s: sorted(ds, reverse=True) for s, ds in after.items()}
+        found, stack = [], [(entry,)]
+        while stack and len(found) < most:
+            path = stack.pop()
+            if path[-1] == exit_:
+                found.append((",".join(map(str, path)),))
+                continue
+            stack += [(*path, d) for d in ways.get(path[-1], ()) if d not in path]
+        return found
 
-    kind = cfg.schema["fn"].dataType.simpleString()
-    packed = cfg.groupBy("fn").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    return packed.mapInPandas(one, f"fn {kind}, path string")
+    return per_key(_ways(cfg), one, f"fn {cfg.schema['fn'].dataType.simpleString()}, path string")
 
 
 def frontiers(cfg: DataFrame, entry: int = 0) -> DataFrame:
     """(fn, block, frontier): where a block's dominance ends. On the reversed graph, from the
     exit, these are the blocks that a block is control dependent on."""
-    kind = cfg.schema["fn"].dataType.simpleString()
 
-    def one(edges: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
-        up = dict(zip(tree["block"].tolist(), tree["idom"].tolist(), strict=True)) | {entry: entry}
-        found = set()
-        for s, d in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True):
+    def one(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        up, found = _tree(edges, entry), set()
+        for s, d in set(edges):
             x = s
             # A way into d from a block that d's dominator is above: all between end there.
             while x in up and d in up and x != (up[d] if d != entry else None):
@@ -146,11 +172,9 @@ def frontiers(cfg: DataFrame, entry: int = 0) -> DataFrame:
                 if x == entry:
                     break
                 x = up[x]
-        rows = [(edges["fn"].iloc[0], b, f) for b, f in sorted(found)] if len(edges) else []
-        return pd.DataFrame(rows, columns=["fn", "block", "frontier"])
+        return sorted(found)
 
-    left = cfg.select("fn", "src", "dst").distinct().groupBy("fn")
-    return left.cogroup(dominators(cfg, entry).groupBy("fn")).applyInPandas(one, f"fn {kind}, block bigint, frontier bigint")
+    return per_key(_ways(cfg), one, f"fn {cfg.schema['fn'].dataType.simpleString()}, block bigint, frontier bigint")
 
 
 def control_dependencies(cfg: DataFrame, exit_: int = -1) -> DataFrame:
@@ -159,28 +183,58 @@ def control_dependencies(cfg: DataFrame, exit_: int = -1) -> DataFrame:
     return frontiers(back, exit_).select("fn", F.col("frontier").alias("src"), F.col("block").alias("dst"))
 
 
+def _reached(rows: list[tuple]) -> dict[tuple[str, int], set[int]]:
+    """By variable and line of a definition, the blocks at whose start it holds. Rows: (kind,
+    line, next, var, uses) of ways (kind 0) and statements (kind 1)."""
+    after: dict[int, set[int]] = {}
+    made: dict[str, set[int]] = {}
+    for kind, line, to, var, _ in rows:
+        if kind == 0:
+            after.setdefault(line, set()).add(to)
+        elif var is not None:
+            made.setdefault(var, set()).add(line)
+    found = {}
+    for var, lines in made.items():
+        for line in lines:
+            seen = set(after.get(line, ()))
+            stack = list(seen)
+            while stack:
+                at = stack.pop()
+                if at not in lines:
+                    new = after.get(at, set()) - seen
+                    seen |= new
+                    stack += new
+            found[var, line] = seen
+    return found
+
+
+def _both(stmts: DataFrame, cfg: DataFrame) -> DataFrame:
+    """Ways and statements in one table, for _reached()."""
+    uses = "uses" if "uses" in stmts.columns else "CAST(array() AS array<string>) AS uses"
+    ways = cfg.filter("src IS NOT NULL AND dst IS NOT NULL").selectExpr("fn", "0 AS kind", "CAST(src AS bigint) AS line", "CAST(dst AS bigint) AS next", "CAST(NULL AS string) AS def", "CAST(NULL AS array<string>) AS uses")
+    own = stmts.filter("line IS NOT NULL").selectExpr("fn", "1 AS kind", "CAST(line AS bigint) AS line", "CAST(NULL AS bigint) AS next", "def", uses)
+    return ways.unionByName(own).filter("fn IS NOT NULL")
+
+
 def reaching_definitions(stmts: DataFrame, cfg: DataFrame) -> DataFrame:
     """(fn, var, src, at): definitions (fn, line, def) that hold at the start of a block of the
-    graph (fn, src, dst). Each round moves only those that are new, past blocks that do not
-    define the variable again."""
-    ways = cut(cfg.select("fn", F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
-    defs = cut(stmts.filter("def IS NOT NULL").select("fn", F.col("def").alias("var"), F.col("line").alias("at")).distinct())
-    front = cut(defs.join(ways, ["fn", "at"]).select("fn", "var", F.col("at").alias("src"), F.col("next").alias("at")).distinct())
-    found = front
-    while not front.isEmpty():
-        past = front.join(defs, ["fn", "var", "at"], "left_anti")
-        step = past.join(ways, ["fn", "at"]).select("fn", "var", "src", F.col("next").alias("at")).distinct()
-        front = cut(step.join(found, ["fn", "var", "src", "at"], "left_anti"))
-        found = found.union(front)
-    return found
+    graph (fn, src, dst). They move on past blocks that do not define the variable again."""
+    run = lambda rows: [(var, line, at) for (var, line), ats in _reached(rows).items() for at in ats]
+    return per_key(_both(stmts, cfg), run, f"fn {cfg.schema['fn'].dataType.simpleString()}, var string, src bigint, at bigint")
 
 
 def data_dependencies(stmts: DataFrame, cfg: DataFrame) -> DataFrame:
     """(fn, src, dst, var, carried): uses and the definitions that reach them along the graph;
     carried: round a loop, from a line that is not before the use."""
-    uses = stmts.select("fn", F.col("line").alias("at"), F.explode(F.array_distinct("uses")).alias("var"))
-    met = reaching_definitions(stmts, cfg).join(uses, ["fn", "var", "at"])
-    return met.select("fn", "src", F.col("at").alias("dst"), "var", (F.col("src") >= F.col("at")).alias("carried"))
+
+    def one(rows: list[tuple]) -> list[tuple]:
+        used: dict[int, list[set[str]]] = {}
+        for kind, line, _, _, uses in rows:
+            if kind == 1 and uses:
+                used.setdefault(line, []).append(set(uses))
+        return [(src, at, var, src >= at) for (var, src), ats in _reached(rows).items() for at in ats for uses in used.get(at, ()) if var in uses]
+
+    return per_key(_both(stmts, cfg), one, f"fn {cfg.schema['fn'].dataType.simpleString()}, src bigint, dst bigint, var string, carried boolean")
 
 
 def anti_dependencies(stmts: DataFrame) -> DataFrame:
@@ -195,9 +249,22 @@ def anti_dependencies(stmts: DataFrame) -> DataFrame:
 
 def flow_depth(deps: DataFrame) -> DataFrame:
     """(id, depth): least number of dependencies from a statement that depends on nothing."""
-    e = cut(deps.filter("src <> dst").select(_key("fn", "src").alias("src"), _key("fn", "dst").alias("dst")).distinct())
-    roots = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti")
-    return reach(e, roots).withColumnRenamed("hops", "depth")
+
+    def one(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        after: dict[int, set[int]] = {}
+        for s, d in edges:
+            after.setdefault(s, set()).add(d)
+        depth = dict.fromkeys(set(after).difference(*after.values()), 0)
+        front, n = list(depth), 0
+        while front:
+            n += 1
+            front = list({d for s in front for d in after.get(s, ()) if d not in depth})
+            depth |= dict.fromkeys(front, n)
+        return list(depth.items())
+
+    kind = deps.schema["fn"].dataType.simpleString()
+    met = per_key(_ways(deps.filter("src <> dst")), one, f"fn {kind}, line bigint, depth bigint")
+    return met.select(_key("fn", "line").alias("id"), "depth")
 
 
 def alias_names(stmts: DataFrame) -> DataFrame:

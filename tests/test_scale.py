@@ -2,6 +2,7 @@
 
 import time
 
+from lattica.operators import flow as N
 from lattica.sources import python_source as PY
 
 
@@ -15,3 +16,31 @@ def test_files_share_batches(spark):
     plain, began = time.time() - began, time.time()
     assert PY.control_flow(files).count() == 6000 * 6
     assert time.time() - began < 3 * plain + 2, plain
+
+
+def _cfg(spark):
+    return spark.createDataFrame([(f, a, b) for f in (1, 2) for a, b in ((0, 1), (1, 2), (2, 1), (1, 3), (3, -1))], "fn int, src long, dst long")
+
+
+def test_functions_share_batches(spark):
+    cfg = _cfg(spark)
+    for made in (N.dominators(cfg), N.post_dominators(cfg, -1), N.frontiers(cfg), N.control_dependencies(cfg), N.simple_paths(cfg, 0, -1)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan and {r[0] for r in made.collect()} == {1, 2}
+
+
+def test_functions_are_walked_without_rounds(spark):
+    cfg = _cfg(spark)
+    stmts = spark.createDataFrame([(f, *x) for f in (1, 2) for x in ((0, "a", []), (1, "b", ["a", "b"]), (2, "b", ["b"]), (3, None, ["b"]))], "fn int, line long, def string, uses array<string>")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    spark.sparkContext.setJobGroup("rounds", "")
+    deps = N.data_dependencies(stmts, cfg)
+    made = [N.reaching_definitions(stmts, cfg), deps, N.flow_depth(deps.filter("NOT carried")), N.slice_of(deps, ids("1#3", "x")), N.taint(deps, ids("1#0"), ids("1#3", "2#3"), ids("1#2"))]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    rows = [sorted(tuple(r) for r in m.collect()) for m in made]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows[0] == sorted((f, *x) for f in (1, 2) for x in [("a", 0, k) for k in (1, 2, 3, -1)] + [("b", 1, k) for k in (2, 3)] + [("b", 1, -1), ("b", 2, 1)])
+    assert rows[1] == sorted((f, *x) for f in (1, 2) for x in [(0, 1, "a", False), (1, 2, "b", False), (1, 3, "b", False), (2, 1, "b", True)])
+    assert rows[2] == sorted((f"{f}#{k}", n) for f in (1, 2) for k, n in ((0, 0), (1, 1), (2, 2), (3, 2)))
+    assert rows[3] == [("1#0", 2), ("1#1", 1), ("1#2", 2), ("1#3", 0), ("x", 0)]
+    assert rows[4] == [("1#3", 2)]
