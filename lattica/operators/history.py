@@ -92,10 +92,25 @@ def hunk_overlap(hunks: DataFrame, spans: DataFrame) -> DataFrame:
 
 def enclosing(sites: DataFrame, spans: DataFrame) -> DataFrame:
     """(site, id): the smallest span (id, path, start_line, end_line) around each site
-    (site, path, line); ties to the smaller id."""
-    j = sites.join(spans, "path").filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
-    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), F.col("id").alias("id")))
-    return j.groupBy("site").agg(best.alias("b")).select("site", F.col("b.id").alias("id"))
+    (site, path, line); ties to the smaller id.
+
+    A span is cut into aligned blocks of 2^k lines, at most two for each k. Each block keeps its
+    best span before anything is joined, and a line asks the one block of each size that it is in.
+    """
+    a, b = F.col("start_line").cast("bigint"), F.col("end_line").cast("bigint")
+    best = F.struct((F.col("end_line") - F.col("start_line")).alias("w"), F.col("id").alias("id"))
+    own = spans.filter("path IS NOT NULL AND start_line <= end_line").select("path", a.alias("a"), (b + 1).alias("b"), best.alias("best"))
+    own = own.groupBy("path", "a", "b").agg(F.min("best").alias("best"))
+    sizes = own.select("*", F.explode(F.expr("sequence(0, int(log2(b - a)) + 1)")).alias("k"))
+    # Of the blocks of a size within the span, those that no block of twice that size takes in.
+    sizes = sizes.withColumns({"low": F.expr("-shiftright(-a, k)"), "high": F.expr("shiftright(b, k)")}).filter("low < high")
+    blocks = sizes.select("path", "k", "best", F.explode(F.expr("array_distinct(filter(array(if(low & 1 = 1, low, null), if(high & 1 = 1, high - 1, null)), x -> x IS NOT NULL))")).alias("slot"))
+    blocks = blocks.groupBy("path", "k", "slot").agg(F.min("best").alias("best"))
+    lines = sites.select("path", F.col("line").cast("bigint").alias("line")).filter("path IS NOT NULL AND line IS NOT NULL").distinct()
+    asked = lines.crossJoin(F.broadcast(blocks.select("k").distinct())).withColumn("slot", F.expr("shiftright(line, k)"))
+    met = asked.join(blocks, ["path", "k", "slot"]).groupBy("path", "line").agg(F.min("best").alias("best"))
+    found = sites.withColumn("line", F.col("line").cast("bigint")).join(met, ["path", "line"])
+    return found.groupBy("site").agg(F.min("best").alias("b")).select("site", F.col("b.id").alias("id"))
 
 
 def policy(impact: DataFrame, crossings: DataFrame, central: DataFrame, most: int, alert: float) -> DataFrame:

@@ -1,8 +1,13 @@
 """Work that must not grow with pairs, rounds or one call for each key."""
 
+import random
 import time
 
+from pyspark.sql import functions as F
+
 from lattica.operators import flow as N
+from lattica.operators import history as H
+from lattica.operators import resolution as RS
 from lattica.sources import python_source as PY
 
 
@@ -44,3 +49,43 @@ def test_functions_are_walked_without_rounds(spark):
     assert rows[2] == sorted((f"{f}#{k}", n) for f in (1, 2) for k, n in ((0, 0), (1, 1), (2, 2), (3, 2)))
     assert rows[3] == [("1#0", 2), ("1#1", 1), ("1#2", 2), ("1#3", 0), ("x", 0)]
     assert rows[4] == [("1#3", 2)]
+
+
+def test_hot_paths_and_names(spark):
+    """40 thousand rows on either side that all share a path and a name."""
+    many = spark.range(40_000)
+    began = time.time()
+    sites, spans = many.selectExpr("id AS site", "'p' AS path", "id AS line"), many.selectExpr("id", "'p' AS path", "id AS start_line", "id + 100 - id % 100 AS end_line")
+    got = H.enclosing(sites, spans).agg(F.sum("id"), F.count("id")).first()
+    # A line that is a hundred is also the end of the span of the line before, which is smaller.
+    assert got == (sum(range(40_000)) - 399, 40_000)
+    relations = many.selectExpr("id AS rel", "'p' AS path", "'n' AS name", "concat('b.q', id) AS hint", "0 AS repo", "'x/y' AS module")
+    symbols = many.selectExpr("id", "if(id = 7, 'p', 'o') AS path", "'n' AS name", "concat('a.b.q', id) AS qualified_name", "int(id <> 9) AS repo")
+    assert RS.resolve_relations(relations, symbols).groupBy("id", "tier").count().collect() == [(7, 1, 40_000)]
+    hinted = RS.resolve_relations(relations.withColumn("path", F.lit("z")), symbols)
+    assert hinted.filter("rel = id AND tier = 3").count() == 40_000
+    assert RS.parked(relations.withColumn("repo", F.lit(1)), symbols).groupBy("id", "tier").count().collect() == [(9, 3, 40_000)]
+    assert time.time() - began < 60
+
+
+def test_enclosing_and_parked_against_brute_force(spark):
+    r = random.Random(5)
+    spans = [(i, r.choice("ab"), s := r.randrange(-60, 60), s + r.choice([-1, 0, 1, 2, 7, 8, 31, 64])) for i in range(150)]
+    sites = [(i, r.choice("abc"), r.randrange(-70, 130)) for i in range(300)]
+    want = {k: min((b - a, i) for i, p, a, b in spans if p == path and a <= x <= b)[1] for k, path, x in sites if any(p == path and a <= x <= b for _, p, a, b in spans)}
+    got = H.enclosing(spark.createDataFrame(sites, "site long, path string, line long"), spark.createDataFrame(spans, "id long, path string, start_line long, end_line long"))
+    assert {x["site"]: x["id"] for x in got.collect()} == want
+    ways = ["a/b/c", "b/c", "c", "d", "x/c", ""]
+    rel = [(i, r.randrange(4), r.choice([None, "q1", "q2"]), r.choice(ways), r.choice("mn")) for i in range(120)]
+    sym = [(i, r.randrange(4), r.choice(["q1", "q2", "q3", "q4"]), r.choice(ways), r.choice("mnop")) for i in range(14)]
+    want = {}
+    for k, repo, hint, module, name in rel:
+        there = [x for x in sym if x[1] != repo]
+        named = [x for x in there if x[4] == name]
+        shared = [next((n for n, (u, v) in enumerate(zip(a, b, strict=False)) if u != v), min(len(a), len(b))) for x in named for a, b in [([s for s in module.split("/")[::-1] if s], [s for s in x[3].split("/")[::-1] if s])]]
+        top = max(shared, default=0)
+        for tier, ids in enumerate([[x[0] for x in there if x[2] == hint], [x[0] for x, n in zip(named, shared, strict=True) if n == top > 0], [x[0] for x in named]], 1):
+            if len(ids) == 1 and k not in want:
+                want[k] = (ids[0], tier)
+    got = RS.parked(spark.createDataFrame(rel, "rel long, repo int, hint string, module string, name string"), spark.createDataFrame(sym, "id long, repo int, qualified_name string, path string, name string"))
+    assert want and {x["rel"]: (x["id"], x["tier"]) for x in got.collect()} == want
