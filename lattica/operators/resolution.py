@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
@@ -19,18 +19,22 @@ def resolve_relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     is ambiguous everywhere gets no edge.
     """
     r = relations.select("rel", "path", "name", "hint")
-    s = symbols.select("id", F.col("path").alias("s_path"), F.col("name").alias("s_name"), F.col("qualified_name").alias("qn"))
-    last = F.element_at(F.split("hint", r"::|\.|#"), -1)
+    s = symbols.select("id", "path", "name", F.col("qualified_name").alias("qn"), T.member(F.col("qualified_name")).alias("last")).filter("id IS NOT NULL")
+    # What follows each dot of a qualified name, for names that end in a hint.
+    cuts = F.expr("transform(filter(sequence(1, length(qn)), i -> substr(qn, i, 1) = '.'), i -> substr(qn, i + 1))")
+    ends = s.filter("qn IS NOT NULL AND qn <> ''").select("id", "last", F.explode(F.array_distinct(cuts)).alias("hint"))
+    hinted = r.filter("hint IS NOT NULL").withColumn("last", F.element_at(F.split("hint", r"::|\.|#"), -1))
+    # One row for each key before the join: hot names would meet all symbols that bear them.
+    keyed = lambda df, *key: df.groupBy(*key).agg(F.min("id").alias("low"), F.max("id").alias("high"))
     tiers = [
-        r.join(s, (F.col("name") == F.col("s_name")) & (F.col("path") == F.col("s_path"))),
-        r.filter("hint IS NOT NULL").join(s, F.col("hint") == F.col("qn")),
-        # An equal last segment first, so that the suffix test is on a hash join's matches.
-        r.filter("hint IS NOT NULL").withColumn("last", last).join(s.withColumn("s_last", T.member(F.col("qn"))), (F.col("last") == F.col("s_last"))).filter(F.col("qn").endswith(F.concat(F.lit("."), F.col("hint")))),
-        r.join(s, F.col("name") == F.col("s_name")),
+        r.join(keyed(s, "name", "path"), ["name", "path"]),
+        hinted.join(keyed(s.withColumnRenamed("qn", "hint"), "hint"), "hint"),
+        hinted.join(keyed(ends, "hint", "last"), ["hint", "last"]),
+        r.join(keyed(s, "name"), "name"),
     ]
     found = None
     for k, t in enumerate(tiers, 1):
-        one = t.groupBy("rel").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").select("rel", "id", F.lit(k).alias("tier"))
+        one = t.groupBy("rel").agg(F.min("low").alias("id"), F.max("high").alias("high")).filter("id = high").select("rel", "id", F.lit(k).alias("tier"))
         found = one if found is None else found.union(one)
     best = found.groupBy("rel").agg(F.min(F.struct("tier", "id")).alias("b"))
     return best.select("rel", F.col("b.id").alias("id"), F.col("b.tier").cast("bigint").alias("tier"))
@@ -111,15 +115,29 @@ def parked(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     name or null), module, name; symbols: id, repo, qualified_name, path, name. Tiers: 1 the
     hint, 2 the most path segments that end like the module, 3 the name alone; a tier with two
     symbols or more gives none, and the next one is asked."""
-    s = symbols.select("id", F.col("repo").alias("s_repo"), F.col("qualified_name").alias("qn"), T.module_segments(F.col("path")).alias("there"), F.col("name").alias("s_name"))
-    relations = relations.withColumn("here", T.module_segments(F.col("module")))
-    other = F.col("repo") != F.col("s_repo")
-    by_hint = relations.join(s, (F.col("hint") == F.col("qn")) & other).select("rel", "id", F.lit(1).alias("tier"), F.lit(0).alias("score"))
-    by_name = relations.join(s, (F.col("name") == F.col("s_name")) & other)
-    by_path = by_name.withColumn("score", T.suffix_overlap(F.col("here"), F.col("there"))).filter("score > 0").select("rel", "id", F.lit(2).alias("tier"), "score")
-    every = by_hint.union(by_path).union(by_name.select("rel", "id", F.lit(3).alias("tier"), F.lit(0).alias("score")))
-    best = every.groupBy("rel", "tier").agg(F.max("score").alias("score"))
-    one = every.join(best, ["rel", "tier", "score"]).groupBy("rel", "tier").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    s = symbols.select("id", "repo", F.col("qualified_name").alias("hint"), T.module_segments(F.col("path")).alias("there"), "name").filter("id IS NOT NULL AND repo IS NOT NULL")
+    r = relations.select("rel", "repo", "hint", "name", T.module_segments(F.col("module")).alias("here"))
+    ends = lambda c: F.expr(f"transform(sequence(1, size({c})), n -> slice({c}, size({c}) - n + 1, n))")
+    tails = lambda df, c: df.filter(F.size(c) > 0).select("*", F.explode(ends(c)).alias("tail"))
+
+    def met(asked: DataFrame, df: DataFrame, *key: str) -> DataFrame:
+        """The least and the greatest id of a key outside the asking repository. Each key keeps
+        these of the best repository and of the next one, so hot names stay small."""
+        per = df.groupBy(*key, "repo").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        two = per
+        for c, order in (("low", F.col("low").asc()), ("high", F.col("high").desc())):
+            two = two.withColumn(f"r_{c}", F.row_number().over(Window.partitionBy(*key).orderBy(order, "repo")))
+        first = [F.max(F.when(F.col(f"r_{c}") == n, F.struct(c, "repo"))).alias(f"{c}{n}") for c in ("low", "high") for n in (1, 2)]
+        two = two.filter("r_low <= 2 OR r_high <= 2").groupBy(*key).agg(*first)
+        other = lambda c: F.expr(f"CASE WHEN {c}1.repo <> repo THEN {c}1.{c} WHEN {c}2.repo <> repo THEN {c}2.{c} END").alias(c)
+        return asked.join(two, list(key)).select(*asked.columns, other("low"), other("high")).filter("low IS NOT NULL")
+
+    by_hint = met(r, s, "hint").select("rel", F.lit(1).alias("tier"), F.lit(0).alias("score"), "low", "high")
+    # All that share n segments share n - 1: those with the most are the ids of the longest tail met.
+    by_path = met(tails(r, "here"), tails(s, "there"), "name", "tail").select("rel", F.lit(2).alias("tier"), F.size("tail").alias("score"), "low", "high")
+    by_name = met(r, s, "name").select("rel", F.lit(3).alias("tier"), F.lit(0).alias("score"), "low", "high")
+    every = by_hint.union(by_path).union(by_name).filter("rel IS NOT NULL").groupBy("rel", "tier")
+    one = every.agg(F.min(F.struct(-F.col("score"), "low")).getField("low").alias("id"), F.max(F.struct("score", "high")).getField("high").alias("last")).filter("id = last")
     return one.groupBy("rel").agg(F.min_by("id", "tier").alias("id"), F.min("tier").alias("tier"))
 
 
