@@ -94,17 +94,42 @@ def recursive_nodes(edges: DataFrame) -> DataFrame:
     return label.join(big, "component", "left_semi").select("id").union(edges.filter("src = dst").select("src")).distinct()
 
 
+def _weights_above(between: DataFrame, members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(root, n, up) for components that others reach: how many, and their nodes together.
+    ``members``: component, size; ``between``: the acyclic graph of components.
+
+    Most pairs of a call graph lead through one large component of each weak region. What is
+    below that hub has all above the hub above it, which is counted once; the rest of what is
+    above it, and all that is above others, is closed pair by pair without the hub.
+    """
+    up = between.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    sized = members.select(F.col("component").alias("id"), "size")
+    region = cut(components(between).withColumnRenamed("component", "region").join(sized, "id"))
+    hubs = cut(region.groupBy("region").agg(F.min(F.struct((-F.col("size")).alias("s"), "id")).getField("id").alias("id")).select("id"))
+    over = cut(reach(up, hubs).select("id").join(region, "id"))
+    under = cut(reach(between, hubs).select("id"))
+    shared = over.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("up"))
+    asked = between.select(F.col("dst").alias("id")).distinct() if roots is None else roots.select("id")
+    low, high = asked.join(under, "id", "left_semi"), asked.join(under, "id", "left_anti")
+    # Above what is not under a hub nothing is under it; above the others, what is over a hub is counted.
+    past = closure(up.join(over.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), low)
+    apart = closure(up.join(under.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), high)
+    pairs = past.union(apart).join(sized, "id").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("up"))
+    # A hub is over itself; it is not among those above it.
+    own = low.join(region, "id").join(shared, "region").join(hubs.withColumn("hub", F.lit(True)), "id", "left")
+    own = own.select(F.col("id").alias("root"), (F.col("n") - F.when(F.col("hub"), 1).otherwise(0)).alias("n"), (F.col("up") - F.when(F.col("hub"), F.col("size")).otherwise(0)).alias("up"))
+    return pairs.union(own).groupBy("root").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).filter("n > 0")
+
+
 def blast(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(id, direct, impact, score): all that can reach a node, and of those the members of
     the components that call its own; computed on the condensed graph."""
     label, between = condensation(edges)
-    members = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = cut(label.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     wanted = label if seeds is None else label.join(seeds.select("id"), "id", "left_semi")
     up = between.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     roots = wanted.select(F.col("component").alias("id")).distinct()
-    above = closure(up, roots)
-    sized = above.join(members.withColumnRenamed("component", "id"), "id")
-    impact = sized.groupBy("root").agg(F.sum("size").alias("up"))
+    impact = _weights_above(between, members, roots).select("root", "up")
     near = up.join(members.withColumnRenamed("component", "dst"), "dst").groupBy(F.col("src").alias("root")).agg(F.sum("size").alias("direct"))
     out = wanted.join(members, "component").join(impact.withColumnRenamed("root", "component"), "component", "left").join(near.withColumnRenamed("root", "component"), "component", "left")
     out = out.select("id", F.coalesce("direct", F.lit(0)).alias("direct"), (F.col("size") - 1 + F.coalesce("up", F.lit(0))).alias("impact"))
@@ -114,8 +139,7 @@ def blast(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 def reach_centrality(edges: DataFrame) -> DataFrame:
     """(id, reach): how many components reach a node's own, itself included."""
     label, between = condensation(edges)
-    up = between.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    above = closure(up).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    above = _weights_above(between, label.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     return label.join(above.withColumnRenamed("root", "component"), "component", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("reach"))
 
 

@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from lattica.operators import algorithms as A
 from lattica.operators import flow as N
 from lattica.operators import history as H
 from lattica.operators import resolution as RS
@@ -89,3 +90,13 @@ def test_enclosing_and_parked_against_brute_force(spark):
                 want[k] = (ids[0], tier)
     got = RS.parked(spark.createDataFrame(rel, "rel long, repo int, hint string, module string, name string"), spark.createDataFrame(sym, "id long, repo int, qualified_name string, path string, name string"))
     assert want and {x["rel"]: (x["id"], x["tier"]) for x in got.collect()} == want
+
+
+def test_pairs_through_a_hub_are_not_made(spark, monkeypatch):
+    """120 callers of a cycle that calls 120 others: 14400 pairs lead through it."""
+    made, plain = [], A.closure
+    monkeypatch.setattr(A, "closure", lambda *x: made.append(plain(*x)) or made[-1])
+    edges = [(i, 1000) for i in range(120)] + [(1000, 1001), (1001, 1000)] + [(1001, 2000 + i) for i in range(120)] + [(1, 3000), (3000, 2000), (4000, 2001)]
+    got = {r["id"]: r["reach"] for r in A.reach_centrality(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == dict.fromkeys([*range(120), 4000], 1) | dict.fromkeys((1000, 1001), 121) | {2000 + i: 122 for i in range(120)} | {3000: 2, 2000: 123, 2001: 123}
+    assert sum(m.count() for m in made) < 200
