@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.centrality import LOCAL_EDGES, centrality, harmonic, hyperball  # noqa: F401
 from lattica.plans.iterate import closure, components, cut, reach, strong_components
 
-#: The driver's or a task's own copy of a graph may have so many edges; past that the
-#: sampled or approximate DataFrame forms are used.
-LOCAL_EDGES = 2_000_000
-
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
     """(id, score) of all nodes: parallel edges count, the mass of nodes without a way out
@@ -179,61 +174,6 @@ def _adjacency(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids, np.searchsorted(s[order], np.arange(len(ids) + 1)), d[order]
 
 
-def _brandes(at: np.ndarray, to: np.ndarray, source: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dependencies on one source, and distances from it (-1: not reached)."""
-    n = len(at) - 1
-    dist, paths = np.full(n, -1), np.zeros(n)
-    dist[source], paths[source] = 0, 1
-    front, steps = np.array([source]), []
-    while len(front):
-        count = at[front + 1] - at[front]
-        a = np.repeat(front, count)
-        b = to[np.repeat(at[front], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        new = dist[b] < 0
-        dist[b[new]] = dist[source] + len(steps) + 1
-        down = dist[b] == len(steps) + 1
-        a, b = a[down], b[down]
-        np.add.at(paths, b, paths[a])
-        steps.append((a, b))
-        front = np.unique(b)
-    gain = np.zeros(n)
-    for a, b in reversed(steps):
-        np.add.at(gain, a, paths[a] / paths[b] * (1 + gain[b]))
-    gain[source] = 0
-    return gain, dist
-
-
-def centrality(edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
-    """(id, betweenness, harmonic): Brandes and harmonic closeness along edges, both
-    normalised; exact, or estimated from ``pivots`` (id) as sources. The graph itself
-    must fit a task (LOCAL_EDGES); sources are spread over tasks."""
-    spark = edges.sparkSession
-    e = cut(edges.select("src", "dst").distinct())
-    if e.count() > LOCAL_EDGES:
-        raise ValueError("the graph is larger than a task may hold; give a projection of it")
-    ids, at, to = _adjacency(e.toPandas())
-    sources = np.arange(len(ids)) if pivots is None else np.flatnonzero(np.isin(ids, [r["id"] for r in pivots.select("id").collect()]))
-    shared = spark.sparkContext.broadcast((at, to))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, t = shared.value
-        total, seen = np.zeros(len(a) - 1), []
-        for batch in batches:
-            for s in batch["place"]:
-                gain, dist = _brandes(a, t, s)
-                total += gain
-                seen.append((s, float((1 / dist[dist > 0]).sum())))
-        yield pd.DataFrame({"place": np.arange(len(total)), "b": total, "h": 0.0})
-        yield pd.DataFrame({"place": [s for s, _ in seen], "b": 0.0, "h": [h for _, h in seen]})
-
-    jobs = spark.createDataFrame(pd.DataFrame({"place": sources})).repartition(spark.sparkContext.defaultParallelism)
-    n, k = len(ids), max(len(sources), 1)
-    sums = jobs.mapInPandas(run, "place bigint, b double, h double").groupBy("place").agg(F.sum("b").alias("b"), F.sum("h").alias("h"))
-    names = spark.createDataFrame(pd.DataFrame({"place": np.arange(n), "id": ids}))
-    pairs, rest = max((n - 1) * (n - 2), 1), max(n - 1, 1)
-    return names.join(sums, "place").select("id", (F.col("b") / pairs * (n / k)).alias("betweenness"), (F.col("h") / rest).alias("harmonic"))
-
-
 def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, community) by label propagation over undirected distinct edges: every round a
     node takes the label that most neighbours have, the least of equals, or keeps its own."""
@@ -292,25 +232,6 @@ def migration_scores(metrics: DataFrame, alpha: float = 0.33, beta: float = 0.33
     return df.withColumn("priority", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def hyperball(edges: DataFrame, rounds: int = 16, precision: int = 12) -> DataFrame:
-    """(id, harmonic): harmonic closeness along edges from a distinct-count sketch of each
-    node's ball, merged with its successors' once a round; stops when no ball grows."""
-    e = cut(edges.select("src", "dst").distinct())
-    ids = cut(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
-    n = ids.count()
-    ball = cut(ids.groupBy("id").agg(F.hll_sketch_agg(F.col("id").cast("string"), precision).alias("s")).select("id", "s", F.lit(1.0).alias("size"), F.lit(0.0).alias("sum")))
-    for t in range(1, rounds + 1):
-        heard = e.join(ball.select(F.col("id").alias("dst"), "s"), "dst").select(F.col("src").alias("id"), "s").union(ball.select("id", "s"))
-        grown = heard.groupBy("id").agg(F.hll_union_agg("s").alias("s2"))
-        step = ball.join(grown, "id").withColumn("size2", F.hll_sketch_estimate("s2").cast("double"))
-        more = F.greatest(F.col("size2") - F.col("size"), F.lit(0.0))
-        ball = cut(step.select("id", F.col("s2").alias("s"), F.greatest("size", "size2").alias("size"), (F.col("sum") + more / t).alias("sum"), more.alias("more")))
-        if ball.agg(F.max("more")).first()[0] == 0:
-            break
-        ball = ball.drop("more")
-    return ball.select("id", (F.col("sum") / max(n - 1, 1)).alias("harmonic"))
-
-
 def region_hashes(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
     """(id, hash): Weisfeiler-Lehman refinement of ``nodes`` (id, kind) over typed edges
     (src, dst, edge_type), in and out; equal surroundings have equal hashes."""

@@ -3,9 +3,11 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import algorithms as A
+from lattica.operators import centrality as C
 from lattica.operators import flow as N
 from lattica.operators import history as H
 from lattica.operators import resolution as RS
@@ -100,3 +102,30 @@ def test_pairs_through_a_hub_are_not_made(spark, monkeypatch):
     got = {r["id"]: r["reach"] for r in A.reach_centrality(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == dict.fromkeys([*range(120), 4000], 1) | dict.fromkeys((1000, 1001), 121) | {2000 + i: 122 for i in range(120)} | {3000: 2, 2000: 123, 2001: 123}
     assert sum(m.count() for m in made) < 200
+
+
+def test_sketches_stay_in_their_tasks(spark, monkeypatch):
+    """Balls of a round are neither shuffled nor checkpointed, and sketches are near what they estimate."""
+    made, plain = [], C.cut
+    for module in (A, C):
+        monkeypatch.setattr(module, "cut", lambda df: made.append(df.schema) or plain(df))
+    r = random.Random(2)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(500)] + [(1000 + i, 1001 + i) for i in range(9)], "src long, dst long")
+    exact = {x["id"]: x["harmonic"] for x in A.hyperball(edges, rounds=60).collect()}
+    assert all(f.dataType.simpleString() != "binary" for s in made for f in s.fields)
+    assert exact == pytest.approx({x["id"]: x["harmonic"] for x in A.harmonic(edges).collect()})
+    monkeypatch.setattr(C, "EXACT_NODES", 50)
+    monkeypatch.setattr(C, "TASK_WORK", 30_000)  # several tasks have a share of each sketch
+    near = {x["id"]: x["harmonic"] for x in A.hyperball(edges, rounds=60).collect()}
+    assert near.keys() == exact.keys() and near == pytest.approx(exact, rel=0.05)
+
+
+def test_sources_walk_their_own_component(spark):
+    """Work must not grow with sources times the nodes of the whole graph: 300 thousand nodes in cycles of three."""
+    n = 300_000
+    cycles = spark.range(n).selectExpr("id AS src", "id - id % 3 + (id + 1) % 3 AS dst")
+    began = time.time()
+    assert A.harmonic(cycles).groupBy(F.round(F.col("harmonic") * (n - 1), 6).alias("h")).count().collect() == [(1.5, n)]
+    got = A.centrality(cycles).select(F.round(F.col("betweenness") * (n - 1.0) * (n - 2.0), 6).alias("b"), F.round(F.col("harmonic") * (n - 1), 6).alias("h"))
+    assert got.groupBy("b", "h").count().collect() == [(1.0, 1.5, n)]
+    assert time.time() - began < 90
