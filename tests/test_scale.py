@@ -129,3 +129,28 @@ def test_sources_walk_their_own_component(spark):
     got = A.centrality(cycles).select(F.round(F.col("betweenness") * (n - 1.0) * (n - 2.0), 6).alias("b"), F.round(F.col("harmonic") * (n - 1), 6).alias("h"))
     assert got.groupBy("b", "h").count().collect() == [(1.0, 1.5, n)]
     assert time.time() - began < 90
+
+
+def test_betweenness_in_parts_against_brute_force(spark, monkeypatch):
+    """Sources of a component dealt to several tasks, with few cells a batch."""
+    monkeypatch.setattr(C, "TASK_WORK", 800)
+    monkeypatch.setattr(C, "CELLS", 100)
+    r = random.Random(4)
+    edges = [(k + r.randrange(30), k + r.randrange(30)) for k in (0, 100) for _ in range(50)]
+    after = {x: {t for s, t in edges if s == x} for e in edges for x in e}
+    want = dict.fromkeys(after, 0.0)
+    for s in after:
+        ways, front = {s: [[s]]}, {s: [[s]]}
+        while front:
+            step = {}
+            for x, paths in front.items():
+                for t in after[x] - ways.keys():
+                    step.setdefault(t, []).extend([*p, t] for p in paths)
+            front = step
+            ways |= step
+        for paths in ways.values():
+            for x in [x for p in paths for x in p[1:-1]]:
+                want[x] += 1 / len(paths)
+    n = len(after)
+    got = {x["id"]: x["betweenness"] * (n - 1) * (n - 2) for x in A.centrality(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == pytest.approx(want)
