@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,36 @@ def test_betweenness_in_parts_against_brute_force(spark, monkeypatch):
     n = len(after)
     got = {x["id"]: x["betweenness"] * (n - 1) * (n - 2) for x in A.centrality(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == pytest.approx(want)
+
+
+def test_swept_paths_against_walks(spark, monkeypatch):
+    """Few nodes cut all cycles of a sparse graph: only those are walked from, whatever the shares of
+    targets, the blocks, and the pivots; of a dense graph all are."""
+    r = random.Random(6)
+    ring = [(i, (i * 7 + k) % 200) for i in range(200) for k in (1, 3)]
+    sparse = [(x, r.randrange(900)) for x in range(900) for _ in range(r.choice([0, 1, 1, 2, 2]))] + [(5, 5)]
+    walked, walks = [], C._walks
+    monkeypatch.setattr(C, "_walks", lambda graph, sources: walked.append(len(sources)) or walks(graph, sources))
+    for edges, few in ((sparse, True), (ring, False)):
+        edges = sorted(set(edges))
+        for share in (1, 0.7):
+            asked = {x: r.random() < share for e in edges for x in e}
+            cols = {"src": [e[0] for e in edges], "dst": [e[1] for e in edges], "component": [0] * len(edges), "asked": [asked[e[0]] for e in edges]}
+            graph = C._Graph(pa.table({k: pa.chunked_array([v]) for k, v in cols.items()}))
+            want = C._walked(graph, 0, 1)
+            for cells, held, chunk in ((1 << 23, 1 << 25, 64), (1 << 14, 3000, 7)):
+                monkeypatch.setattr(C, "SWEPT_CELLS", cells)
+                monkeypatch.setattr(C, "SWEPT", held)
+                monkeypatch.setattr(C, "CHUNK", chunk)
+                for parts in (1, 2):
+                    walked.clear()
+                    got = [C._paths(graph, True, k, parts) for k in range(parts)]
+                    if few and held > 3000:
+                        assert sum(walked) < len(asked) / 2
+                    for a, b in zip(zip(*got, strict=True), want, strict=True):
+                        assert sum(a) == pytest.approx(b)
+    monkeypatch.setattr(C, "TASK_WORK", 1000)  # many tasks share the component
+    table = spark.createDataFrame(sorted(set(sparse)), "src long, dst long")
+    many = {x["id"]: (x["betweenness"], x["harmonic"]) for x in A.centrality(table).collect()}
+    monkeypatch.setattr(C, "TASK_WORK", 1 << 40)
+    assert {k: pytest.approx(v) for k, v in many.items()} == {x["id"]: (x["betweenness"], x["harmonic"]) for x in A.centrality(table).collect()}
