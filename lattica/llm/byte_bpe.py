@@ -30,7 +30,7 @@ from lattica.llm.common import freed, read_table
 
 #: Arcs and bytes of pieces that one worker keeps at most; past that its table starts afresh.
 #: Longer pieces than LONG are not kept.
-MAX_ARCS, MAX_BYTES, LONG = 500_000, 2 << 20, 256
+MAX_ARCS, MAX_BYTES, LONG = 500_000, 6 << 20, 256
 _START = -1
 
 
@@ -53,7 +53,9 @@ class Transducer:
         first = (b"", ((_START, ()),))
         self.pool: dict[tuple, tuple] = {}
         self.states, self.number = [first], {first: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: for each state: by byte, the arcs of the next state and the tokens settled; its number by -1
+        self.arcs: list[dict[int, tuple]] = [{-1: 0}]
+        self.made = 0
 
     def _merged(self, piece: bytes, below: int = 1 << 60) -> list[int]:
         """Merging by rank, as the vocabulary defines it, with ranks under ``below``."""
@@ -103,8 +105,8 @@ class Transducer:
             else:
                 before, right = (right, 2), r[0]
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        window, places = self.states[state]
+    def _arc(self, here: dict[int, tuple], byte: int) -> tuple[dict[int, tuple], tuple[int, ...]]:
+        window, places = self.states[here[-1]]
         window += bytes((byte,))
         ranks, paths, pool = self.ranks, self.paths, self.pool
         for i, place in enumerate(places):
@@ -129,21 +131,24 @@ class Transducer:
         if number is None:
             number = self.number[target] = len(self.states)
             self.states.append(target)
-        return number, pool.setdefault(q := low[:settled], q)
+            self.arcs.append({-1: number})
+        self.made += 1
+        here[byte] = made = self.arcs[number], pool.setdefault(q := low[:settled], q)
+        return made
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the splitting pattern."""
-        if len(self.arcs) > MAX_ARCS:
+        if self.made > MAX_ARCS:
             self._fresh()
-        arcs, state, ids = self.arcs, 0, []
+        here, ids = self.arcs[0], []
         for byte in piece:
-            arc = arcs.get(state << 8 | byte)
+            arc = here.get(byte)
             if arc is None:
-                arc = arcs[state << 8 | byte] = self._arc(state, byte)
-            state, settled = arc
+                arc = self._arc(here, byte)
+            here, settled = arc
             if settled:
                 ids += settled
-        ids += self.states[state][1][-1][1]
+        ids += self.states[here[-1]][1][-1][1]
         return ids
 
 

@@ -534,3 +534,24 @@ def test_pipeline(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, small)
     assert empty.count() == 0
+
+
+def test_pieces_are_held(tokenizer_paths):
+    """200 thousand pieces that come again are not encoded again, and a state holds its own arcs."""
+
+    class Counted(byte_bpe.Transducer):
+        def encode_piece(self, piece):
+            asked.append(piece)
+            return [1, 2]
+
+    asked = []
+    pieces = byte_bpe._Pieces(Counted({bytes((i,)): i for i in range(256)}))
+    for _ in range(3):
+        for i in range(200_000):
+            pieces[f"{i:012d}"]
+    assert len(asked) == 200_000
+    t = byte_bpe.Transducer(byte_bpe.load_ranks(tokenizer_paths[1]))
+    want = [t.encode_piece(w) for w in (b" the", b" there", b"zqzq")]
+    assert t.made == sum(len(x) - 1 for x in t.arcs) > 0
+    t.made = byte_bpe.MAX_ARCS + 1  # the table starts afresh
+    assert [t.encode_piece(w) for w in (b" the", b" there", b"zqzq")] == want and 0 < t.made < 20
