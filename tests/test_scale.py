@@ -2,7 +2,9 @@
 
 import random
 import time
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +123,19 @@ def test_sketches_stay_in_their_tasks(spark, monkeypatch):
     assert near.keys() == exact.keys() and near == pytest.approx(exact, rel=0.05)
 
 
+def test_sketches_of_one_large_component_fit_a_task():
+    """Sketches of a million nodes in one component grow by few registers at once."""
+    n, r = 1_000_000, np.random.default_rng(3)
+    src, dst = r.integers(0, n, 3 * n // 2), r.integers(0, n, 3 * n // 2)
+    cols = {"src": src, "dst": dst, "component": np.zeros(len(src), np.int64), "asked": np.ones(len(src), bool)}
+    graph = C._Graph(pa.table({k: pa.chunked_array([v]) for k, v in cols.items()}))
+    tracemalloc.start()
+    C._sketched(graph, 0, 2, 6, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 450 << 20
+
+
 def test_sources_walk_their_own_component(spark):
     """Work must not grow with sources times the nodes of the whole graph: 300 thousand nodes in cycles of three."""
     n = 300_000
