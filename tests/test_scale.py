@@ -14,6 +14,7 @@ from lattica.operators import centrality as C
 from lattica.operators import flow as N
 from lattica.operators import history as H
 from lattica.operators import resolution as RS
+from lattica.queries import QUERIES
 from lattica.sources import python_source as PY
 
 
@@ -136,6 +137,21 @@ def test_sketches_of_one_large_component_fit_a_task():
     assert most < 450 << 20
 
 
+def test_small_components_are_sketched(spark, monkeypatch):
+    """Only a small graph is counted exactly, not small components of a larger one; the query always sketches."""
+    edges = spark.createDataFrame([(100 * k + i, 100 * k + (i + 1) % 40) for k in range(3) for i in range(40)], "src long, dst long")
+    want = sum(1 / k for k in range(1, 40)) / 119
+    values = lambda **more: [x["harmonic"] for x in A.hyperball(edges, rounds=60, **more).collect()]
+    assert values() == pytest.approx([want] * 120)
+    monkeypatch.setattr(C, "EXACT_NODES", 50)
+    for near in (values(), values(exact=0)):
+        assert near == pytest.approx([want] * 120, rel=0.05) and all(abs(x - want) > 1e-6 for x in near)
+    used = []
+    monkeypatch.setattr(A, "hyperball", lambda e, **more: used.append(more) or e.selectExpr("src AS id", "0D AS harmonic"))
+    QUERIES["G06_hyperball"](spark, "/root/testdata/sf0.001")
+    assert used == [{"exact": 0}]
+
+
 def test_sources_walk_their_own_component(spark):
     """Work must not grow with sources times the nodes of the whole graph: 300 thousand nodes in cycles of three."""
     n = 300_000
