@@ -137,6 +137,42 @@ def test_sketches_of_one_large_component_fit_a_task():
     assert most < 450 << 20
 
 
+def _one_graph(edges):
+    edges = np.unique(np.array(edges), axis=0)
+    cols = {"src": edges[:, 0], "dst": edges[:, 1], "component": np.zeros(len(edges), np.int64), "asked": np.ones(len(edges), bool)}
+    return C._Graph(pa.table({k: pa.chunked_array([v]) for k, v in cols.items()}))
+
+
+def test_closeness_against_brute_force(monkeypatch):
+    """Hubs, ends, loops, chains and rings whose nodes have one predecessor, with few words and rows at once, in shares, and up to few edges away."""
+    r = random.Random(8)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(450)] + [(0, x) for x in range(0, 300, 3)] + [(x, 1) for x in range(0, 300, 4)] + [(5, 5)]
+    edges += [(300 + i, 301 + i) for i in range(40)] + [(340, 7), (400, 401), (401, 402), (402, 400), (402, 403), (403, 3), (500, 501), (501, 300)]
+    graph = _one_graph(edges)
+    after = {int(x): {t for s, t in edges if s == x} for x in graph.ids.to_pylist()}
+    monkeypatch.setattr(C, "BALL_WORDS", 8, raising=False)
+    monkeypatch.setattr(C, "PULLED", 50, raising=False)
+    for rounds in (1, 4, 1000):
+        want = []
+        for x in after:
+            seen, front, hops, total = {x}, {x}, 0, 0.0
+            while front and hops < rounds:
+                hops, front = hops + 1, {t for y in front for t in after[y]} - seen
+                total, seen = total + len(front) / hops, seen | front
+            want.append(total)
+        for parts in (1, 3):
+            assert sum(C._closeness(graph, k, parts, rounds) for k in range(parts)) == pytest.approx(want)
+
+
+def test_closeness_of_one_large_component_is_fast():
+    """A share of the targets of 500 thousand nodes in one component."""
+    n, r = 500_000, np.random.default_rng(5)
+    graph = _one_graph(np.stack([r.integers(0, n, 17 * n // 10), r.integers(0, n, 17 * n // 10)], axis=1))
+    began = time.process_time()
+    C._closeness(graph, 3, 50)
+    assert time.process_time() - began < 25
+
+
 def test_small_components_are_sketched(spark, monkeypatch):
     """Only a small graph is counted exactly, not small components of a larger one; the query always sketches."""
     edges = spark.createDataFrame([(100 * k + i, 100 * k + (i + 1) % 40) for k in range(3) for i in range(40)], "src long, dst long")
